@@ -20,6 +20,8 @@ from fadegraph.operators.similarity import nearest
 from fadegraph.session import cut_lineage
 
 _TOPIC_NAME_LENGTH = 80
+# Texts that one task may cluster in sequence.
+MAX_SEQUENCE = 50_000
 
 
 def kmeans_topics(triples: DataFrame, embedder, n_clusters: int = 10, seed: int = 42) -> DataFrame:
@@ -50,11 +52,6 @@ def kmeans_topics(triples: DataFrame, embedder, n_clusters: int = 10, seed: int
         "source_file", "topic", F.col("triple_ord").alias("ord"), "instance")
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    return matrix / np.where(lengths > 0, lengths, 1.0)[:, None]
-
-
 def _follow_centroids(vectors: np.ndarray, threshold: float) -> list[int]:
     """Cluster number of each vector, in order: the first cluster whose mean is near enough."""
     sums = np.zeros((16, vectors.shape[1]))
@@ -81,22 +78,29 @@ def _follow_centroids(vectors: np.ndarray, threshold: float) -> list[int]:
     return labels
 
 
-def centroid_clusters(texts: DataFrame, threshold: float = 0.7) -> DataFrame:
+def centroid_clusters(texts: DataFrame, threshold: float = 0.7, max_texts: int = MAX_SEQUENCE) -> DataFrame:
     """Order-dependent clusters with moving centroids, one run per file.
 
     ``texts`` is (source_file, ord, text, embedding) with distinct texts per
     file.  A text joins the first cluster whose mean is at least ``threshold``
-    similar, so a file is inherently one sequence and is read by one task in
-    the form of Arrow batches.  Files are the unit of parallel work; for one
-    large input use ``leader_clusters``.
+    similar.  Every step depends on the one before, so a file is one sequence
+    in one task and files are the unit of parallel work.  Files are counted
+    first, and one with more than ``max_texts`` texts is refused: that is what
+    ``leader_clusters`` is for.
     Result: (source_file, ord, text, embedding, cluster).
     """
+    large = texts.groupBy("source_file").count().filter(F.col("count") > max_texts).first()
+    if large is not None:
+        raise ValueError(f"{large['source_file']} has {large['count']} texts, more than {max_texts}; "
+                         "use leader_clusters")
     schema = "source_file string, ord long, text string, embedding array<float>, cluster long"
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("ord").select(["source_file", "ord", "text", "embedding"]).combine_chunks()
         flat = np.asarray(group.column("embedding").combine_chunks().flatten(), dtype=np.float64)
         labels = _follow_centroids(flat.reshape(group.num_rows, -1), threshold)
+        vectors = group.column("embedding").cast(pa.list_(pa.float32()))
+        group = group.set_column(3, "embedding", vectors)
         return group.append_column("cluster", pa.array(labels, type=pa.int64()))
 
     rows = texts.select("source_file", F.col("ord").cast("long").alias("ord"), "text",

@@ -9,7 +9,7 @@ from fadegraph.config import SimilarityLimits
 from fadegraph.functions.vectors import group_mean
 from fadegraph.operators.density import dbscan
 from fadegraph.operators.updates import AsOf
-from fadegraph.schema import Snapshot, clock, complete, new_id
+from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
 from fadegraph.session import cut_lineage
 
 # Fixed values.
@@ -62,5 +62,5 @@ def discover_topics(snapshot: Snapshot, min_instances: int = 5, as_of: AsOf = No
     moved = joined.select(*[
         F.coalesce("_new_topic", "topic_id").alias(c) if c == "topic_id" else F.col(c) for c in instances.columns])
     fresh = complete(topics.drop("cluster", "n_members"), "topics", as_of)
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in snapshot.topics.schema.fields]
-    return snapshot.with_tables(topics=snapshot.topics.unionByName(fresh.select(*typed)), instances=moved)
+    topics = snapshot.topics.unionByName(fresh.select(*typed_like(snapshot.topics)))
+    return snapshot.with_tables(topics=topics, instances=moved)

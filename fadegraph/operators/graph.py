@@ -22,10 +22,9 @@ def neighbors(edges: DataFrame, topics: DataFrame, topic_ids: DataFrame | None =
     kept = edges.filter(F.col("weight") >= min_weight)
     if topic_ids is not None:
         kept = kept.join(topic_ids.select("topic_id"), F.col("from_topic") == F.col("topic_id"), "left_semi")
-    named = kept.join(topics.select("id", "topic_name"), F.col("to_topic") == F.col("id"))
-    return named.select(
-        F.col("from_topic").alias("topic_id"), F.col("id").alias("neighbor_id"),
-        F.col("topic_name").alias("neighbor_name"), F.col("weight").alias("edge_weight"),
+    names = topics.select(F.col("id").alias("neighbor_id"), F.col("topic_name").alias("neighbor_name"))
+    return kept.join(names, F.col("to_topic") == F.col("neighbor_id")).select(
+        F.col("from_topic").alias("topic_id"), "neighbor_id", "neighbor_name", F.col("weight").alias("edge_weight"),
     ).orderBy("topic_id", F.desc("edge_weight"), "neighbor_id")
 
 

@@ -13,7 +13,7 @@ from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.leaders import HEAD_ROWS, choose_leaders
 from fadegraph.operators.similarity import nearest
 from fadegraph.operators.updates import AsOf
-from fadegraph.schema import Snapshot, clock, complete, new_id
+from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
 from fadegraph.session import cut_lineage
 
 
@@ -120,7 +120,11 @@ def link_edges(resolved: DataFrame, config: SearchConfig = SearchConfig()) -> Da
 
 @dataclass(frozen=True)
 class Ingested:
-    """Outcome of an import: the new tables and what was added to them."""
+    """Outcome of an import: the new tables and what was added to them.
+
+    ``added_instances`` is (entry_ord, inst_ord, id, topic_id, content,
+    content_embedding, relevance_score).
+    """
 
     snapshot: Snapshot
     resolved: DataFrame
@@ -145,15 +149,14 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
         .join(filled.select("entry_ord", "topic_embedding"), "entry_ord")
     )
     fresh = first_entry_only(new_contents(placed, snapshot.instances))
-    added = cut_lineage(complete(fresh.select(
-        new_id("instance", now, F.col("entry_ord"), F.col("inst_ord")).alias("id"), "topic_id", "content",
-        "content_embedding", relevance(F.col("topic_embedding"), F.col("content_embedding")).alias("relevance_score"),
-        "entry_ord", "inst_ord",
-    ), "instances", now))
+    added = cut_lineage(fresh.select(
+        "entry_ord", "inst_ord", new_id("instance", now, F.col("entry_ord"), F.col("inst_ord")).alias("id"), "topic_id",
+        "content", "content_embedding",
+        relevance(F.col("topic_embedding"), F.col("content_embedding")).alias("relevance_score")))
     created = resolved.filter("is_created").join(filled.select("entry_ord", "topic_embedding"), "entry_ord").select(
         F.col("topic_id").alias("id"), F.col("topic").alias("topic_name"), "topic_embedding")
     links = link_edges(resolved, config)
-    counts = fresh.groupBy("entry_ord").agg(F.count(F.lit(1)).alias("n_added"))
+    counts = added.groupBy("entry_ord").agg(F.count(F.lit(1)).alias("n_added"))
     report = (
         entries.select("entry_ord", "topic")
         .join(resolved.select("entry_ord", F.lit(True).alias("_resolved")), "entry_ord", "left")
@@ -163,19 +166,14 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
     )
     after = snapshot.with_tables(
         topics=snapshot.topics.unionByName(
-            complete(created, "topics", now).select(*_typed(snapshot.topics)), allowMissingColumns=True),
+            complete(created, "topics", now).select(*typed_like(snapshot.topics)), allowMissingColumns=True),
         instances=snapshot.instances.unionByName(
-            added.select(*_typed(snapshot.instances)), allowMissingColumns=True),
+            complete(added, "instances", now).select(*typed_like(snapshot.instances)), allowMissingColumns=True),
         edges=upsert_edges(snapshot.edges, links, now),
     )
     return Ingested(after, resolved, added, links, report)
 
 
-def _typed(target: DataFrame) -> list:
-    """Columns in the target's order and types."""
-    return [F.col(f.name).cast(f.dataType).alias(f.name) for f in target.schema.fields]
-
-
 def batch_summary(report: DataFrame) -> DataFrame:
     """One row: (n_entries, n_succeeded, all_succeeded)."""
     return report.agg(

@@ -134,10 +134,21 @@ def complete(df: DataFrame, table: str, as_of: str | Column | None = None) -> Da
         else:
             raise ValueError(f"{table} needs column {field.name}")
         kind = T.ArrayType(T.DoubleType()) if field.name in doubles else field.dataType
+        if isinstance(kind, T.ArrayType):
+            kind = T.ArrayType(kind.elementType)
         columns.append(value.cast(kind).alias(field.name))
     return df.select(*columns)
 
 
+def typed_like(target: DataFrame) -> list[Column]:
+    """Columns in the order and types of ``target``."""
+    kinds = {
+        f.name: T.ArrayType(f.dataType.elementType) if isinstance(f.dataType, T.ArrayType) else f.dataType
+        for f in target.schema.fields
+    }
+    return [F.col(name).cast(kind).alias(name) for name, kind in kinds.items()]
+
+
 def empty_snapshot(spark: SparkSession) -> Snapshot:
     return Snapshot(*(spark.createDataFrame([], s) for s in (TOPICS, INSTANCES, EDGES)))
 

@@ -58,7 +58,7 @@ from {sized('documents')} o
 join embeddings a on a.vec_id = (o.doc_id * 7) % o.n
 join embeddings b on b.vec_id = case when o.doc_id % 5 = 4 then a.vec_id
   else (o.n_chars % o.n) - (o.n_chars % o.n) % 25 end""",
-        # Links between vectors whose labels are close.
+        # Links between vectors whose labels are close; those of label 9 stay alone.
         "topic_edges": f"""
 select distinct {_topic_id(d, 'q.f')} as from_topic, {_topic_id(d, 'q.g')} as to_topic,
   cast((q.f * 13 + q.g * 7) % 100 + 1 as double) / 100 as weight, cast(0 as int) as activation_count,
@@ -68,7 +68,7 @@ from (select vec_id as f, (vec_id * 7 + 1) % n as g from {sized('embeddings')} s
   union all select vec_id, (vec_id * 11 + 5) % n from {sized('embeddings')} s
   union all select vec_id - vec_id % 25, vec_id from embeddings) q
 join embeddings x on x.vec_id = q.f join embeddings y on y.vec_id = q.g
-where q.f <> q.g and abs(x.label - y.label) <= 2""",
+where q.f <> q.g and abs(x.label - y.label) <= 2 and greatest(x.label, y.label) < 9""",
         "triples": """
 select 'customer' as source_file, c_custkey * 2 as triple_ord, c_name as subject, 'in segment' as relation,
   c_mktsegment as object from customer
@@ -92,7 +92,7 @@ join embeddings b on b.vec_id = ((k.vec_id {d['idiv']} 2) * 5) % k.n
 join embeddings x on x.vec_id = ((k.vec_id {d['idiv']} 2) * 11 + 3) % k.n""",
         # Documents are spread over entries by length; some entries get none.
         "ingest_instances": f"""
-select d.n_chars % d.n as entry_ord, d.doc_id as inst_ord, d.text as content, x.embedding as content_embedding
+select (d.n_chars + d.doc_id % 2) % d.n as entry_ord, d.doc_id as inst_ord, d.text as content, x.embedding as content_embedding
 from {sized('documents')} d join embeddings x on x.vec_id = (d.doc_id * 7) % d.n""",
     }
 

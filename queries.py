@@ -6,6 +6,7 @@ result in DuckDB SQL.  Numbers are rounded to 6 digits on both sides.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,8 +65,6 @@ class Tables:
 
 
 def _bind(sql: str, names) -> str:
-    import re
-
     for name in names:
         sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 {{{name}}}", sql)
     return sql
@@ -79,14 +78,12 @@ def _query(name: str, oracle: str | None = None, needs: str = ""):
         if oracle is not None:
             derived = ",\n".join(f"{t} as ({DUCKDB_SQL[t]})" for t in needs.split())
             body = oracle.strip()
-            if derived and body.lower().startswith("with recursive "):
-                ORACLES[name] = f"with recursive {derived},\n{body[15:]}"
-            elif derived and body.lower().startswith("with "):
-                ORACLES[name] = f"with {derived},\n{body[5:]}"
+            head = re.match(r"with(\s+recursive)?\s", body)
+            if derived and head:
+                body = f"{head[0].strip()} {derived},\n{body[head.end():]}"
             elif derived:
-                ORACLES[name] = f"with {derived}\n{body}"
-            else:
-                ORACLES[name] = body
+                body = f"with {derived}\n{body}"
+            ORACLES[name] = body
         return build
 
     return register
@@ -120,3 +117,1016 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     found = search.nearest_topics(t.queries, t.topics, 3)
     return found.select("query_id", "topic_id", _six("similarity"), "rank")
+
+
+@_query("j3_top_instances", f"""
+with near as (
+  select query_id, query_embedding, topic_id from (
+    select query_id, query_embedding, t.id as topic_id,
+      row_number() over (partition by query_id
+        order by round({_COS}(query_embedding::double[], topic_embedding), 12) desc, t.id) as rank
+    from queries cross join memory_topics t) where rank <= 3)
+select query_id, topic_id, instance_id, rank, round(score, 6) as instance_score from (
+  select query_id, n.topic_id, i.id as instance_id,
+    {_COS}(query_embedding::double[], content_embedding) * relevance_score * importance as score,
+    row_number() over (partition by query_id, n.topic_id
+      order by {_COS}(query_embedding::double[], content_embedding) * relevance_score * importance desc, i.id) as rank
+  from near n join memory_instances i on i.topic_id = n.topic_id) where rank <= 10""",
+        "queries memory_topics memory_instances")
+def _(t: Tables) -> DataFrame:
+    chosen = search.nearest_topics(t.queries, t.topics, 3).select("query_id", "topic_id")
+    best = search.top_instances(chosen, t.queries, t.instances)
+    return best.select("query_id", "topic_id", "instance_id", F.col("instance_rank").alias("rank"),
+                       _six("instance_score"))
+
+
+_PAIRS = f"""
+select row_number() over (order by similarity desc, id1, id2) as rank, id1, id2, similarity from (
+  select a.id as id1, b.id as id2, round({_COS}(a.topic_embedding, b.topic_embedding), 12) as similarity
+  from memory_topics a join memory_topics b on a.id < b.id
+  where {_COS}(a.topic_embedding, b.topic_embedding) > 0.85
+  order by 3 desc, 1, 2 limit 10)"""
+
+
+@_query("j4_similar_pairs", f"select rank, id1, id2, round(similarity, 6) as similarity from ({_PAIRS})",
+        "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return merge.similar_topics(t.topics).select("rank", "id1", "id2", _six("similarity"))
+
+
+@_query("j4_follow_best", f"""
+select id1, id2, round(similarity, 6) as similarity from (
+  select a.id as id1, b.id as id2, {_COS}(a.topic_embedding, b.topic_embedding) as similarity,
+    row_number() over (partition by b.id
+      order by round({_COS}(a.topic_embedding, b.topic_embedding), 12) desc, a.id) as rank
+  from memory_topics a join memory_topics b on a.id < b.id
+  where {_COS}(a.topic_embedding, b.topic_embedding) > 0.85) where rank = 1""", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    from fadegraph.operators.similarity import nearest_lower
+
+    best = nearest_lower(vb.side(t.topics, "id", "topic_embedding"), 0.85)
+    return best.select("id1", "id2", _six("similarity"))
+
+
+# Contents offered again: each document under its own topic and under the next.
+_OFFERED = """
+select topic_id, content, id as offer from memory_instances
+union all
+select concat('t', lpad(cast(cast(substr(topic_id, 2) as bigint) + 1 as {text}), 9, '0')), content, id
+from memory_instances"""
+
+
+@_query("j5_new_contents", f"""
+with offered as ({_OFFERED.format(text='varchar')})
+select topic_id, offer, md5(content) as content_digest from offered o
+where not exists (select 1 from memory_instances i where i.topic_id = o.topic_id and i.content = o.content)""",
+        "memory_instances")
+def _(t: Tables) -> DataFrame:
+    offered = t.spark.sql(_OFFERED.replace("memory_instances", "{memory_instances}").format(
+        text="string", memory_instances="{memory_instances}"), memory_instances=t.memory_instances)
+    fresh = ingest.new_contents(offered, t.instances)
+    return fresh.select("topic_id", "offer", F.md5("content").alias("content_digest"))
+
+
+@_query("j6_neighbors", """
+select e.from_topic as topic_id, t.id as neighbor_id, t.topic_name as neighbor_name, e.weight as edge_weight
+from topic_edges e join memory_topics t on e.to_topic = t.id where e.weight >= 0.3""", "topic_edges memory_topics")
+def _(t: Tables) -> DataFrame:
+    return graph.neighbors(t.edges, t.topics)
+
+
+_DRAW = "cast(concat('0x', substr(md5(concat(from_topic, '|', to_topic, '|42')), 1, 8)) as ubigint) / 4294967296.0"
+
+
+@_query("p20_dropout", f"""
+select from_topic, to_topic, weight, round({_DRAW}, 6) as draw, weight < 0.5 and {_DRAW} < 0.3 as is_dropped
+from topic_edges""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    draw = scoring.dropout_draw(F.col("from_topic"), F.col("to_topic"), 42)
+    return t.edges.select("from_topic", "to_topic", "weight", F.round(draw, 6).alias("draw"),
+                          scoring.is_dropped(F.col("weight"), draw, 0.3).alias("is_dropped"))
+
+
+_FOLLOWED = f"""ranked as (
+  select from_topic, to_topic, weight,
+    row_number() over (partition by from_topic order by weight desc, to_topic) as edge_rank
+  from topic_edges where weight >= 0.2),
+followed as (select * from ranked where edge_rank <= 8 and not (weight < 0.5 and {_DRAW} < {{rate}}))"""
+
+
+@_query("j10_ranked_edges", f"""
+with ranked as (
+  select from_topic, to_topic, weight,
+    row_number() over (partition by from_topic order by weight desc, to_topic) as edge_rank
+  from topic_edges where weight >= 0.2)
+select *, weight < 0.5 and {_DRAW} < 0.3 as is_dropped from ranked where edge_rank <= 8""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return graph.ranked_edges(t.edges, SearchConfig())
+
+
+# --- search ------------------------------------------------------------------
+
+
+def _search_oracle(rate: float, depth: int = 5) -> str:
+    """The levels of the search written out one after the other."""
+    parts = [_FOLLOWED.format(rate=rate), f"""l0 as (
+  select query_id, topic_id, [rank] as path, similarity as path_strength from (
+    select query_id, t.id as topic_id, {_COS}(query_embedding::double[], topic_embedding) as similarity,
+      row_number() over (partition by query_id
+        order by round({_COS}(query_embedding::double[], topic_embedding), 12) desc, t.id) as rank
+    from queries cross join memory_topics t) where rank <= 3)"""]
+    for level in range(1, depth + 1):
+        seen = " union all ".join(f"select query_id, topic_id from l{i}" for i in range(level))
+        parts.append(f"""s{level} as (
+  select l.query_id, e.to_topic as topic_id, list_append(l.path, e.edge_rank) as path,
+    l.path_strength * e.weight as path_strength
+  from l{level - 1} l join followed e on e.from_topic = l.topic_id),
+l{level} as (
+  select query_id, topic_id, path, path_strength from (
+    select *, row_number() over (partition by query_id, topic_id order by path) as arrival from s{level}) s
+  where arrival = 1 and not exists (
+    select 1 from ({seen}) v where v.query_id = s.query_id and v.topic_id = s.topic_id))""")
+    every = " union all ".join(f"select *, {i} as depth from l{i}" for i in range(depth + 1))
+    parts.append(f"visited as ({every})")
+    parts.append(f"""scored as (
+  select v.query_id, v.topic_id, t.topic_name, v.depth, v.path, v.path_strength,
+    {_COS}(q.query_embedding::double[], t.topic_embedding) * t.strength * v.path_strength as score
+  from visited v join memory_topics t on t.id = v.topic_id join queries q on q.query_id = v.query_id)""")
+    return "with " + ",\n".join(parts)
+
+
+_SEARCH_TABLES = "queries memory_topics topic_edges"
+
+
+def _bfs_columns(scored: DataFrame) -> DataFrame:
+    return scored.select("query_id", "topic_id", "depth", F.array_join("path", ".").alias("path"),
+                         _six("path_strength"), _six("score"), "is_result")
+
+
+_BFS_SELECT = """
+select query_id, topic_id, depth, array_to_string(path, '.') as path, round(path_strength, 6) as path_strength,
+  round(score, 6) as score, score > 0.25 as is_result from scored"""
+
+
+@_query("g1_bfs", _search_oracle(0.3) + _BFS_SELECT, _SEARCH_TABLES)
+def _(t: Tables) -> DataFrame:
+    return _bfs_columns(search.search(t.queries, t.topics, t.edges)[0])
+
+
+@_query("g1_bfs_no_dropout", _search_oracle(0.0) + _BFS_SELECT, _SEARCH_TABLES)
+def _(t: Tables) -> DataFrame:
+    return _bfs_columns(search.search(t.queries, t.topics, t.edges, SearchConfig(dropout_rate=0.0))[0])
+
+
+_CHOSEN = """,
+chosen as (
+  select * from (select *, row_number() over (partition by query_id order by score desc, depth, path) as rank
+  from scored where score > 0.25) where rank <= 5)"""
+
+
+@_query("g2_read", _search_oracle(0.3) + _CHOSEN + f""",
+best as (
+  select c.query_id, c.rank, c.topic_id, c.topic_name, c.score, i.content,
+    row_number() over (partition by c.query_id, c.topic_id order by
+      {_COS}(q.query_embedding::double[], i.content_embedding) * i.relevance_score * i.importance desc, i.id) as n
+  from chosen c join queries q on q.query_id = c.query_id join memory_instances i on i.topic_id = c.topic_id)
+select query_id, row_number() over (partition by query_id order by rank) as rank, topic_id, topic_name,
+  round(score, 6) as score, n_contents, contents from (
+  select query_id, rank, topic_id, topic_name, score, count(*) as n_contents,
+    md5(string_agg(content, '|' order by n)) as contents
+  from best where n <= 10 group by all)""", _SEARCH_TABLES + " memory_instances")
+def _(t: Tables) -> DataFrame:
+    results = recall(t.snapshot, t.queries, as_of=AS_OF).results
+    return results.select("query_id", "rank", "topic_id", "topic_name", _six("score"),
+                          F.size("contents").alias("n_contents"),
+                          F.md5(F.array_join("contents", "|")).alias("contents"))
+
+
+@_query("u3_u4_reinforced_topics", _search_oracle(0.3) + _CHOSEN + f""",
+visits as (select topic_id, count(*) as n from visited group by 1),
+returns as (select topic_id, count(*) as n from chosen group by 1)
+select t.id, round(least(t.strength + coalesce(v.n, 0) * 0.05 + coalesce(r.n, 0) * 0.1, 1.0), 6) as strength,
+  t.access_count + coalesce(r.n, 0) as access_count,
+  case when v.n is null then t.last_accessed else {_TS} end as last_accessed
+from memory_topics t left join visits v on v.topic_id = t.id left join returns r on r.topic_id = t.id""",
+        _SEARCH_TABLES)
+def _(t: Tables) -> DataFrame:
+    topics = recall(t.snapshot, t.queries, as_of=AS_OF).snapshot.topics
+    return topics.select("id", _six("strength"), "access_count", "last_accessed")
+
+
+@_query("u5_reinforced_edges", _search_oracle(0.3) + f""",
+used as (
+  select e.from_topic, e.to_topic, count(*) as n from visited v join followed e on e.from_topic = v.topic_id group by 1, 2)
+select e.from_topic, e.to_topic, round(least(e.weight + coalesce(u.n, 0) * 0.02, 1.0), 6) as weight,
+  case when u.n is null then e.last_activated else {_TS} end as last_activated
+from topic_edges e left join used u on u.from_topic = e.from_topic and u.to_topic = e.to_topic""", _SEARCH_TABLES)
+def _(t: Tables) -> DataFrame:
+    edges = recall(t.snapshot, t.queries, as_of=AS_OF).snapshot.edges
+    return edges.select("from_topic", "to_topic", _six("weight"), "last_activated")
+
+
+# --- statistics and export ---------------------------------------------------
+
+_ALL = "memory_topics memory_instances topic_edges"
+
+
+@_query("a1_stats", """
+select (select count(*) from memory_topics) as total_topics, (select count(*) from memory_instances) as total_instances,
+  (select count(*) from topic_edges) as total_edges,
+  (select round(avg(strength), 6) from memory_topics) as avg_topic_strength,
+  (select round(avg(weight), 6) from topic_edges) as avg_edge_weight,
+  (select count(*) from memory_topics where strength > 0.5) as strong_topics,
+  (select count(*) from memory_topics where strength < 0.2) as weak_topics""", _ALL)
+def _(t: Tables) -> DataFrame:
+    return graph.stats(t.snapshot).withColumns({
+        "avg_topic_strength": F.round("avg_topic_strength", 6), "avg_edge_weight": F.round("avg_edge_weight", 6)})
+
+
+_UNLINKED = "id not in (select from_topic from topic_edges) and id not in (select to_topic from topic_edges)"
+
+
+@_query("g4_orphans", f"select id, topic_name, strength from memory_topics where {_UNLINKED} and strength < 0.3",
+        "memory_topics topic_edges")
+def _(t: Tables) -> DataFrame:
+    return graph.orphans(t.topics, t.edges)
+
+
+@_query("j7_unlinked", f"select id, strength from memory_topics where {_UNLINKED}", "memory_topics topic_edges")
+def _(t: Tables) -> DataFrame:
+    return graph.unlinked(t.topics, t.edges).select("id", "strength")
+
+
+@_query("j9_instance_counts", "select topic_id, count(*) as instance_count from memory_instances group by 1",
+        "memory_instances")
+def _(t: Tables) -> DataFrame:
+    return graph.instance_counts(t.instances)
+
+
+@_query("g5_nodes", """
+select id, topic_name as label, strength, access_count,
+  (select count(*) from memory_instances i where i.topic_id = t.id) as instance_count,
+  round(strength * (1 + ln(1 + access_count)), 6) as size from memory_topics t""", "memory_topics memory_instances")
+def _(t: Tables) -> DataFrame:
+    return graph.export_nodes(t.topics, t.instances).withColumn("size", F.round("size", 6))
+
+
+@_query("g5_edges", """
+select from_topic as source, to_topic as target, weight, activation_count from topic_edges where weight > 0.2""",
+        "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return graph.export_edges(t.edges)
+
+
+@_query("g5_stats", """
+select (select count(distinct id) from memory_topics) as total_topics,
+  (select count(*) from memory_instances) as total_instances,
+  (select count(*) from topic_edges where weight > 0.2) as total_edges,
+  (select round(coalesce(avg(strength), 0), 6) from memory_topics) as avg_topic_strength""", _ALL)
+def _(t: Tables) -> DataFrame:
+    return graph.export_stats(t.snapshot).withColumn("avg_topic_strength", F.round("avg_topic_strength", 6))
+
+
+@_query("constraints", """
+select 'topics_range' as check, (select count(*) from memory_topics where strength not between 0 and 1) as n_rows
+union all select 'instances_range', (select count(*) from memory_instances
+  where relevance_score not between 0 and 1 or importance not between 0 and 1)
+union all select 'edges_range', (select count(*) from topic_edges where weight not between 0 and 1)
+union all select 'topics_key', (select count(*) - count(distinct id) from memory_topics)
+union all select 'instances_key', (select count(*) - count(distinct id) from memory_instances)
+union all select 'edges_key', (select count(*) - count(distinct (from_topic, to_topic)) from topic_edges)
+union all select 'dangling', (select count(*) from memory_instances where topic_id not in (select id from memory_topics))""",
+        _ALL)
+def _(t: Tables) -> DataFrame:
+    return violations(t.snapshot)
+
+
+# --- forgetting --------------------------------------------------------------
+
+_DAYS = f"(epoch_us({_TS}) - epoch_us({{ts}})) / 86400000000.0"
+_TOPIC_DAYS = _DAYS.format(ts="last_accessed")
+_DECAYED = f"strength * pow(0.5, {_TOPIC_DAYS} / half_life_days)"
+
+
+@_query("u6_decay_topics", f"""
+select id, round(greatest({_DECAYED}, 0.01), 6) as strength, round({_DECAYED}, 6) as decayed_strength
+from memory_topics""", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return updates.decay_topics(t.topics, AS_OF).select("id", _six("strength"), _six("decayed_strength"))
+
+
+@_query("u7_decay_edges", f"""
+select from_topic, to_topic, last_activated < {_TS} - interval '1 day' as is_decayed,
+  round(case when last_activated < {_TS} - interval '1 day'
+    then greatest(weight * pow(0.5, {_DAYS.format(ts='last_activated')} / 7.0), 0.01) else weight end, 6) as weight
+from topic_edges""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return updates.decay_idle_edges(t.edges, AS_OF).select("from_topic", "to_topic", "is_decayed", _six("weight"))
+
+
+@_query("a11_decayed_edge_count", f"""
+select count(*) as n_decayed from topic_edges where last_activated < {_TS} - interval '1 day'""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return updates.decay_idle_edges(t.edges, AS_OF).agg(F.count_if("is_decayed").alias("n_decayed"))
+
+
+@_query("t4_access_fold", """
+select t.id, round(least(strength + coalesce(n, 0) * 0.1, 1.0), 6) as strength,
+  access_count + coalesce(n, 0) as access_count,
+  case when n is null then last_accessed else greatest(last_accessed, last) end as last_accessed,
+  round(half_life_days * pow(1.1, least(coalesce(n, 0), 100)), 4) as half_life_days
+from memory_topics t left join (
+  select topic_id, count(*) as n, max(ts) as last from access_log group by 1) a on a.topic_id = t.id""",
+        "memory_topics access_log")
+def _(t: Tables) -> DataFrame:
+    # The half-life of a topic with very many accesses outgrows 6 digits; the
+    # fold itself has no cap, so it is shown on at most 100 accesses.
+    counts = updates.count_accesses(t.access_log)
+    folded = updates.strengthen_topics(t.topics, counts, as_of=AS_OF)
+    capped = updates.strengthen_topics(
+        t.topics, counts.withColumn("n_accesses", F.least("n_accesses", F.lit(100))), as_of=AS_OF)
+    return folded.drop("half_life_days").join(
+        capped.select("id", F.round("half_life_days", 4).alias("half_life_days")), "id").select(
+        "id", _six("strength"), "access_count", "last_accessed", "half_life_days")
+
+
+@_query("u8_strengthen", f"""
+select id, round(least(strength + 0.1, 1.0), 6) as strength, access_count + 1 as access_count,
+  {_TS} as last_accessed, round(half_life_days * 1.1, 6) as half_life_days from memory_topics""", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    once = t.topics.select(F.col("id").alias("topic_id"), F.lit(1).alias("n_accesses"),
+                           clock(AS_OF).alias("last_access"))
+    return updates.strengthen_topics(t.topics, once, as_of=AS_OF).select(
+        "id", _six("strength"), "access_count", "last_accessed", _six("half_life_days"))
+
+
+_WEAK = f"""
+weak as (select id from memory_topics where greatest({_DECAYED}, 0.01) < 0.05
+  and last_accessed < {_TS} - interval '30 days' and access_count < 5)"""
+
+
+@_query("u9_evict", f"""
+with {_WEAK}
+select 'topics' as kind, (select count(*) from memory_topics where id not in (select id from weak)) as n_left,
+  (select count(*) from weak) as n_removed
+union all select 'instances', (select count(*) from memory_instances where topic_id not in (select id from weak)),
+  (select count(*) from memory_instances where topic_id in (select id from weak))
+union all select 'edges',
+  (select count(*) from topic_edges where from_topic not in (select id from weak) and to_topic not in (select id from weak)),
+  (select count(*) from topic_edges where from_topic in (select id from weak) or to_topic in (select id from weak))""", _ALL)
+def _(t: Tables) -> DataFrame:
+    before = t.snapshot
+    after, _ = updates.evict(before, as_of=AS_OF)
+    parts = []
+    for kind in ("topics", "instances", "edges"):
+        old = getattr(before, kind).select(F.lit(kind).alias("kind"), F.lit(0).alias("is_left"))
+        new = getattr(after, kind).select(F.lit(kind).alias("kind"), F.lit(1).alias("is_left"))
+        parts.append(old.unionByName(new).groupBy("kind").agg(
+            F.sum("is_left").alias("n_left"), (F.count(F.lit(1)) - 2 * F.sum("is_left")).alias("n_removed")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("u9_evicted_topics", f"with {_WEAK} select id from weak", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return updates.evict(t.snapshot, as_of=AS_OF)[1].select("id")
+
+
+@_query("u10_importance", f"""
+select i.id, round(0.3
+  * exp(-(extract(day from {_TS} - i.last_accessed)) / 30.0) + 0.4 * relevance_score
+  + 0.3 * least((1 - {_COS}(i.content_embedding, t.topic_embedding)) * 1.5, 1.0), 6) as importance
+from memory_instances i join memory_topics t on t.id = i.topic_id""", "memory_instances memory_topics")
+def _(t: Tables) -> DataFrame:
+    return updates.rescore_importance(t.instances, t.topics, AS_OF).select("id", _six("importance"))
+
+
+@_query("u11_fade_edges", """
+select from_topic, to_topic, round(case when weight > 0.1 then weight * 0.95 else weight end, 6) as weight
+from topic_edges""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return updates.fade_edges(t.edges).select("from_topic", "to_topic", _six("weight"))
+
+
+@_query("u12_prune_edges", "select from_topic, to_topic, weight from topic_edges where not weight < 0.05",
+        "topic_edges")
+def _(t: Tables) -> DataFrame:
+    return updates.prune_edges(t.edges).select("from_topic", "to_topic", "weight")
+
+
+@_query("u15_orphans", f"""
+select id from memory_topics where not ({_UNLINKED} and strength < 0.1 and access_count < 2)""",
+        "memory_topics topic_edges")
+def _(t: Tables) -> DataFrame:
+    gone = graph.forgotten_orphans(t.topics, t.edges)
+    return updates.cascade(t.snapshot, gone).topics.select("id")
+
+
+@_query("u17_touch_topics", """
+select t.id, greatest(t.last_accessed, coalesce(m.latest, t.last_accessed)) as last_accessed
+from memory_topics t left join (
+  select topic_id, max(last_accessed) as latest from memory_instances group by 1) m on m.topic_id = t.id""",
+        "memory_topics memory_instances")
+def _(t: Tables) -> DataFrame:
+    return updates.touch_topics(t.topics, t.instances).select("id", "last_accessed")
+
+
+# --- scores on joined rows ---------------------------------------------------
+
+_HOMES = """
+from memory_instances i join memory_topics t on t.id = i.topic_id"""
+
+
+def _homes(t: Tables) -> DataFrame:
+    topics = t.topics.select(F.col("id").alias("home"), "topic_embedding")
+    return t.instances.join(topics, F.col("topic_id") == F.col("home"))
+
+
+@_query("p1_cosine", f"select i.id, round({_COS}(topic_embedding, content_embedding), 6) as similarity {_HOMES}",
+        "memory_instances memory_topics")
+def _(t: Tables) -> DataFrame:
+    similarity = vectors.cosine_similarity(F.col("topic_embedding"), F.col("content_embedding"))
+    return _homes(t).select("id", F.round(similarity, 6).alias("similarity"))
+
+
+@_query("p2_relevance", f"""
+select i.id, round(greatest(0, 1 - list_distance(topic_embedding, content_embedding) / 2), 6) as relevance {_HOMES}""",
+        "memory_instances memory_topics")
+def _(t: Tables) -> DataFrame:
+    score = vectors.relevance(F.col("topic_embedding"), F.col("content_embedding"))
+    return _homes(t).select("id", F.round(score, 6).alias("relevance"))
+
+
+@_query("p3_guarded_cosine", f"""
+select i.id, round(case when i.relevance_score = 0 then 0
+  else {_COS}(topic_embedding, content_embedding) end, 6) as similarity {_HOMES}""",
+        "memory_instances memory_topics")
+def _(t: Tables) -> DataFrame:
+    # Instances of no relevance get a vector of zeros, which has no direction.
+    vector = F.transform("content_embedding", lambda v: F.when(F.col("relevance_score") == 0, 0.0).otherwise(v))
+    similarity = vectors.cosine_or_zero(F.col("topic_embedding"), vector)
+    return _homes(t).select("id", F.round(similarity, 6).alias("similarity"))
+
+
+@_query("p4_l2_topk", """
+select topic_id, instance_id, rank, round(distance, 6) as distance from (
+  select i.topic_id, i.id as instance_id, list_distance(topic_embedding, content_embedding) as distance,
+    row_number() over (partition by i.topic_id
+      order by list_distance(topic_embedding, content_embedding), i.id) as rank
+  from memory_instances i join memory_topics t on t.id = i.topic_id) where rank <= 10""",
+        "memory_instances memory_topics")
+def _(t: Tables) -> DataFrame:
+    gap = vectors.l2_distance(F.col("topic_embedding"), F.col("content_embedding"))
+    near = _homes(t).select("topic_id", F.col("id").alias("instance_id"), gap.alias("distance"))
+    order = Window.partitionBy("topic_id").orderBy("distance", "instance_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 10).withColumn(
+        "distance", F.round("distance", 6))
+
+
+@_query("p8_days", f"""
+select id, extract(day from {_TS} - last_accessed) as whole_days, round({_TOPIC_DAYS}, 6) as days
+from memory_instances""", "memory_instances")
+def _(t: Tables) -> DataFrame:
+    now = clock(AS_OF)
+    days = scoring.elapsed_days(F.col("last_accessed"), now)
+    return t.instances.select("id", scoring.whole_days(F.col("last_accessed"), now).alias("whole_days"),
+                              F.round(days, 6).alias("days"))
+
+
+# --- triples -----------------------------------------------------------------
+
+_TRIPLES = "triples"
+
+
+@_query("a2_by_subject", """
+select source_file, subject as topic, triple_ord as ord, concat(relation, ' ', object) as instance from triples""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    return aggregate.convert(t.triples, "subject")
+
+
+@_query("a3_by_relation", """
+select source_file, relation as topic, triple_ord as ord, concat(subject, ' ', relation, ' ', object) as instance
+from triples""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    return aggregate.convert(t.triples, "relation")
+
+
+@_query("a4_hybrid", """
+with counted as (
+  select *, count(*) over (partition by source_file, subject) as n_s,
+    count(*) over (partition by source_file, relation) as n_r from triples),
+filed as (
+  select source_file, case when n_s >= 3 then subject when n_r >= 3 then relation end as topic, triple_ord as ord,
+    case when n_s >= 3 then concat(relation, ' ', object) else concat(subject, ' ', relation, ' ', object) end as instance
+  from counted),
+sized as (select *, count(*) over (partition by source_file, topic) as n from filed where topic is not null)
+select source_file, topic, ord, instance from sized where n >= 3""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    return aggregate.convert(t.triples, "hybrid", min_instances=3)
+
+
+@_query("a5_entity", """
+select source_file, subject as topic, triple_ord * 2 as ord, concat(relation, ' ', object) as instance from triples
+union all select source_file, object, triple_ord * 2 + 1, concat(subject, ' ', relation) from triples""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    return aggregate.convert(t.triples, "entity")
+
+
+@_query("a13_frequencies", """
+select 'subject' as role, source_file, subject as value, count(*) as n_triples from triples group by all
+union all select 'relation', source_file, relation, count(*) from triples group by all""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    counted = [
+        aggregate.frequencies(t.triples, c).select(
+            F.lit(c).alias("role"), "source_file", F.col(c).alias("value"), "n_triples")
+        for c in ("subject", "relation")]
+    return counted[0].unionByName(counted[1])
+
+
+@_query("a2_topic_sizes", """
+select source_file, subject as topic, count(*) as n_instances, min(triple_ord) as first_ord from triples group by 1, 2""",
+        _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    return aggregate.topic_sizes(aggregate.by_subject(t.triples))
+
+
+@_query("a14_topic_arrays", """
+select source_file, topic, chunk, first_ord, len(list) as n_instances, array_to_string(list, '|') as instances from (
+  select source_file, object as topic, triple_ord // 100 as chunk, min(triple_ord) as first_ord,
+    list(concat(subject, ' ', relation) order by triple_ord) as list from triples group by 1, 2, 3)""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    rows = t.triples.select("source_file", F.col("object").alias("topic"), F.col("triple_ord").alias("ord"),
+                            F.concat_ws(" ", "subject", "relation").alias("instance"))
+    return aggregate.topic_arrays(rows, 100).select(
+        "source_file", "topic", "chunk", "first_ord", F.size("instances").alias("n_instances"),
+        F.array_join("instances", "|").alias("instances"))
+
+
+def _kmeans(t: Tables) -> DataFrame:
+    class Hashed:
+        @staticmethod
+        def add(df: DataFrame, column: str) -> DataFrame:
+            return embed_hashed(df, column, 32)
+
+    return aggregate.convert(t.triples, "semantic", embedder=Hashed)
+
+
+@_query("a6_kmeans")
+def _(t: Tables) -> DataFrame:
+    return _kmeans(t).groupBy("topic").agg(F.count(F.lit(1)).alias("n_instances"))
+
+
+# Every customer is a file of two triples, in one of the layouts by its segment.
+def _triple_files(t: Tables) -> DataFrame:
+    nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = t.customer.join(nations, "c_nationkey")
+    fields = {
+        "AUTOMOBILE": ("subject", "relation", "object"),
+        "BUILDING": ("arg1", "rel", "arg2"),
+        "FURNITURE": ("subject", "predicate", "object"),
+        "HOUSEHOLD": ("arg1", "predicate", "object"),
+    }
+
+    def pair(names: tuple[str, str, str]) -> Column:
+        def one(relation: str, end: Column) -> Column:
+            return F.struct(F.concat(F.lit("\n "), "c_name", F.lit(" ")).alias(names[0]),
+                            F.lit(relation).alias(names[1]), end.alias(names[2]))
+
+        return F.array(one("in segment", F.col("c_mktsegment")), one("lives in", F.col("n_name")))
+
+    generic = F.to_json(F.struct(pair(("subject", "rel", "arg2")).alias("extractions")))
+    text_ = F.when(
+        F.col("c_mktsegment") == "AUTOMOBILE",
+        F.to_json(F.struct(F.array(F.struct(pair(fields["AUTOMOBILE"]).alias("triples"))).alias("sentences"))),
+    ).when(F.col("c_mktsegment") == "BUILDING", F.to_json(pair(fields["BUILDING"]))
+           ).when(F.col("c_mktsegment") == "FURNITURE", F.to_json(pair(fields["FURNITURE"]))
+                  ).when(F.col("c_mktsegment") == "HOUSEHOLD",
+                         F.to_json(F.struct(pair(fields["HOUSEHOLD"]).alias("triples")))).otherwise(generic)
+    return rows.select(F.col("c_name").alias("source_file"), text_.alias("text"))
+
+
+@_query("r4_layouts", """
+select case c_mktsegment when 'AUTOMOBILE' then 'stanford' when 'BUILDING' then 'allennlp'
+  when 'FURNITURE' then 'clausie' else 'generic' end as layout, count(*) as n_files from customer group by 1""")
+def _(t: Tables) -> DataFrame:
+    return _triple_files(t).groupBy(openie.layout(F.col("text")).alias("layout")).agg(
+        F.count(F.lit(1)).alias("n_files"))
+
+
+@_query("r5_triples", """
+select c_name as source_file, 0 as triple_ord, c_name as subject, 'in segment' as relation, c_mktsegment as object
+from customer
+union all select c_name, 1, c_name, 'lives in', n_name from customer join nation on c_nationkey = n_nationkey""")
+def _(t: Tables) -> DataFrame:
+    return openie.triples(_triple_files(t))
+
+
+@_query("r12_record_texts", """
+select cast(conv_id as varchar) as source_file, role, count(*) as n_texts, sum(length(text)) as n_chars
+from conversations where text <> '' group by 1, 2""")
+def _(t: Tables) -> DataFrame:
+    # Each turn is a file of one record; the role decides the field that holds the text.
+    record = F.when(F.col("role") == "user", F.to_json(F.array(F.struct(F.col("text").alias("sentence"))))).when(
+        F.col("role") == "assistant", F.to_json(F.array(F.struct(F.lit("").alias("sentence"), "text")))).otherwise(
+        F.to_json(F.array(F.array("text"))))
+    files = t.conversations.select(F.concat_ws("|", "conv_id", "role", "turn").alias("source_file"),
+                                   record.alias("text"))
+    parts = F.split("source_file", r"\|")
+    return openie.record_texts(files).filter(F.col("text") != "").groupBy(
+        parts[0].alias("source_file"), parts[1].alias("role")).agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
+
+
+# --- topic maps and tables ---------------------------------------------------
+
+
+def _conversation_maps(t: Tables) -> DataFrame:
+    """One topic-map file per conversation: its turns in order, and its roles as a plain text."""
+    turns = t.conversations.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda p: p["text"]).alias("texts"),
+        F.count(F.lit(1)).alias("n"))
+    name = F.concat(F.lit("conv_"), F.col("conv_id").cast("string"))
+    good = F.to_json(F.map_from_arrays(F.array(name), F.array("texts")))
+    body = F.concat(F.substring(good, 1, F.length(good) - 1), F.lit(',"turns":"'), F.col("n").cast("string"), F.lit('"}'))
+    return turns.select(name.alias("source_file"), body.alias("text"))
+
+
+@_query("r1_topic_map", """
+select concat('conv_', cast(conv_id as varchar)) as source_file, concat('conv_', cast(conv_id as varchar)) as topic,
+  row_number() over (partition by conv_id order by turn, text) - 1 as ord, md5(text) as instance
+from conversations""")
+def _(t: Tables) -> DataFrame:
+    entries, _ = topic_map.parse_topic_map(_conversation_maps(t))
+    return topic_map.topic_map_rows(entries).select("source_file", "topic", "ord", F.md5("instance").alias("instance"))
+
+
+@_query("r1_quarantine", """
+select concat('conv_', cast(conv_id as varchar)) as source_file, 'turns' as topic, cast(count(*) as varchar) as value
+from conversations group by 1""")
+def _(t: Tables) -> DataFrame:
+    return topic_map.parse_topic_map(_conversation_maps(t))[1].select("source_file", "topic", "value")
+
+
+@_query("r10_positions", """
+select topic, value, ord from (
+  select concat('conv_', cast(conv_id as varchar)) as topic, md5(text) as value,
+    row_number() over (partition by conv_id order by turn, text) as ord from conversations)""")
+def _(t: Tables) -> DataFrame:
+    entries, _ = topic_map.parse_topic_map(_conversation_maps(t))
+    rows = tables.with_position(entries.select("topic", "instances"), "instances")
+    return rows.select("topic", F.md5("value").alias("value"), "ord")
+
+
+_BLANKS = "concat(" + ", ".join(
+    f"chr({c})" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                          0x202F, 0x205F, 0x3000)) + ")"
+
+
+@_query("r6_tabular", f"""
+select 'documents' as source_file, trim(source, {_BLANKS}) as topic, doc_id * 3 + pos as ord, md5(instance) as instance
+from (select doc_id, source, unnest([trim(text, {_BLANKS}), trim(lang, {_BLANKS}), cast(n_chars as varchar)]) as instance,
+  unnest([0, 1, 2]) as pos from documents) where trim(source, {_BLANKS}) <> ''""")
+def _(t: Tables) -> DataFrame:
+    table = t.documents.select("source", "text", "lang", "n_chars", "doc_id")
+    rows = tabular.tabular_rows(table, order_by="doc_id", source="documents")
+    return rows.select("source_file", "topic", "ord", F.md5("instance").alias("instance"))
+
+
+@_query("r6_falsy_topics", """
+select 'labels' as source_file, cast(quality as varchar) as topic, doc_id as ord, cast(toxic as varchar) as instance
+from labels where quality <> 0""")
+def _(t: Tables) -> DataFrame:
+    table = t.labels.select("quality", "toxic", "doc_id")
+    return tabular.tabular_rows(table, order_by="doc_id", source="labels")
+
+
+@_query("l7_first_samples", """
+select 'orders' as source_file, o_orderpriority as topic, o_orderkey as ord, o_orderstatus as instance
+from orders order by o_orderkey limit 1000""")
+def _(t: Tables) -> DataFrame:
+    table = t.orders.select("o_orderpriority", "o_orderstatus", "o_orderkey")
+    return tabular.tabular_rows(table, order_by="o_orderkey", max_samples=1000, source="orders")
+
+
+@_query("a8_ordered_distinct", f"""
+select lang, md5(trim(text, {_BLANKS})) as text, min(doc_id) as doc_id from documents
+where trim(text, {_BLANKS}) <> '' group by 1, 2""")
+def _(t: Tables) -> DataFrame:
+    rows = aggregate.ordered_distinct(t.documents.select("lang", "text", "doc_id"), "lang", "text", "doc_id")
+    return rows.select("lang", F.md5("text").alias("text"), "doc_id")
+
+
+@_query("a12_group_mean", """
+select topic_id, pos, round(avg(value), 6) as mean from (
+  select topic_id, unnest(range(len(content_embedding))) as pos, unnest(content_embedding) as value
+  from memory_instances) group by 1, 2""", "memory_instances")
+def _(t: Tables) -> DataFrame:
+    means = vectors.group_mean(t.instances, ["topic_id"], "content_embedding", "centre")
+    return means.select("topic_id", F.posexplode("centre").alias("pos", "mean")).withColumn(
+        "mean", F.round("mean", 6))
+
+
+@_query("a9_small_topics", """
+select id, topic_id from (select *, count(*) over (partition by topic_id) as n from memory_instances) where n < 3""",
+        "memory_instances")
+def _(t: Tables) -> DataFrame:
+    return discover.small_topic_instances(t.instances).select("id", "topic_id")
+
+
+@_query("f1_embed_hashed", """
+select doc_id, 64 as width, case when regexp_matches(text, '[\\pL\\pN_\\pM]') then 1.0 else 0.0 end as length
+from documents""")
+def _(t: Tables) -> DataFrame:
+    embedded = embed_hashed(t.documents.select("doc_id", "text"), "text", 64)
+    return embedded.select("doc_id", F.size("embedding").alias("width"),
+                           F.round(vectors.norm(F.col("embedding")), 4).alias("length"))
+
+
+# --- ingest ------------------------------------------------------------------
+
+# Entries are walked in order; ``created`` lists those that made a topic.
+_INGEST = f"""with recursive
+filled as (select * from ingest_entries e where exists (select 1 from ingest_instances i where i.entry_ord = e.entry_ord)),
+stored as (
+  select entry_ord, arg_min(id, (-similarity, id)) as stored_id, max(similarity) as stored_sim from (
+    select entry_ord, t.id, round({_COS}(e.topic_embedding, t.topic_embedding), 12) as similarity
+    from filled e cross join memory_topics t) group by 1),
+pairs as (
+  select a.entry_ord as later, b.entry_ord as earlier, round({_COS}(a.topic_embedding, b.topic_embedding), 12) as similarity
+  from filled a join filled b on b.entry_ord < a.entry_ord),
+turns as (
+  select s.entry_ord, row_number() over (order by s.entry_ord) as n, stored_sim > 0.9 as covered,
+    (select coalesce(list(earlier), []) from pairs p where p.later = s.entry_ord and similarity > 0.9) as near
+  from stored s),
+walk(n, created) as (
+  select 0::bigint, []::bigint[]
+  union all
+  select w.n + 1, case when t.covered or list_has_any(t.near, w.created) then w.created
+    else list_append(w.created, t.entry_ord) end
+  from walk w join turns t on t.n = w.n + 1),
+created as (select unnest(created) as entry_ord from walk where n = (select max(n) from walk)),
+best as (
+  select later, arg_min(earlier, (-similarity, earlier)) as earlier, max(similarity) as similarity
+  from pairs where earlier in (select entry_ord from created) and similarity > 0.75 group by 1),
+resolved as (
+  select s.entry_ord, s.entry_ord in (select entry_ord from created) as is_created,
+    case when b.similarity > s.stored_sim then concat('entry_', cast(b.earlier as varchar)) else s.stored_id end as nearest,
+    greatest(s.stored_sim, b.similarity) as similarity
+  from stored s left join best b on b.later = s.entry_ord)"""
+
+_INGEST_TABLES = "ingest_entries ingest_instances memory_topics"
+
+
+def _named_resolution(t: Tables) -> DataFrame:
+    entries = t.ingest_entries.join(t.ingest_instances.select("entry_ord"), "entry_ord", "left_semi")
+    resolved = ingest.resolve_entries(entries, t.topics, as_of=AS_OF)
+    made = resolved.filter("is_created").select(F.col("topic_id").alias("nearest_id"), F.col("topic").alias("made"))
+    return resolved.join(made, "nearest_id", "left").withColumn("nearest", F.coalesce("made", "nearest_id"))
+
+
+@_query("u1_resolve_topics", _INGEST + """
+select entry_ord, is_created, case when similarity > 0.75 then nearest end as nearest,
+  case when similarity > 0.75 then round(similarity, 6) end as similarity from resolved""", _INGEST_TABLES)
+def _(t: Tables) -> DataFrame:
+    close = F.col("nearest_similarity") > 0.75
+    return _named_resolution(t).select(
+        "entry_ord", "is_created", F.when(close, F.col("nearest")).alias("nearest"),
+        F.when(close, F.round("nearest_similarity", 6)).alias("similarity"))
+
+
+@_query("u2_auto_links", _INGEST + """
+select nearest as from_topic, entry_ord as to_entry, round(similarity, 6) as weight
+from resolved where is_created and similarity > 0.75""", _INGEST_TABLES)
+def _(t: Tables) -> DataFrame:
+    resolved = _named_resolution(t)
+    owners = resolved.select(F.col("topic_id").alias("to_topic"), "entry_ord", "nearest").filter("is_created")
+    links = ingest.link_edges(resolved)
+    return links.join(owners, "to_topic").select(
+        F.col("nearest").alias("from_topic"), F.col("entry_ord").alias("to_entry"), _six("weight"))
+
+
+_IMPORTED = _INGEST + """,
+homes as (
+  select entry_ord, case when is_created then concat('entry_', cast(entry_ord as varchar)) else nearest end as home
+  from resolved),
+placed as (
+  select h.home, i.*, list_distance(e.topic_embedding, i.content_embedding::double[]) as gap
+  from ingest_instances i join homes h on h.entry_ord = i.entry_ord join filled e on e.entry_ord = i.entry_ord),
+added as (
+  select * from (select *, min(entry_ord) over (partition by home, content) as first_entry from placed p
+    where not exists (select 1 from memory_instances m where m.topic_id = p.home and m.content = p.content))
+  where entry_ord = first_entry)"""
+
+
+def _import(t: Tables) -> ingest.Ingested:
+    return ingest.ingest(t.snapshot, t.ingest_entries, t.ingest_instances, as_of=AS_OF)
+
+
+@_query("w2_added_instances", _IMPORTED + """
+select entry_ord, inst_ord, home, round(greatest(0, 1 - gap / 2), 6) as relevance_score, 0.5 as importance from added""",
+        _INGEST_TABLES + " memory_instances")
+def _(t: Tables) -> DataFrame:
+    done = _import(t)
+    made = done.resolved.filter("is_created").select("topic_id", F.col("topic").alias("made"))
+    stored = done.snapshot.instances.select("id", "topic_id", "relevance_score", "importance")
+    numbered = done.added_instances.select("id", "entry_ord", "inst_ord")
+    return numbered.join(stored, "id").join(made, "topic_id", "left").select(
+        "entry_ord", "inst_ord", F.coalesce("made", "topic_id").alias("home"), _six("relevance_score"), "importance")
+
+
+@_query("w1_entry_report", _IMPORTED + """
+select e.entry_ord, e.topic, e.entry_ord in (select entry_ord from filled) as is_added,
+  (select count(*) from added a where a.entry_ord = e.entry_ord) as n_added from ingest_entries e""",
+        _INGEST_TABLES + " memory_instances")
+def _(t: Tables) -> DataFrame:
+    return _import(t).report
+
+
+@_query("a15_batch_summary", """
+select count(*) as n_entries, count(*) filter (where entry_ord in (select entry_ord from ingest_instances)) as n_succeeded,
+  count(*) = count(*) filter (where entry_ord in (select entry_ord from ingest_instances)) as all_succeeded
+from ingest_entries""", "ingest_entries ingest_instances")
+def _(t: Tables) -> DataFrame:
+    return ingest.batch_summary(_import(t).report)
+
+
+# Every edge is offered again, and its reverse, with half its weight plus 0.3.
+_OFFERS = """
+select from_topic, to_topic, round(weight / 2 + 0.3, 6) as weight from topic_edges
+union all select to_topic, from_topic, round(weight / 2 + 0.3, 6) from topic_edges"""
+
+
+@_query("w5_edge_upsert", f"""
+with offers as (select from_topic, to_topic, max(weight) as weight from ({_OFFERS}) group by 1, 2)
+select coalesce(e.from_topic, o.from_topic) as from_topic, coalesce(e.to_topic, o.to_topic) as to_topic,
+  greatest(e.weight, o.weight) as weight, coalesce(e.last_activated, {_TS}) as last_activated
+from topic_edges e full join offers o on e.from_topic = o.from_topic and e.to_topic = o.to_topic""", "topic_edges")
+def _(t: Tables) -> DataFrame:
+    edges = t.edges
+    offers = t.spark.sql(_OFFERS.replace("topic_edges", "{topic_edges}"), topic_edges=edges)
+    return ingest.upsert_edges(edges, offers, AS_OF).select("from_topic", "to_topic", "weight", "last_activated")
+
+
+# --- clustering, discovery, merging ------------------------------------------
+
+_DBSCAN = f"""with recursive
+points as (
+  select id, content, content_embedding from (
+    select *, count(*) over (partition by topic_id) as n from memory_instances) where n < 3),
+near as (
+  select a.id as a, b.id as b from points a cross join points b
+  where 1 - {_COS}(a.content_embedding, b.content_embedding) <= 0.3),
+cores as (select a as id from near group by a having count(*) >= 5),
+links as (select a, b from near where a in (select id from cores) and b in (select id from cores)),
+reach(a, b) as (
+  select a, b from links
+  union
+  select r.a, l.b from reach r join links l on l.a = r.b),
+named as (select a as id, min(b) as cluster from reach group by a),
+clustered as (
+  select id, true as is_core, cluster from named
+  union all
+  select n.a, false, min(m.cluster) from near n join named m on m.id = n.b
+  where n.a not in (select id from cores) group by n.a)"""
+
+
+@_query("a16_dbscan", _DBSCAN + """
+select p.id, coalesce(c.is_core, false) as is_core, c.cluster from points p left join clustered c on c.id = p.id""",
+        "memory_instances")
+def _(t: Tables) -> DataFrame:
+    return density.dbscan(discover.small_topic_instances(t.instances), "id", "content_embedding")
+
+
+@_query("u13_discovered", _DBSCAN + """
+select concat('[INFO] Automatically discovered: ', substr(arg_min(p.content, p.id), 1, 30)) as topic_name,
+  c.cluster, count(*) as n_members, round(avg(p.content_embedding[1]), 6) as first_coordinate
+from points p join clustered c on c.id = p.id group by c.cluster""", "memory_instances")
+def _(t: Tables) -> DataFrame:
+    loose = discover.small_topic_instances(t.instances)
+    found = density.dbscan(loose, "id", "content_embedding").filter(F.col("cluster").isNotNull())
+    members = found.join(loose.select("id", "content", "content_embedding"), "id")
+    return discover.discovered_topics(members, AS_OF).select(
+        "topic_name", "cluster", "n_members", F.round(F.element_at("topic_embedding", 1), 6).alias("first_coordinate"))
+
+
+@_query("u13_reassigned", _DBSCAN + """
+select i.id, case when c.cluster is null then i.topic_id else concat('cluster of ', c.cluster) end as topic_id
+from memory_instances i left join clustered c on c.id = i.id""", "memory_instances")
+def _(t: Tables) -> DataFrame:
+    before = t.snapshot
+    after = discover.discover_topics(before, as_of=AS_OF)
+    moved = after.instances.select("id", "topic_id").join(
+        before.topics.select(F.col("id").alias("topic_id"), F.lit(True).alias("is_old")), "topic_id", "left")
+    # A new topic is known here by the lowest id among its members.
+    lowest = moved.filter(F.col("is_old").isNull()).groupBy("topic_id").agg(F.min("id").alias("lowest"))
+    core = density.dbscan(discover.small_topic_instances(before.instances), "id", "content_embedding").filter("is_core")
+    named = moved.join(core.select("id", "cluster"), "id").groupBy("topic_id").agg(F.min("cluster").alias("cluster"))
+    return moved.join(lowest, "topic_id", "left").join(named, "topic_id", "left").select(
+        "id", F.when(F.col("is_old").isNull(), F.concat(F.lit("cluster of "), "cluster")).otherwise(
+            F.col("topic_id")).alias("topic_id"))
+
+
+_MERGE = f"""with recursive
+pairs as {_PAIRS.replace('0.85', '0.92').join(['(', ')'])},
+parents as (select id2 as node, arg_min(id1, rank) as parent from pairs group by id2),
+climb(node, above) as (
+  select node, parent from parents
+  union
+  select c.node, p.parent from climb c join parents p on p.node = c.above),
+targets as (select node as merged_id, above as kept_id from climb where above not in (select node from parents))"""
+
+
+@_query("u14_merge", _MERGE + " select merged_id, kept_id from targets", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return merge.merge_plan(t.topics, 0.92)
+
+
+@_query("u14_merged_tables", _MERGE + """
+select 'instances' as kind, i.id as a, coalesce(t.kept_id, i.topic_id) as b, null as weight
+from memory_instances i left join targets t on t.merged_id = i.topic_id
+union all
+select 'edges', coalesce(f.kept_id, e.from_topic), coalesce(t.kept_id, e.to_topic), max(weight)
+from topic_edges e left join targets f on f.merged_id = e.from_topic left join targets t on t.merged_id = e.to_topic
+group by 1, 2, 3
+union all
+select 'topics', id, null, null from memory_topics where id not in (select merged_id from targets)""", _ALL)
+def _(t: Tables) -> DataFrame:
+    after = merge.merge_similar(t.snapshot, 0.92)
+    nothing = F.lit(None)
+    return after.instances.select(
+        F.lit("instances").alias("kind"), F.col("id").alias("a"), F.col("topic_id").alias("b"),
+        nothing.cast("double").alias("weight"),
+    ).unionByName(after.edges.select(
+        F.lit("edges").alias("kind"), F.col("from_topic").alias("a"), F.col("to_topic").alias("b"), "weight")
+    ).unionByName(after.topics.select(
+        F.lit("topics").alias("kind"), F.col("id").alias("a"), nothing.cast("string").alias("b"),
+        nothing.cast("double").alias("weight")))
+
+
+@_query("u14_merge_all", f"""with recursive
+parents as (
+  select node, parent from (
+    select b.id as node, a.id as parent, row_number() over (partition by b.id
+      order by round({_COS}(a.topic_embedding, b.topic_embedding), 12) desc, a.id) as rank
+    from memory_topics a join memory_topics b on a.id < b.id
+    where {_COS}(a.topic_embedding, b.topic_embedding) > 0.92) where rank = 1),
+climb(node, above) as (
+  select node, parent from parents
+  union
+  select c.node, p.parent from climb c join parents p on p.node = c.above)
+select node as merged_id, above as kept_id from climb where above not in (select node from parents)""", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return merge.merge_plan(t.topics, 0.92, max_pairs=None)
+
+
+@_query("a7_centroid_clusters")
+def _(t: Tables) -> DataFrame:
+    # Every conversation is a file; its turns are clustered in order.
+    texts = t.conversations.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("source_file"),
+                                   F.col("turn").alias("ord"), "text")
+    distinct = aggregate.ordered_distinct(texts, "source_file", "text", "ord")
+    found = clusters.centroid_clusters(embed_hashed(distinct, "text", 64))
+    return clusters.cluster_topics(found).groupBy("source_file", "topic").agg(
+        F.count(F.lit(1)).alias("n_instances"))
+
+
+_LEADERS = f"""with recursive
+pairs as (
+  select a.vec_id as later, b.vec_id as earlier, round({_COS}(a.v, b.v), 12) as similarity
+  from mixed a join mixed b on b.vec_id < a.vec_id),
+turns as (
+  select m.vec_id, row_number() over (order by m.vec_id) as n,
+    (select coalesce(list(earlier), []) from pairs p where p.later = m.vec_id and similarity > 0.7) as near
+  from mixed m),
+walk(n, leaders) as (
+  select 0::bigint, []::bigint[]
+  union all
+  select w.n + 1, case when list_has_any(t.near, w.leaders) then w.leaders else list_append(w.leaders, t.vec_id) end
+  from walk w join turns t on t.n = w.n + 1),
+leaders as (select unnest(leaders) as vec_id from walk where n = (select max(n) from walk))
+select m.vec_id as ord, coalesce(
+  (select arg_min(earlier, (-similarity, earlier)) from pairs p where p.later = m.vec_id and similarity > 0.7
+    and earlier in (select vec_id from leaders)), m.vec_id) as cluster
+from mixed m"""
+
+
+@_query("a7_leader_clusters", _LEADERS.replace("recursive\n", """recursive
+mixed as (select cast(substr(id, 2) as bigint) as vec_id, topic_embedding as v from memory_topics),
+""", 1), "memory_topics")
+def _(t: Tables) -> DataFrame:
+    texts = t.topics.select(F.lit("topics").alias("source_file"), F.substring("id", 2, 9).cast("long").alias("ord"),
+                            F.col("topic_name").alias("text"), F.col("topic_embedding").alias("embedding"))
+    return clusters.leader_clusters(texts).select("ord", "cluster")
+
+
+@_query("u16_maintain")
+def _(t: Tables) -> DataFrame:
+    return graph.stats(maintain(t.snapshot, AS_OF))
+
+
+@_query("w6_graph_json", """
+select source, target, weight from topic_edges_json""".replace("topic_edges_json", """(
+  select from_topic as source, to_topic as target, weight from topic_edges where weight > 0.2)"""), "topic_edges")
+def _(t: Tables) -> DataFrame:
+    # What the JSON sink writes, read back line by line.
+    lines = graph.export_edges(t.edges).select(F.to_json(F.struct("*")).alias("line"))
+    return lines.select(F.from_json("line", "source string, target string, weight double").alias("e")).select("e.*")
