@@ -212,11 +212,11 @@ def visit_cells(left: DataFrame, cells: Cells, radius: Column | None) -> DataFra
     shared = left.sparkSession.sparkContext.broadcast(cells)
     source = left.withColumn("radius", (F.lit(-1.0) if radius is None else radius).cast("double"))
     schema = T.StructType(left.schema.fields + [T.StructField("cells", T.ArrayType(T.LongType()))])
+    kept = left.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = shared.value
         between = _distances(info.pivots, info.pivots)
-        names = [f.name for f in schema.fields]
         occupied = info.counts > 0
         for batch in batches:
             if batch.num_rows == 0:
@@ -239,9 +239,9 @@ def visit_cells(left: DataFrame, cells: Cells, radius: Column | None) -> DataFra
             lone = look[:, 0] < 0
             visits[lone, home[lone]] = occupied[home[lone]]
             lists = [np.flatnonzero(v) for v in visits]
-            columns = [batch.column(f.name) for f in left.schema.fields]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lists, type=pa.list_(pa.int64()))], names=names)
+                [*(batch.column(c) for c in kept), pa.array(lists, type=pa.list_(pa.int64()))],
+                names=[*kept, "cells"])
 
     visits = source.mapInArrow(run, schema)
     return visits.select(*left.columns, F.explode("cells").alias("cell"))
