@@ -17,12 +17,14 @@ def parse_topic_map(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Entries: (source_file, entry_ord, topic, instances).  Quarantine:
     (source_file, entry_ord, topic, value).  Values are parsed one by one, so
-    a bad one costs only itself.  Of a repeated key the last value counts.
+    a bad one costs only itself.  A repeated key keeps its first place and
+    takes its last value.
     """
     entries = F.map_entries(F.from_json("text", "map<string,string>"))
-    rows = files.select("source_file", F.posexplode(entries).alias("entry_ord", "entry")).select(
-        "source_file", F.col("entry_ord").cast("long").alias("entry_ord"), F.col("entry.key").alias("topic"),
-        F.col("entry.value").alias("value"), F.from_json("entry.value", "array<string>").alias("instances"))
+    listed = files.select("source_file", F.posexplode(entries).alias("at", "entry"))
+    rows = listed.groupBy("source_file", F.col("entry.key").alias("topic")).agg(
+        F.min("at").cast("long").alias("entry_ord"), F.max_by("entry.value", "at").alias("value"),
+    ).withColumn("instances", F.from_json("value", "array<string>"))
     bad = F.col("instances").isNull() | ~F.col("value").startswith("[")
     good = rows.filter(~F.coalesce(bad, F.lit(True))).select("source_file", "entry_ord", "topic", "instances")
     quarantine = rows.filter(F.coalesce(bad, F.lit(True))).select("source_file", "entry_ord", "topic", "value")

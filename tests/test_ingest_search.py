@@ -161,7 +161,7 @@ def test_recall_effects_and_results(spark, rng):
     instances = [(f"i{n:03d}", f"t{n % 25:02d}", f"text {n}", grouped_vectors(rng, 1)[0]) for n in range(300)]
     snapshot = make(spark, [(t, v, s) for t, (v, s) in topics.items()], instances,
                     [(a, b, w) for (a, b), w in edges.items()])
-    query = grouped_vectors(rng, 1)[0]
+    query = topics["t05"][0]
     queries = spark.createDataFrame([("q", floats(query))], "query_id string, query_embedding array<double>")
     config = SearchConfig(dropout_rate=0.0)
     done = recall(snapshot, queries, config, as_of=AS_OF)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,9 @@ def test_maintenance_runs_at_the_start(spark, tmp_path):
     with pytest.raises(ValueError):
         loops.maintenance_stream(spark, memory, str(tmp_path / "c"), 0)
     query = loops.maintenance_stream(spark, memory, str(tmp_path / "c"), 1440)
-    query.processAllAvailable()
+    deadline = time.monotonic() + 60
+    while latest_version(spark, memory) < 2 and time.monotonic() < deadline:
+        time.sleep(0.5)
     query.stop()
     edges = load_snapshot(spark, memory).edges.collect()
     assert [round(e["weight"], 6) for e in edges] == [0.475]
