@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace and the control characters that count as blank
-# at both ends of a text.
-_BLANK = r"[\s\u001c-\u001f\u0085\p{Z}]"
+# The characters that count as blank at both ends of a text.
+BLANKS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+    0x3000]))
 
 
 def strip(text: Column) -> Column:
     """Text without blanks at either end, Unicode blanks included."""
-    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def cell_text(cell: Column) -> Column:

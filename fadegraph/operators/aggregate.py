@@ -54,22 +54,31 @@ def frequencies(triples: DataFrame, column: str) -> DataFrame:
 def hybrid(triples: DataFrame, min_instances: int = 2) -> DataFrame:
     """By subject where the subject is frequent, else by relation where that is.
 
-    Topics that end up with fewer than ``min_instances`` are dropped.  The
-    joins are against the values that are too rare: a frequent value has no
-    partner there, so it fans out to nothing.
+    Topics that end up with fewer than ``min_instances`` are dropped.  That can
+    only befall a relation, when too few of its triples have a rare subject and
+    no frequent subject of the same name makes up for it.  The joins are
+    against the values that are too rare: a frequent value has no partner
+    there, so it fans out to nothing.
     """
-    keys = ["source_file"]
-    rare = {
-        c: frequencies(triples, c).filter(F.col("n_triples") < min_instances).select(*keys, c)
-        for c in ("subject", "relation")
-    }
-    frequent_subject = triples.join(rare["subject"], [*keys, "subject"], "left_anti")
-    rest = triples.join(rare["subject"], [*keys, "subject"], "left_semi")
-    frequent_relation = rest.join(rare["relation"], [*keys, "relation"], "left_anti")
-    rows = by_subject(frequent_subject).unionByName(by_relation(frequent_relation))
-    small = rows.groupBy("source_file", "topic").agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col("n") < min_instances).select("source_file", "topic")
-    return rows.join(small, ["source_file", "topic"], "left_anti").select(*_ROW)
+    subjects = frequencies(triples, "subject")
+    rare = subjects.filter(F.col("n_triples") < min_instances).select("source_file", "subject", F.lit(True).alias("_rare"))
+    frequent = subjects.filter(F.col("n_triples") >= min_instances).select(
+        "source_file", F.col("subject").alias("relation"))
+    flagged = triples.join(rare, ["source_file", "subject"], "left").withColumn(
+        "_rare", F.coalesce("_rare", F.lit(False)))
+    relations = flagged.groupBy("source_file", "relation").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("_rare").alias("n_rare"))
+    scarce = relations.filter(F.col("n") < min_instances).unionByName(
+        relations.filter((F.col("n") >= min_instances) & (F.col("n_rare") < min_instances))
+        .join(frequent, ["source_file", "relation"], "left_anti"))
+    filed = flagged.join(
+        scarce.select("source_file", "relation", F.lit(True).alias("_scarce")), ["source_file", "relation"], "left")
+    to_relation = F.col("_rare")
+    return filed.filter(~to_relation | F.col("_scarce").isNull()).select(
+        "source_file", F.when(to_relation, F.col("relation")).otherwise(F.col("subject")).alias("topic"),
+        F.col("triple_ord").alias("ord"),
+        F.when(to_relation, _words("subject", "relation", "object")).otherwise(_words("relation", "object"))
+        .alias("instance"))
 
 
 def by_semantics(triples: DataFrame, embedder: Callable | None = None, n_clusters: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.config import REUSE_SIMILARITY, SearchConfig, SimilarityLimits
@@ -32,24 +32,35 @@ def number_entries(rows: DataFrame) -> DataFrame:
     return rows.join(numbered.select("source_file", "topic", "entry_ord"), ["source_file", "topic"])
 
 
-def new_contents(candidates: DataFrame, instances: DataFrame) -> DataFrame:
-    """Candidates (topic_id, content, ...) not stored under their topic yet.
+def digest(content: Column) -> Column:
+    """What stands for a content in joins and groupings, so that texts need not be shuffled."""
+    return F.sha2(content, 256)
+
+
+def unseen(candidates: DataFrame, instances: DataFrame) -> DataFrame:
+    """Candidates (topic_id, digest, ...) whose content is not stored under their topic.
 
     The stored side is first cut down to what the candidates mention, so it
     need not be shuffled when the candidates are few.
     """
-    keys = ["topic_id", "content"]
-    mentioned = candidates.select(*keys).distinct()
-    stored = instances.select(*keys).join(mentioned, keys, "left_semi").distinct()
+    keys = ["topic_id", "digest"]
+    stored = instances.select("topic_id", digest(F.col("content")).alias("digest")).join(
+        candidates.select(*keys), keys, "left_semi")
     return candidates.join(stored, keys, "left_anti")
 
 
+def new_contents(candidates: DataFrame, instances: DataFrame) -> DataFrame:
+    """Candidates (topic_id, content, ...) not stored under their topic yet."""
+    return unseen(candidates.withColumn("digest", digest(F.col("content"))), instances).drop("digest")
+
+
 def first_entry_only(candidates: DataFrame) -> DataFrame:
     """Of a content that several entries bring to a topic, the first entry's rows.
 
-    Repeats inside that entry stay.
+    Candidates are (topic_id, digest, entry_ord, ...).  Repeats inside the
+    first entry stay.
     """
-    keys = ["topic_id", "content"]
+    keys = ["topic_id", "digest"]
     first = candidates.groupBy(*keys).agg(F.min("entry_ord").alias("entry_ord"))
     return candidates.join(first, [*keys, "entry_ord"], "left_semi")
 
@@ -137,18 +148,19 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
            as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits(), head_rows: int = HEAD_ROWS) -> Ingested:
     """Add entries (entry_ord, topic, topic_embedding) with their instances.
 
-    ``instances`` is (entry_ord, inst_ord, content, content_embedding).  An
-    entry without instances is skipped before its topic is looked up.
+    ``instances`` is (entry_ord, inst_ord, content, content_embedding), its
+    first two columns being unique together.  An entry without instances is skipped before its topic is looked up.
     The report is (entry_ord, topic, is_added, n_added).
     """
     now = clock(as_of)
     filled = entries.join(instances.select("entry_ord"), "entry_ord", "left_semi")
     resolved = cut_lineage(resolve_entries(filled, snapshot.topics, config, now, limits, head_rows))
-    placed = (
-        instances.join(resolved.select("entry_ord", "topic_id"), "entry_ord")
-        .join(filled.select("entry_ord", "topic_embedding"), "entry_ord")
-    )
-    fresh = first_entry_only(new_contents(placed, snapshot.instances))
+    # Rows are chosen without their texts and vectors, which follow at the end.
+    slim = instances.select("entry_ord", "inst_ord", digest(F.col("content")).alias("digest")).join(
+        resolved.select("entry_ord", "topic_id"), "entry_ord")
+    chosen = first_entry_only(unseen(slim, snapshot.instances)).select("entry_ord", "inst_ord", "topic_id")
+    fresh = instances.join(chosen, ["entry_ord", "inst_ord"]).join(
+        filled.select("entry_ord", "topic_embedding"), "entry_ord")
     added = cut_lineage(fresh.select(
         "entry_ord", "inst_ord", new_id("instance", now, F.col("entry_ord"), F.col("inst_ord")).alias("id"), "topic_id",
         "content", "content_embedding",

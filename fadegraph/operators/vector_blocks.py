@@ -125,14 +125,14 @@ def result_batch(ddl: str, *columns) -> pa.RecordBatch:
 def fetch_if_small(rows: DataFrame, limits: SimilarityLimits) -> Block | None:
     """The side as one block when its size is within the limits, else None.
 
-    The rows are counted first (up to the limit, without reading vectors).
+    The rows are counted first, up to the limit; no vector leaves the executors
+    before that.
     """
     bound = limits.broadcast_rows
-    if rows.select("id").limit(bound + 1).count() > bound:
+    size = rows.select(F.size("vec").alias("width")).limit(bound + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("width"), F.lit(0)).alias("width")).first()
+    if size["n"] > bound or size["n"] * size["width"] * 8 > limits.broadcast_bytes:
         return None
-    width = rows.select(F.size("vec").alias("n")).limit(1).collect()
-    if width and width[0]["n"] * 8 * bound > limits.broadcast_bytes:
-        bound = limits.broadcast_bytes // (8 * width[0]["n"])
     table = rows.limit(bound + 1).toArrow()
     return None if table.num_rows > bound else Block.read(table)
 

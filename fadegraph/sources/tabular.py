@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadegraph.functions.text import cell_text, is_truthy, strip
+from fadegraph.functions.text import cell_text, is_truthy
 
 
 def tabular_rows(df: DataFrame, order_by: str | None = None, max_samples: int | None = None,
@@ -27,7 +27,8 @@ def tabular_rows(df: DataFrame, order_by: str | None = None, max_samples: int |
     if max_samples:
         numbered = numbered.orderBy("_ord").limit(max_samples)
     texts = F.array_compact(F.array(*[cell_text(F.col(c)) for c in cells]))
-    usable = is_truthy(F.col(topic), df.schema[topic].dataType) & (strip(F.concat_ws(" ", "_texts")) != "")
+    # Stripped texts joined by blanks are blank only when every one is empty.
+    usable = is_truthy(F.col(topic), df.schema[topic].dataType) & F.exists("_texts", lambda t: t != "")
     kept = numbered.withColumn("_texts", texts).filter(usable & (cell_text(F.col(topic)) != ""))
     return kept.select(
         F.lit(source).alias("source_file"), cell_text(F.col(topic)).alias("topic"), "_ord",
