@@ -10,7 +10,7 @@ from fadegraph.functions.vectors import group_mean
 from fadegraph.operators.density import dbscan
 from fadegraph.operators.updates import AsOf
 from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 # Fixed values.
 SMALL_TOPIC = 3
@@ -55,9 +55,9 @@ def discover_topics(snapshot: Snapshot, min_instances: int = 5, as_of: AsOf = No
     found = dbscan(loose, "id", "content_embedding", DISCOVERY_EPS, min_instances, limits)
     members = cut_lineage(found.filter(F.col("cluster").isNotNull()).select("id", "cluster").join(loose, "id"))
     topics = cut_lineage(discovered_topics(members, as_of))
-    moves = members.select("id", "cluster").join(
+    moves = broadcast_if_small(cut_lineage(members.select("id", "cluster").join(
         topics.select("cluster", F.col("id").alias("_new_topic")), "cluster").select(
-        F.col("id").alias("_moved"), "_new_topic")
+        F.col("id").alias("_moved"), "_new_topic")))
     joined = instances.join(moves, F.col("id") == F.col("_moved"), "left")
     moved = joined.select(*[
         F.coalesce("_new_topic", "topic_id").alias(c) if c == "topic_id" else F.col(c) for c in instances.columns])

@@ -14,7 +14,7 @@ from fadegraph.operators.leaders import HEAD_ROWS, choose_leaders
 from fadegraph.operators.similarity import nearest
 from fadegraph.operators.updates import AsOf
 from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 
 def number_entries(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
     resolved = cut_lineage(resolve_entries(filled, snapshot.topics, config, now, limits, head_rows))
     # Rows are chosen without their texts and vectors, which follow at the end.
     slim = instances.select("entry_ord", "inst_ord", digest(F.col("content")).alias("digest")).join(
-        resolved.select("entry_ord", "topic_id"), "entry_ord")
+        broadcast_if_small(resolved.select("entry_ord", "topic_id")), "entry_ord")
     chosen = first_entry_only(unseen(slim, snapshot.instances)).select("entry_ord", "inst_ord", "topic_id")
     fresh = instances.join(chosen, ["entry_ord", "inst_ord"]).join(
         filled.select("entry_ord", "topic_embedding"), "entry_ord")

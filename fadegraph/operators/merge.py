@@ -10,7 +10,7 @@ from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.components import forest_roots
 from fadegraph.operators.similarity import nearest_lower, similar_pairs
 from fadegraph.schema import Snapshot
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 
 def similar_topics(topics: DataFrame, threshold: float = MERGE_SIMILARITY, limit: int = MERGE_PAIRS,
@@ -48,15 +48,16 @@ def apply_merge(snapshot: Snapshot, targets: DataFrame, drop_self_loops: bool =
     grouped; all others pass through.
     """
     targets = cut_lineage(targets)
-    moved = snapshot.instances.join(targets, F.col("topic_id") == F.col("merged_id"), "left")
+    pairs = broadcast_if_small(targets)
+    moved = snapshot.instances.join(pairs, F.col("topic_id") == F.col("merged_id"), "left")
     instances = moved.select(*[
         F.coalesce("kept_id", "topic_id").alias(c) if c == "topic_id" else F.col(c)
         for c in snapshot.instances.columns])
 
-    to_moves = targets.select(F.col("merged_id").alias("_to"), F.col("kept_id").alias("_to_kept"))
-    from_moves = targets.select(F.col("merged_id").alias("_from"), F.col("kept_id").alias("_from_kept"))
+    to_moves = pairs.select(F.col("merged_id").alias("_to"), F.col("kept_id").alias("_to_kept"))
+    from_moves = pairs.select(F.col("merged_id").alias("_from"), F.col("kept_id").alias("_from_kept"))
     involved = targets.select(F.explode(F.array("merged_id", "kept_id")).alias("_at"), F.lit(True).alias("_hit"))
-    involved = involved.distinct()
+    involved = broadcast_if_small(cut_lineage(involved.distinct()))
     columns = snapshot.edges.columns
     marked = (
         snapshot.edges.join(to_moves, F.col("to_topic") == F.col("_to"), "left")
@@ -80,7 +81,7 @@ def apply_merge(snapshot: Snapshot, targets: DataFrame, drop_self_loops: bool =
     edges = calm.unionByName(touched.select(*columns))
     if drop_self_loops:
         edges = edges.filter(F.col("from_topic") != F.col("to_topic"))
-    topics = snapshot.topics.join(targets, F.col("id") == F.col("merged_id"), "left_anti")
+    topics = snapshot.topics.join(pairs, F.col("id") == F.col("merged_id"), "left_anti")
     return snapshot.with_tables(topics=topics, instances=instances, edges=edges)
 
 

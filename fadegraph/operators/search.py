@@ -13,7 +13,7 @@ from fadegraph.functions.vectors import cosine_similarity
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.similarity import nearest
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 
 def nearest_topics(queries: DataFrame, topics: DataFrame, k: int = ENTRY_POINTS,
@@ -62,7 +62,7 @@ def search(queries: DataFrame, topics: DataFrame, edges: DataFrame, config: Sear
     n_traversals), an edge counting even when its end was seen or too deep.
     """
     followed = ranked_edges(edges, config).filter(~F.col("is_dropped"))
-    followed = cut_lineage(followed.select("from_topic", "to_topic", "weight", "edge_rank"))
+    followed = broadcast_if_small(cut_lineage(followed.select("from_topic", "to_topic", "weight", "edge_rank")))
     visited = reach(nearest_topics(queries, topics, ENTRY_POINTS, limits), followed, config.max_depth)
     scored = (
         visited.join(topics.select(F.col("id").alias("topic_id"), "topic_name", "strength", "topic_embedding"),

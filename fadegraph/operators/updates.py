@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fadegraph.functions import scoring
 from fadegraph.functions.vectors import cosine_distance
 from fadegraph.schema import Snapshot, clock
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 AsOf = str | Column | None
 
@@ -79,8 +80,8 @@ def reinforce_topics(topics: DataFrame, touched: DataFrame, boost: float, as_of:
 
     A visit adds half the boost, a return the boost and one access.
     """
-    hits = touched.groupBy(F.col("topic_id").alias("_topic")).agg(
-        F.sum("n_visits").alias("_visits"), F.sum("n_returns").alias("_returns"))
+    hits = broadcast_if_small(cut_lineage(touched.groupBy(F.col("topic_id").alias("_topic")).agg(
+        F.sum("n_visits").alias("_visits"), F.sum("n_returns").alias("_returns"))))
     joined = topics.join(hits, topics.id == F.col("_topic"), "left")
     gain = F.col("_visits") * F.lit(boost * 0.5) + F.col("_returns") * F.lit(boost)
     changes = {
@@ -95,8 +96,8 @@ def reinforce_topics(topics: DataFrame, touched: DataFrame, boost: float, as_of:
 
 def reinforce_edges(edges: DataFrame, traversed: DataFrame, gain: float, as_of: AsOf = None) -> DataFrame:
     """Add ``gain`` per traversal (from_topic, to_topic, n_traversals), up to 1."""
-    hits = traversed.select(
-        F.col("from_topic").alias("_from"), F.col("to_topic").alias("_to"), F.col("n_traversals").alias("_n"))
+    hits = broadcast_if_small(cut_lineage(traversed.select(
+        F.col("from_topic").alias("_from"), F.col("to_topic").alias("_to"), F.col("n_traversals").alias("_n"))))
     joined = edges.join(hits, (edges.from_topic == F.col("_from")) & (edges.to_topic == F.col("_to")), "left")
     hit = F.col("_n").isNotNull()
     changes = {
@@ -108,8 +109,11 @@ def reinforce_edges(edges: DataFrame, traversed: DataFrame, gain: float, as_of:
 
 
 def cascade(snapshot: Snapshot, gone: DataFrame) -> Snapshot:
-    """Remove topics and, with them, their instances and edges."""
-    ids = gone.select(F.col("id").alias("gone_id"))
+    """Remove topics and, with them, their instances and edges.
+
+    The removed ids are written once; when few, the tables are not shuffled.
+    """
+    ids = broadcast_if_small(cut_lineage(gone.select(F.col("id").alias("gone_id"))))
     return snapshot.with_tables(
         topics=snapshot.topics.join(ids, F.col("id") == F.col("gone_id"), "left_anti"),
         instances=snapshot.instances.join(ids, F.col("topic_id") == F.col("gone_id"), "left_anti"),

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows of ids and numbers, without texts or vectors, that may be broadcast.
+NARROW_ROWS = 200_000
 
 
 def build_session(app_name: str = "fadegraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(rows: DataFrame, max_rows: int = NARROW_ROWS) -> DataFrame:
+    """``rows`` with a broadcast hint if they were counted and are few.
+
+    For narrow rows behind ``cut_lineage``, where counting is cheap.  Beyond
+    the bound Spark is left to shuffle both sides of the join.
+    """
+    return F.broadcast(rows) if rows.limit(max_rows + 1).count() <= max_rows else rows
