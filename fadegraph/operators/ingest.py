@@ -97,8 +97,8 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
         choose_leaders(points.join(covered, "id", "left_anti").select(*points.columns), REUSE_SIMILARITY, limits,
                        head_rows))
     lowest = min(REUSE_SIMILARITY, config.similarity_threshold) if config.auto_link else REUSE_SIMILARITY
-    earlier = nearest(points, leaders, 1, lowest, earlier=True, limits=limits).select(
-        F.col("l_id").alias("id"), F.col("r_ord").alias("earlier_ord"), F.col("similarity").alias("earlier_sim"))
+    earlier = cut_lineage(nearest(points, leaders, 1, lowest, earlier=True, limits=limits).select(
+        F.col("l_id").alias("id"), F.col("r_ord").alias("earlier_ord"), F.col("similarity").alias("earlier_sim")))
     directed = points.select("id", F.lit(True).alias("has_direction"))
     own_id = new_id("topic", clock(as_of), F.col("entry_ord"), F.col("topic"))
     turned = (

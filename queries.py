@@ -17,10 +17,10 @@ from fadegraph.functions import scoring, text, vectors
 from fadegraph.functions.embed import embed_hashed
 from fadegraph.operators import aggregate, clusters, density, discover, graph, ingest, merge, search, updates
 from fadegraph.operators import vector_blocks as vb
-from fadegraph.operators.leaders import choose_leaders
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
-from fadegraph.schema import clock, complete, dangling, violations
+from fadegraph.schema import clock, complete, violations
+from fadegraph.session import cut_lineage
 from fadegraph.sources import openie, tables, tabular, topic_map
 from fixtures import AS_OF, DUCKDB_SQL, SPARK_SQL
 
@@ -878,7 +878,7 @@ _INGEST_TABLES = "ingest_entries ingest_instances memory_topics"
 
 def _named_resolution(t: Tables) -> DataFrame:
     entries = t.ingest_entries.join(t.ingest_instances.select("entry_ord"), "entry_ord", "left_semi")
-    resolved = ingest.resolve_entries(entries, t.topics, as_of=AS_OF)
+    resolved = cut_lineage(ingest.resolve_entries(entries, t.topics, as_of=AS_OF))
     made = resolved.filter("is_created").select(F.col("topic_id").alias("nearest_id"), F.col("topic").alias("made"))
     return resolved.join(made, "nearest_id", "left").withColumn("nearest", F.coalesce("made", "nearest_id"))
 
@@ -1003,7 +1003,7 @@ from points p join clustered c on c.id = p.id group by c.cluster""", "memory_ins
 def _(t: Tables) -> DataFrame:
     loose = discover.small_topic_instances(t.instances)
     found = density.dbscan(loose, "id", "content_embedding").filter(F.col("cluster").isNotNull())
-    members = found.join(loose.select("id", "content", "content_embedding"), "id")
+    members = cut_lineage(found.join(loose.select("id", "content", "content_embedding"), "id"))
     return discover.discovered_topics(members, AS_OF).select(
         "topic_name", "cluster", "n_members", F.round(F.element_at("topic_embedding", 1), 6).alias("first_coordinate"))
 
