@@ -14,11 +14,12 @@ from fadegraph.operators import vector_blocks as vb
 from fadegraph.session import cut_lineage
 
 _MATCH = "l_id string, r_id string, r_ord long, similarity double"
+_RANKED = _MATCH + ", rank long"
 _PAIR = "id1 string, id2 string, similarity double"
 
 
 def _top_of_block(left: vb.Block, right: vb.Block, k: int, floor: float | None, earlier: bool) -> list[np.ndarray]:
-    """Row, column and similarity of the k best columns of every row.
+    """Row, column, similarity and rank of the k best columns of every row.
 
     ``right`` is ordered by (ord, id), and argmax takes the first of equals.
     """
@@ -27,21 +28,22 @@ def _top_of_block(left: vb.Block, right: vb.Block, k: int, floor: float | None,
         scores[right.ord[None, :] >= left.ord[:, None]] = -np.inf
     if floor is not None:
         scores[~(scores > floor)] = -np.inf
-    rows, cols, sims = [], [], []
+    rows, cols, sims, ranks = [], [], [], []
     index = np.arange(len(left))
-    for _ in range(min(k, len(right))):
+    for step in range(min(k, len(right))):
         best = scores.argmax(axis=1)
         value = scores[index, best]
         found = np.isfinite(value)
         rows.append(index[found])
         cols.append(best[found])
         sims.append(value[found])
+        ranks.append(np.full(found.sum(), step + 1))
         scores[index, best] = -np.inf
-    return [np.concatenate(part) for part in (rows, cols, sims)]
+    return [np.concatenate(part) for part in (rows, cols, sims, ranks)]
 
 
 def _match_batch(left: vb.Block, right: vb.Block, picked: list[np.ndarray]) -> pa.RecordBatch:
-    rows, cols, sims = picked
+    rows, cols, sims, _ = picked
     return vb.result_batch(_MATCH, left.id[rows], right.id[cols], right.ord[cols], sims)
 
 
@@ -69,7 +71,7 @@ def _stream_base(base: DataFrame, queries: vb.Block, k: int, floor: float | None
             block = vb.Block.read(batch)
             start = 0
             for tile in asked.tiles(len(block)):
-                rows, cols, sims = _top_of_block(tile, block, k, floor, earlier)
+                rows, cols, sims, _ = _top_of_block(tile, block, k, floor, earlier)
                 found = [rows + start, block.ord[cols], sims, block.id[cols]]
                 kept = [np.concatenate(pair) for pair in zip(kept, found, strict=True)]
                 start += len(tile)
@@ -97,9 +99,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int, min_similarity: float | N
     def kernel(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
         return _match_batch(a, b, _top_of_block(a, b, k, min_similarity, earlier))
 
+    def ranked(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
+        rows, cols, sims, ranks = _top_of_block(a, b, k, min_similarity, earlier)
+        return vb.result_batch(_RANKED, a.id[rows], b.id[cols], b.ord[cols], sims, ranks)
+
     base = vb.fetch_if_small(right, limits)
     if base is not None:
-        return _best_per_left(vb.against_broadcast(left, base, kernel, _MATCH), k)
+        # Each row met the whole base at once: nothing is left to merge.
+        found = vb.against_broadcast(left, base, ranked, _RANKED)
+        return found.withColumn("rank", F.col("rank").cast("int"))
     queries = vb.fetch_if_small(left, limits)
     if queries is not None:
         return _best_per_left(_stream_base(right, queries, k, min_similarity, earlier), k)
