@@ -25,14 +25,26 @@ def norm(a: Column) -> Column:
     return F.sqrt(_total(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
+def _clamped_ratio(product: Column, scale: Column) -> Column:
+    # The ratio is bound to a name so that it is worked out once; greatest and
+    # least alone would turn its NULL into a number.
+    ratio = F.transform(F.array(F.try_divide(product, scale)), lambda r: F.when(
+        r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))))
+    return F.get(ratio, F.lit(0))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of the angle, kept in [-1, 1]; NULL when a vector has no length.
 
     NULL rather than NaN, because Spark orders NaN above every number and a
     ``similarity > t`` filter would let it pass.
     """
-    raw = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
+    return _clamped_ratio(dot(a, b), norm(a) * norm(b))
+
+
+def cosine_of_normed(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """``cosine_similarity`` with norms worked out before the vectors were paired."""
+    return _clamped_ratio(dot(a, b), norm_a * norm_b)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

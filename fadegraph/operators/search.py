@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fadegraph.config import ENTRY_POINTS, MIN_SCORE, TOP_INSTANCES, SearchConfig, SimilarityLimits
 from fadegraph.functions.scoring import instance_rank
-from fadegraph.functions.vectors import cosine_similarity
+from fadegraph.functions.vectors import cosine_of_normed, norm
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.similarity import nearest
@@ -53,6 +53,10 @@ def reach(entries: DataFrame, followed: DataFrame, max_depth: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+def _normed(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "query_embedding", norm(F.col("query_embedding")).alias("query_norm"))
+
+
 def search(queries: DataFrame, topics: DataFrame, edges: DataFrame, config: SearchConfig = SearchConfig(),
            limits: SimilarityLimits = SimilarityLimits()) -> tuple[DataFrame, DataFrame]:
     """Visited topics with their scores, and the edges followed.
@@ -65,10 +69,11 @@ def search(queries: DataFrame, topics: DataFrame, edges: DataFrame, config: Sear
     followed = broadcast_if_small(cut_lineage(followed.select("from_topic", "to_topic", "weight", "edge_rank")))
     visited = reach(nearest_topics(queries, topics, ENTRY_POINTS, limits), followed, config.max_depth)
     scored = (
-        visited.join(topics.select(F.col("id").alias("topic_id"), "topic_name", "strength", "topic_embedding"),
-                     "topic_id")
-        .join(queries.select("query_id", "query_embedding"), "query_id")
-        .withColumn("similarity", cosine_similarity(F.col("query_embedding"), F.col("topic_embedding")))
+        visited.join(topics.select(F.col("id").alias("topic_id"), "topic_name", "strength", "topic_embedding",
+                                   norm(F.col("topic_embedding")).alias("topic_norm")), "topic_id")
+        .join(_normed(queries), "query_id")
+        .withColumn("similarity", cosine_of_normed(F.col("query_embedding"), F.col("topic_embedding"),
+                                                   F.col("query_norm"), F.col("topic_norm")))
         .withColumn("score", F.col("similarity") * F.col("strength") * F.col("path_strength"))
         .select("query_id", "topic_id", "topic_name", "depth", "path", "path_strength", "similarity", "strength",
                 "score", F.coalesce(F.col("score") > MIN_SCORE, F.lit(False)).alias("is_result"))
@@ -90,12 +95,14 @@ def top_topics(scored: DataFrame, top_k: int) -> DataFrame:
 
 def top_instances(chosen: DataFrame, queries: DataFrame, instances: DataFrame, n: int = TOP_INSTANCES) -> DataFrame:
     """The n best instances per chosen (query_id, topic_id): adds instance columns and ``instance_rank``."""
-    pairs = chosen.join(queries.select("query_id", "query_embedding"), "query_id")
+    pairs = chosen.join(_normed(queries), "query_id")
     joined = pairs.join(
         instances.select(F.col("id").alias("instance_id"), "topic_id", "content", "content_embedding",
-                         "relevance_score", "importance"), "topic_id")
+                         "relevance_score", "importance", norm(F.col("content_embedding")).alias("content_norm")),
+        "topic_id")
     ranked = joined.withColumn("instance_score", instance_rank(
-        cosine_similarity(F.col("query_embedding"), F.col("content_embedding")),
+        cosine_of_normed(F.col("query_embedding"), F.col("content_embedding"), F.col("query_norm"),
+                         F.col("content_norm")),
         F.col("relevance_score"), F.col("importance")))
     # A vector without length has no score; such rows come first, as NaN does
     # in a descending order that treats it as the greatest number.
@@ -103,5 +110,5 @@ def top_instances(chosen: DataFrame, queries: DataFrame, instances: DataFrame, n
         F.col("instance_score").desc_nulls_first(), "instance_id")
     return (
         ranked.withColumn("instance_rank", F.row_number().over(order)).filter(F.col("instance_rank") <= n)
-        .drop("query_embedding", "content_embedding", "relevance_score", "importance")
+        .drop("query_embedding", "query_norm", "content_embedding", "content_norm", "relevance_score", "importance")
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,16 @@ from fadegraph.session import cut_lineage
 
 @dataclass(frozen=True)
 class Recall:
-    """Answers, what was visited, and the tables after reinforcement."""
+    """Answers and what was visited; the effects are worked out when asked for."""
 
     results: DataFrame
     visited: DataFrame
-    snapshot: Snapshot
+    effects: Callable[[], Snapshot]
+
+    @cached_property
+    def snapshot(self) -> Snapshot:
+        """The tables after reinforcement."""
+        return self.effects()
 
 
 def recall(snapshot: Snapshot, queries: DataFrame, config: SearchConfig = SearchConfig(), top_k: int = TOP_TOPICS,
@@ -47,8 +54,11 @@ def recall(snapshot: Snapshot, queries: DataFrame, config: SearchConfig = Search
         results = results.filter(F.col("rank") <= limit)
     touched = scored.select("topic_id", F.lit(1).alias("n_visits"), F.lit(0).alias("n_returns")).unionByName(
         chosen.select("topic_id", F.lit(0).alias("n_visits"), F.lit(1).alias("n_returns")))
-    after = snapshot.with_tables(
-        topics=reinforce_topics(snapshot.topics, touched, config.strengthen_boost, now),
-        edges=reinforce_edges(snapshot.edges, traversed, EDGE_REINFORCEMENT, now),
-    )
-    return Recall(results, scored, after)
+
+    def effects() -> Snapshot:
+        return snapshot.with_tables(
+            topics=reinforce_topics(snapshot.topics, touched, config.strengthen_boost, now),
+            edges=reinforce_edges(snapshot.edges, traversed, EDGE_REINFORCEMENT, now),
+        )
+
+    return Recall(results, scored, effects)

@@ -7,6 +7,7 @@ result in DuckDB SQL.  Numbers are rounded to 6 digits on both sides.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,8 +21,9 @@ from fadegraph.operators import vector_blocks as vb
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
 from fadegraph.schema import clock, complete, violations
-from fadegraph.session import cut_lineage
+from fadegraph.session import cut_lineage, ensure_checkpoint_dir
 from fadegraph.sources import openie, tables, tabular, topic_map
+from fadegraph.streaming import loops
 from fixtures import AS_OF, DUCKDB_SQL, SPARK_SQL
 
 _BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -1130,3 +1132,27 @@ def _(t: Tables) -> DataFrame:
     # What the JSON sink writes, read back line by line.
     lines = graph.export_edges(t.edges).select(F.to_json(F.struct("*")).alias("line"))
     return lines.select(F.from_json("line", "source string, target string, weight double").alias("e")).select("e.*")
+
+
+@_query("t4_stream_totals", """
+select topic_id, date_trunc('hour', ts) as hour, count(*) as n_accesses, max(ts) as last_access
+from access_log group by 1, 2""", "access_log")
+def _(t: Tables) -> DataFrame:
+    # The event table as a stream of files, counted per topic and hour.
+    name = "events.parquet"
+    schema = t.events.schema
+    events = t.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(t.folder)
+    log = events.select(
+        F.concat(F.lit("t"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("topic_id"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    place = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/totals")
+
+    totals = loops.access_totals(log)
+    totals.writeStream.outputMode("complete").foreachBatch(keep).option(
+        "checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{place}/totals").select(
+        "topic_id", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n_accesses",
+        F.col("last_access").cast("timestamp_ntz").alias("last_access"))
