@@ -17,19 +17,25 @@ from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
 from fadegraph.session import broadcast_if_small, cut_lineage
 
 
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Rows with a number that follows their order.
+
+    The numbers are unique but have gaps: rows are counted per range of the
+    order, so no task sees them all.  The result is written before it is used,
+    so the ranges cannot shift.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order))
+    return ranged.withColumn(out, F.monotonically_increasing_id())
+
+
 def number_entries(rows: DataFrame) -> DataFrame:
     """Topic-map rows with ``entry_ord``, the place of their topic in the import.
 
-    Topics come file by file, and in a file by first position.  The numbers
-    are ordered and unique but have gaps: ranks are taken per range of the
-    order, so no task sees all topics.
+    Topics come file by file, and in a file by first position.
     """
     firsts = rows.groupBy("source_file", "topic").agg(F.min("ord").alias("first_ord"))
-    ranged = cut_lineage(
-        firsts.repartitionByRange("source_file", "first_ord", "topic")
-        .sortWithinPartitions("source_file", "first_ord", "topic"))
-    numbered = ranged.withColumn("entry_ord", F.monotonically_increasing_id())
-    return rows.join(numbered.select("source_file", "topic", "entry_ord"), ["source_file", "topic"])
+    placed = numbered(firsts, ["source_file", "first_ord", "topic"], "entry_ord")
+    return rows.join(placed.select("source_file", "topic", "entry_ord"), ["source_file", "topic"])
 
 
 def digest(content: Column) -> Column:
@@ -109,7 +115,7 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
     made = turned.filter(F.col("leads") | F.col("has_direction").isNull()).select(
         F.col("entry_ord").alias("earlier_ord"), F.col("own_id").alias("earlier_id"))
     use_earlier = F.coalesce(F.col("earlier_sim") > F.coalesce("stored_sim", F.lit(-2.0)), F.lit(False))
-    is_created = F.coalesce("leads", F.col("has_direction").isNull(), F.lit(False)) | F.col("has_direction").isNull()
+    is_created = F.coalesce("leads", F.lit(False)) | F.col("has_direction").isNull()
     nearest_id = F.when(use_earlier, F.col("earlier_id")).otherwise(F.col("stored_id"))
     nearest_sim = F.when(use_earlier, F.col("earlier_sim")).otherwise(F.col("stored_sim"))
     return turned.join(made, "earlier_ord", "left").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fadegraph.config import SearchConfig, SimilarityLimits
 from fadegraph.operators.aggregate import by_relation, ordered_distinct
 from fadegraph.operators.clusters import centroid_clusters, cluster_topics, leader_clusters
-from fadegraph.operators.ingest import Ingested, ingest, number_entries
+from fadegraph.operators.ingest import Ingested, ingest, number_entries, numbered
 from fadegraph.operators.updates import AsOf
 from fadegraph.schema import Snapshot
 from fadegraph.session import cut_lineage
@@ -22,11 +22,11 @@ AddVectors = Callable[[DataFrame, str, str], DataFrame]
 def remember(snapshot: Snapshot, rows: DataFrame, add_vectors: AddVectors, config: SearchConfig = SearchConfig(),
              as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits()) -> Ingested:
     """Import topic-map rows (source_file, topic, ord, instance)."""
-    numbered = cut_lineage(number_entries(rows))
-    topics = numbered.select("entry_ord", "topic").distinct()
+    placed = cut_lineage(number_entries(rows))
+    topics = placed.select("entry_ord", "topic").distinct()
     entries = cut_lineage(add_vectors(topics, "topic", "topic_embedding"))
     instances = cut_lineage(add_vectors(
-        numbered.select("entry_ord", F.col("ord").alias("inst_ord"), F.col("instance").alias("content")),
+        placed.select("entry_ord", F.col("ord").alias("inst_ord"), F.col("instance").alias("content")),
         "content", "content_embedding"))
     return ingest(snapshot, entries, instances, config, as_of, limits)
 
@@ -42,8 +42,7 @@ def semantic_rows(texts: DataFrame, add_vectors: AddVectors, threshold: float =
     distinct = ordered_distinct(texts, "source_file", "text", "ord")
     if method == "leader":
         # Positions repeat from file to file; leaders need one order over all.
-        distinct = distinct.withColumn("ord", F.xxhash64("source_file").bitwiseAND(F.lit(0x7FFFFFFF)) *
-                                       F.lit(1 << 32) + F.col("ord"))
+        distinct = numbered(distinct, ["source_file", "ord"], "place").drop("ord").withColumnRenamed("place", "ord")
     embedded = cut_lineage(add_vectors(distinct, "text", "embedding"))
     if method == "leader":
         clusters = leader_clusters(embedded, threshold, limits)
