@@ -1120,9 +1120,57 @@ def _(t: Tables) -> DataFrame:
     return clusters.leader_clusters(texts).select("ord", "cluster")
 
 
-@_query("u16_maintain")
+_MAINTAINED = _DBSCAN + f""",
+coordinates as (
+  select cluster, pos, avg(value) as value from (
+    select c.cluster, unnest(range(len(p.content_embedding))) as pos, unnest(p.content_embedding) as value
+    from points p join clustered c on c.id = p.id) group by 1, 2),
+discovered as (
+  select cluster, sha256(concat_ws(chr(1), 'discovered', '{AS_OF}', cluster)) as id,
+    list(value order by pos) as topic_embedding from coordinates group by 1),
+grown as (
+  select id, topic_embedding, strength, access_count from memory_topics
+  union all select id, topic_embedding, 1.0, 0 from discovered),
+faded as (
+  select * from (select from_topic, to_topic, case when weight > 0.1 then weight * 0.95 else weight end as weight
+    from topic_edges) where not weight < 0.05),
+pairs as ({_PAIRS.replace('0.85', '0.92').replace('memory_topics', 'grown')}),
+parents as (select id2 as node, arg_min(id1, rank) as parent from pairs group by id2),
+climb(node, above) as (
+  select node, parent from parents
+  union
+  select c.node, p.parent from climb c join parents p on p.node = c.above),
+targets as (select node as merged_id, above as kept_id from climb where above not in (select node from parents)),
+owned as (
+  select i.id, coalesce(t.kept_id, d.id, i.topic_id) as topic_id
+  from memory_instances i left join clustered c on c.id = i.id left join discovered d on d.cluster = c.cluster
+  left join targets t on t.merged_id = coalesce(d.id, i.topic_id)),
+joined as (
+  select coalesce(f.kept_id, e.from_topic) as from_topic, coalesce(t.kept_id, e.to_topic) as to_topic, max(weight) as weight
+  from faded e left join targets f on f.merged_id = e.from_topic left join targets t on t.merged_id = e.to_topic
+  group by 1, 2),
+merged as (select * from grown where id not in (select merged_id from targets)),
+kept as (
+  select * from merged where not (id not in (select from_topic from joined) and id not in (select to_topic from joined)
+    and strength < 0.1 and access_count < 2))"""
+
+
+@_query("u16_maintain", _MAINTAINED + """
+select (select count(*) from kept) as total_topics,
+  (select count(*) from owned where topic_id in (select id from kept)) as total_instances,
+  (select count(*) from joined) as total_edges, (select round(avg(strength), 6) from kept) as avg_topic_strength,
+  (select round(avg(weight), 6) from joined) as avg_edge_weight,
+  (select count(*) from kept where strength > 0.5) as strong_topics,
+  (select count(*) from kept where strength < 0.2) as weak_topics""", _ALL)
+def _(t: Tables) -> DataFrame:
+    return graph.stats(maintain(t.snapshot, AS_OF)).withColumns({
+        "avg_topic_strength": F.round("avg_topic_strength", 6), "avg_edge_weight": F.round("avg_edge_weight", 6)})
+
+
+@_query("u16_maintained_instances", _MAINTAINED + """
+select id, topic_id from owned where topic_id in (select id from kept)""", _ALL)
 def _(t: Tables) -> DataFrame:
-    return graph.stats(maintain(t.snapshot, AS_OF))
+    return maintain(t.snapshot, AS_OF).instances.select("id", "topic_id")
 
 
 @_query("w6_graph_json", """
