@@ -6,19 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fadegraph.llm import substrings
+from fadegraph.llm import jaccard, mixing, secret_scan, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85).drop("mark")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # A window is known by its words joined; the least document that holds it removes it from the others.
+    "op5_substring_dedup": r"""
+WITH docs AS (
+  SELECT doc_id, string_split_regex(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+') AS raw
+  FROM documents),
+words AS (SELECT doc_id, CASE WHEN raw IS NULL OR raw = [''] THEN CAST([] AS VARCHAR[]) ELSE raw END AS w FROM docs),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+49], ' ') AS body
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words)),
+lowest AS (SELECT body, min(doc_id) AS low FROM windows GROUP BY body HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place
+  FROM windows JOIN lowest USING (body) WHERE doc_id > low),
+spread AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS body
+  FROM spread ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""",
+}

@@ -16,9 +16,9 @@ windows mostly share one, which makes the sketch about twenty times smaller.
    of each task.
 4. The covered words of each text are removed.
 
-The sketch takes ``2 * width`` bits once merged, and ``width`` follows the
-input up to ``MAX_WIDTH`` cells (64 MB to broadcast).  Beyond that it fills
-up, and more windows take part in the exact grouping; results are the same.
+The merged sketch follows the input up to a bound (``sketch.MAX_WIDTH``, 64 MB
+to broadcast).  Beyond that it fills up, and more windows take part in the
+exact grouping; results are the same.
 """
 
 from __future__ import annotations
@@ -32,17 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.llm.shared import (
-    Texts, id_or_last, id_or_null, mix, runs_hashes, signed, sliding_min, span_hashes, texts_of, write_out)
+    Texts, id_or_last, id_or_null, runs_hashes, signed, sliding_min, span_hashes, texts_of, write_out)
+from fadegraph.llm.sketch import repeated_keys
 from fadegraph.session import broadcast_if_small
 
 WINDOW_WORDS = 50
 ANCHOR_WORDS = 8
-SKETCH_ROWS = 2
-MAX_WIDTH = 1 << 28
 # Pairs of a digest and an id that may be broadcast, once counted.
 MAX_BROADCAST = 500_000
-_CHUNK = 1 << 20
-_SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _SECOND_BASE = 0x2545F4914F6CDD1D
 
 
@@ -59,116 +56,35 @@ def _windows(texts: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return words, first, text[first], anchors[first]
 
 
-def _cells(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(anchors ^ _SALTS[row]) & np.uint64(width - 1)).astype(np.int64)
+def _text_anchors(window: int):
+    """Anchors of the texts of a batch, each once for each text."""
 
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for texts in texts_of(batch.column("text")):
+            _, _, text, anchor = _windows(texts, window)
+            for _ in range(2):  # neighbouring windows mostly share their anchor: sort only what is left
+                new = np.ones(len(anchor), dtype=bool)
+                new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                text, anchor = text[new], anchor[new]
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+            yield anchor
 
-def _sketch_partition(window: int, width: int):
-    """One task's sketch: cells reached once, and cells reached again, by row and chunk of cells."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for texts in texts_of(batch.column("text")):
-                _, _, text, anchor = _windows(texts, window)
-                if len(anchor):
-                    new = np.ones(len(anchor), dtype=bool)
-                    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-                    text, anchor = text[new], anchor[new]
-                    order = np.lexsort((anchor, text))
-                    text, anchor = text[order], anchor[order]
-                    new = np.ones(len(anchor), dtype=bool)
-                    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-                    found.append(anchor[new])
-            if sum(map(len, found)) > 4_000_000:
-                yield from flush(found)
-                found = []
-        yield from flush(found)
-
-    def flush(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchors = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
-        for row in range(SKETCH_ROWS if len(anchors) else 0):
-            cells, counts = np.unique(_cells(anchors, row, width), return_counts=True)
-            edges = np.searchsorted(cells, np.arange(0, width + _CHUNK, _CHUNK))
-            rows: dict[str, list] = {"line": [], "chunk": [], "once": [], "again": []}
-            for chunk in range(len(edges) - 1):
-                low, high = edges[chunk], edges[chunk + 1]
-                if low < high:
-                    local = (cells[low:high] - chunk * _CHUNK).astype(np.int32)
-                    more = counts[low:high] > 1
-                    for name, value in (("line", row), ("chunk", chunk), ("once", local[~more].tobytes()),
-                                        ("again", local[more].tobytes())):
-                        rows[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["line"], pa.int32()), pa.array(rows["chunk"], pa.int32()),
-                 pa.array(rows["once"], pa.binary()), pa.array(rows["again"], pa.binary())],
-                ["line", "chunk", "once", "again"])
-
-    return run
-
-
-def _merge_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum of the sketches of each chunk, kept as one bit a cell: reached more than once.
-
-    Rows come ordered by row and chunk, so one dense chunk is held at a time.
-    """
-    key, counts = None, np.zeros(_CHUNK, dtype=np.uint8)
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()),
-             pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], ["line", "chunk", "bits"])
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            at = (row["line"], row["chunk"])
-            if at != key:
-                if key is not None:
-                    yield done()
-                key = at
-                counts[:] = 0
-            once = np.frombuffer(row["once"], dtype=np.int32)
-            counts[once] = np.minimum(counts[once] + 1, 2)
-            counts[np.frombuffer(row["again"], dtype=np.int32)] = 2
-    if key is not None:
-        yield done()
-
-
-def sketch_width(text_bytes: int, window: int) -> int:
-    """Cells in a row: about eight for each anchor that so many bytes hold, a power of two."""
-    anchors = text_bytes / 5 * 2 / max(window - ANCHOR_WORDS + 2, 2)
-    return int(min(MAX_WIDTH, max(_CHUNK, 1 << int(8 * anchors).bit_length())))
-
-
-def anchor_sketch(texts: DataFrame, window: int, width: int) -> list[np.ndarray]:
-    """The merged sketch of ``texts``: for each row, one bit a cell, packed."""
-    parts = texts.select("text").mapInArrow(
-        _sketch_partition(window, width), "line int, chunk int, once binary, again binary")
-    n = max(1, min(SKETCH_ROWS * width // _CHUNK, 512))
-    merged = (parts.repartition(n, "line", "chunk").sortWithinPartitions("line", "chunk")
-              .mapInArrow(_merge_sketches, "line int, chunk int, bits binary"))
-    sketch = [np.zeros(width // 8, dtype=np.uint8) for _ in range(SKETCH_ROWS)]
-    for row in merged.toLocalIterator():  # at most 2 * MAX_WIDTH bits
-        bits = np.frombuffer(row["bits"], dtype=np.uint8)
-        sketch[row["line"]][row["chunk"] * _CHUNK // 8:][:len(bits)] = bits
-    return sketch
+    return keys
 
 
-def _repeated_windows(window: int, width: int, sketch):
+def _repeated_windows(window: int, sketch):
     """Windows whose anchor the sketch holds to be in more than one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines = sketch.value
+        repeated = sketch.value
         for batch in batches:
             ids = batch.column("did").to_numpy(zero_copy_only=False)
             marks = batch.column("mark").to_numpy(zero_copy_only=False)
             marks2 = batch.column("mark2").to_numpy(zero_copy_only=False)
             for texts in texts_of(batch.column("text")):
                 words, first, text, anchor = _windows(texts, window)
-                often = np.ones(len(anchor), dtype=bool)
-                for row, bits in enumerate(lines):
-                    cells = _cells(anchor, row, width)
-                    often &= (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+                often = repeated(anchor)
                 first, text = first[often], text[often]
                 if len(first):
                     rows = texts.rows[text]
@@ -255,14 +171,14 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
     firsts = sizes.groupBy("mark", "mark2").agg(
         F.min("did").alias("first"), F.max("did").alias("last"), F.sum("size").alias("size"))
     total = sizes.agg(F.sum("size")).first()[0] or 0
-    width = sketch_width(total, window)
+    n_anchors = total / 5 * 2 / max(window - ANCHOR_WORDS + 2, 2)
     copies = write_out(firsts.filter("first < last").select("mark", "mark2", "first"))
     later = write_out(sizes.join(broadcast_if_small(copies, MAX_BROADCAST), ["mark", "mark2"]).filter("did > first").select(
         "did", "mark", "mark2").distinct())
     lone = rows.join(broadcast_if_small(later, MAX_BROADCAST), ["did", "mark", "mark2"], "left_anti")
-    sketch = spark.sparkContext.broadcast(anchor_sketch(lone, window, width))
+    sketch = spark.sparkContext.broadcast(repeated_keys(lone.select("text"), _text_anchors(window), n_anchors))
     windows = write_out(lone.mapInArrow(
-        _repeated_windows(window, width, sketch), "w1 long, w2 long, did long, mark long, mark2 long, place int"))
+        _repeated_windows(window, sketch), "w1 long, w2 long, did long, mark long, mark2 long, place int"))
     shared = windows.groupBy("w1", "w2").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low < high")
     hits = windows.join(shared.select("w1", "w2", "low"), ["w1", "w2"]).filter("did > low").select(
         "did", "mark", "mark2", "place")
