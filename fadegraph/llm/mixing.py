@@ -7,8 +7,9 @@ from one to the other, in a random direction with the odds that keep both
 expectations, weighed by size so that the words of the pair stay the same,
 until one of the two is 0 or 1.  What remains of a block of documents is one
 fractional document; these residuals meet again in blocks of their own, level
-by level, until one is left for each source, which is settled by chance.  A
-source's taken words thereby differ from its target by less than one document.
+by level, until one is left for each source, which goes to the nearer end.  A
+source's taken words thereby differ from its target by at most half of one
+document.
 
 Blocks are hash ranges of a source, so a source of any size is many tasks, and
 every draw is a hash of the document and the seed, so reruns agree.
@@ -21,6 +22,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from fadegraph.llm.shared import id_or_last, id_or_null, write_out
 from fadegraph.session import broadcast_if_small
@@ -91,8 +93,7 @@ def _round_block(last: bool):
         block = block.sort_values(["unit", "draw", "did"], ascending=[False, True, True]).reset_index(drop=True)
         shares, held = _settle(block["unit"].astype(float).tolist(), block["share"].tolist(), block["draw"].tolist())
         if last and held >= 0:
-            # One residual is left: a draw of its own settles it.
-            shares[held] = 1.0 if (block["draw"][held] * 7919.0) % 1.0 < shares[held] else 0.0
+            shares[held] = float(shares[held] >= 0.5)  # one is left of the source: the nearer end
             held = -1
         block["share"] = shares
         block["open"] = [i == held for i in range(len(block))]
@@ -138,7 +139,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     while blocks:
         block = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(at), "did", "size", "source"), F.col("blocks"))
         keyed = level.withColumn("block", block)
-        schema = keyed.schema.add("open", "boolean")
+        schema = StructType([*keyed.schema.fields, StructField("open", BooleanType())])
         done = write_out(keyed.groupBy("source_no", "block").applyInPandas(_round_block(blocks == 1), schema))
         settled.append(done.filter("not open"))
         if blocks == 1:
