@@ -102,22 +102,14 @@ def _round_block(last: bool):
     return run
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0,
-                id_: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """How often each document is taken: (doc_id, source, size, source_size, target, copies, taken), a row for each row.
+def _keys(id_: str, text: str, source: str) -> list[F.Column]:
+    """What a document is settled by: id, source and size."""
+    return [id_or_last(id_).alias("did"), F.col(source).cast("string").alias("source"),
+            F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
 
-    ``size`` counts the words of the whole text, runs without the six ASCII
-    blanks; a null or blank text has none.  ``target`` is that of the source,
-    ``taken`` is ``copies * size``, and ``copies`` is the fraction
-    ``target / source_size`` rounded up or down.  Rows that agree in id, source
-    and size are settled as one and get the same copies.  Null sources are one
-    source; a null id counts as the largest.  A source without words has the
-    target 0, and its documents, as all without words, are taken once or not by
-    a draw of their own.  Other columns are dropped.  An empty table gives an
-    empty result.
-    """
-    sizes = docs.select(id_or_last(id_).alias("did"), F.col(source).cast("string").alias("source"),
-                        F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+
+def settled_units(sizes: DataFrame, weights: Sequence[float], share: float, limit: float, seed: int) -> DataFrame:
+    """Copies of each distinct (did, source, size), with the number of ``rows`` that have them."""
     units = write_out(sizes.groupBy("did", "source", "size").agg(F.count("*").alias("rows")))
     stats = sources_of(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, limit)
     counts = units.groupBy(F.col("source").alias("src")).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
@@ -149,7 +141,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         level = done.filter("open").drop("open", "block").withColumn(
             "blocks", F.ceil(F.col("blocks") / BLOCK_ROWS)).withColumn(
             "draw", draw(at))
-    columns = [id_or_null("did").alias("doc_id"), F.col("source"), F.col("size"), F.col("source_size"), F.col("target"),
+    columns = [F.col("did"), F.col("source"), F.col("size"), F.col("source_size"), F.col("target"),
                (F.col("whole") + F.round("share").cast("long")).alias("copies"), F.col("rows")]
     if not settled:
         rounded = level.select(*columns)
@@ -157,5 +149,37 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         rounded = settled[0].select(*columns)
         for part in settled[1:]:
             rounded = rounded.unionByName(part.select(*columns))
-    return (rounded.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("row", "rows")
-            .withColumn("taken", F.col("copies") * F.col("size")))
+    return rounded
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0,
+                id_: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
+    """How often each document is taken: (doc_id, source, size, source_size, target, copies, taken), a row for each row.
+
+    ``size`` counts the words of the whole text, runs without the six ASCII
+    blanks; a null or blank text has none.  ``target`` is that of the source,
+    ``taken`` is ``copies * size``, and ``copies`` is the fraction
+    ``target / source_size`` rounded up or down.  Rows that agree in id, source
+    and size are settled as one and get the same copies.  Null sources are one
+    source; a null id counts as the largest.  A source without words has the
+    target 0, and its documents, as all without words, are taken once or not by
+    a draw of their own.  Other columns are dropped.  An empty table gives an
+    empty result.
+    """
+    rounded = settled_units(docs.select(*_keys(id_, text, source)), weights, share, limit, seed)
+    return (rounded.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+            .withColumns({"doc_id": id_or_null("did"), "taken": F.col("copies") * F.col("size")})
+            .select("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
+
+
+def take_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, limit: float = 2.0,
+             id_: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
+    """The mix itself: rows of ``docs``, with all their columns, as often as ``mix_sources`` takes them."""
+    names = docs.columns
+    all_columns = F.struct(*[F.col(c) for c in names]).alias("__doc")
+    rows = docs.select(*_keys(id_, text, source), all_columns)
+    copies = settled_units(rows.drop("__doc"), weights, share, limit, seed).filter("copies > 0").select(
+        "did", F.col("source").alias("src"), F.col("size").alias("words"), "copies")
+    same = F.expr("did = uid and size = words and source <=> src")
+    taken = rows.join(broadcast_if_small(copies.withColumnRenamed("did", "uid")), same)
+    return taken.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__doc.*")
