@@ -17,12 +17,18 @@ SECRET_MARK = "[SECRET]"
 MAX_BROADCAST = 500_000
 
 
+def _carried(docs: DataFrame, *but: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns but some under names that clash with nothing, and what they were called."""
+    names = {f"__c{i}": c for i, c in enumerate(docs.columns) if c not in but}
+    return docs.select("doc_id", F.col("text").alias("__read"), *[F.col(c).alias(n) for n, c in names.items()]), names
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = ranking.score_quality(docs, labels, keep=others)
-    return scored.filter("predicted = 1").select(*docs.columns)
+    rows, names = _carried(docs)
+    scored = ranking.score_quality(rows, labels, text="__read", keep=tuple(names))
+    return scored.filter("predicted = 1").select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +51,11 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    clean = secret_scan.find_secrets(docs, keep=others, redact_with=SECRET_MARK).withColumnRenamed("clean_text", "text")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, names = _carried(docs, "text", "n_chars")
+    clean = secret_scan.find_secrets(rows, text="__read", keep=tuple(names), redact_with=SECRET_MARK)
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    back = {c: n for n, c in names.items()}
+    return clean.select(*[(F.col(back[c]) if c in back else new[c]).alias(c) for c in docs.columns])
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
