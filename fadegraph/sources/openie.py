@@ -40,22 +40,28 @@ def layout(text: Column) -> Column:
 
 
 def _items(files: DataFrame) -> DataFrame:
-    """One row per extraction, as a map of its fields."""
-    maps = "array<map<string,string>>"
-    sentences = F.from_json(F.get_json_object("text", "$.sentences"), "array<struct<triples:array<map<string,string>>>>")
-    nested = F.flatten(F.transform(sentences, lambda s: F.coalesce(s["triples"], F.array().cast(maps))))
+    """One row per extraction, as JSON text; a file without a list of them gives one row without a position.
+
+    Every list is read as texts first, so one bad item does not touch the others.
+    """
+    texts = "array<string>"
+    sentences = F.from_json(F.get_json_object("text", "$.sentences"), texts)
+    nested = F.flatten(F.transform(sentences, lambda s: F.coalesce(
+        F.from_json(F.get_json_object(s, "$.triples"), texts), F.array().cast(texts))))
     chosen = F.when(_has_keys(F.col("text"), "triples"), F.get_json_object("text", "$.triples")).otherwise(
         F.get_json_object("text", "$.extractions"))
     items = (
         F.when(F.col("layout") == "stanford", nested)
-        .when(F.col("layout") == "generic", F.from_json(chosen, maps))
-        .when(F.col("layout") != "unknown", F.from_json("text", maps))
+        .when(F.col("layout") == "generic", F.from_json(F.coalesce(chosen, F.lit("[]")), texts))
+        .when(F.col("layout") != "unknown", F.from_json("text", texts))
     )
-    return files.select("source_file", "layout", F.posexplode(items).alias("triple_ord", "item"))
+    listed = files.withColumn("_items", items)
+    return listed.select("source_file", "layout", F.posexplode_outer("_items").alias("triple_ord", "item"),
+                         F.col("_items").isNotNull().alias("is_listed"))
 
 
 def _field(position: int) -> Column:
-    item = F.col("item")
+    item = F.from_json("item", "map<string,string>")
     generic = F.lit("")
     for name in reversed(_GENERIC_FIELDS[position]):
         generic = F.when(F.map_contains_key(item, name), item[name]).otherwise(generic)
@@ -65,15 +71,19 @@ def _field(position: int) -> Column:
     return value
 
 
+def _is_object() -> Column:
+    return F.json_object_keys("item").isNotNull() & F.from_json("item", "map<string,string>").isNotNull()
+
+
 def triples(files: DataFrame) -> DataFrame:
     """Triples of files (source_file, text).
 
     (source_file, triple_ord, subject, relation, object).  Triples with an
     absent or empty part are dropped; the rest is stripped, so a part of
-    blanks becomes empty but stays.
+    blanks becomes empty but stays.  What cannot be read at all is left to
+    ``quarantine``.
     """
-    known = files.withColumn("layout", layout(F.col("text"))).filter(F.col("layout") != "unknown")
-    parts = _items(known).select(
+    parts = _items(files.withColumn("layout", layout(F.col("text")))).filter(_is_object()).select(
         "source_file", F.col("triple_ord").cast("long").alias("triple_ord"),
         _field(0).alias("subject"), _field(1).alias("relation"), _field(2).alias("object"))
     full = reduce(lambda a, b: a & b, [F.col(c) != "" for c in ("subject", "relation", "object")])
@@ -81,11 +91,37 @@ def triples(files: DataFrame) -> DataFrame:
         "source_file", "triple_ord", *[strip(F.col(c)).alias(c) for c in ("subject", "relation", "object")])
 
 
+def quarantine(files: DataFrame) -> DataFrame:
+    """What ``triples`` cannot read: (source_file, position, reason).
+
+    A file of no known layout or without a list of extractions has no position;
+    an item that is not an object has its place in the list.
+    """
+    items = _items(files.withColumn("layout", layout(F.col("text"))))
+    reason = (F.when(F.col("layout") == "unknown", "unknown layout")
+              .when(~F.col("is_listed"), "no list of extractions")
+              .when(F.col("triple_ord").isNotNull() & ~F.coalesce(_is_object(), F.lit(False)), "not an object"))
+    return items.select("source_file", F.col("triple_ord").cast("long").alias("position"), reason.alias("reason")).filter(
+        F.col("reason").isNotNull())
+
+
 def read_triples(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
     """Triples of a file or of all files of a folder whose name ends with ``suffix``."""
     return triples(read_files(spark, path, suffix))
 
 
+def read_triples_and_quarantine(spark: SparkSession, path: str, suffix: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Triples of files, and what could not be read of them."""
+    files = read_files(spark, path, suffix)
+    return triples(files), quarantine(files)
+
+
+def unread_records(files: DataFrame) -> DataFrame:
+    """Files of which ``record_texts`` can read nothing: (source_file, reason)."""
+    is_object, is_list = F.json_object_keys("text").isNotNull(), F.from_json("text", "array<string>").isNotNull()
+    return files.filter(~(is_object | is_list)).select("source_file", F.lit("neither an object nor a list").alias("reason"))
+
+
 def record_texts(files: DataFrame) -> DataFrame:
     """Texts of plain records: (source_file, ord, text).
 

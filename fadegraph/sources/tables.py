@@ -1,66 +1,100 @@
 """Snapshots on storage, and the graph export.
 
-A snapshot is a folder of versions ``v=N``; a version is never changed once
-written and becomes current when the marker beside its tables exists.  A job
-that dies half-way leaves a version without a marker, which readers skip.
+A snapshot is a folder of versions ``v=N``.  The tables of a version are
+written to a folder of their own name each time; the version becomes current
+when its marker is created, which names the folders and which only one writer
+can create.  A job that dies half-way leaves tables that no marker names.  A
+table that did not change is named again and not written again.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+from dataclasses import dataclass, field
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadegraph.operators.graph import export_edges, export_nodes, export_stats
-from fadegraph.schema import EDGES, INSTANCES, TOPICS, Snapshot
+from fadegraph.schema import Snapshot
 
-_TABLES = {"topics": TOPICS, "instances": INSTANCES, "edges": EDGES}
+_TABLES = ("topics", "instances", "edges")
 
 
-def _markers(spark: SparkSession, path: str) -> DataFrame | None:
-    """Markers (version, tag) of the complete versions, None when there are none."""
-    try:
-        return spark.read.schema("version long, tag string").json(f"{path}/v=*/complete")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+class VersionConflict(RuntimeError):
+    """Another writer has made the version meanwhile."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """A complete version: its number, the folders of its tables, and the last batch of each stream in it."""
+
+    number: int
+    folders: dict[str, str]
+    batches: dict[str, int] = field(default_factory=dict)
+    snapshot: Snapshot | None = None
+
+
+def _storage(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
     """Number of the latest complete version, 0 when there is none."""
-    markers = _markers(spark, path)
-    return 0 if markers is None else markers.agg(F.max("version").alias("v")).first()["v"] or 0
+    storage, where = _storage(spark, f"{path}/v=*/complete")
+    found = storage.globStatus(where) or []
+    return max((int(f.getPath().getParent().getName().removeprefix("v=")) for f in found if f.getLen() > 0), default=0)
+
+
+def load_version(spark: SparkSession, path: str, number: int | None = None) -> Version:
+    """A version, by default the latest complete one."""
+    number = latest_version(spark, path) if number is None else number
+    if not number:
+        raise FileNotFoundError(f"no complete snapshot under {path}")
+    said = json.loads(spark.read.text(f"{path}/v={number}/complete", wholetext=True).first()[0])
+    tables = (spark.read.parquet(f"{path}/{said['folders'][name]}") for name in _TABLES)
+    return Version(number, said["folders"], said["batches"], Snapshot(*tables))
 
 
-def has_tag(spark: SparkSession, path: str, tag: str) -> bool:
-    """Whether a complete version was written under this tag."""
-    markers = _markers(spark, path)
-    return markers is not None and not markers.filter(F.col("tag") == tag).isEmpty()
+def load_snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
+    """The tables of a version, by default of the latest complete one."""
+    return load_version(spark, path, version).snapshot
 
 
-def save_snapshot(snapshot: Snapshot, path: str, tag: str | None = None) -> int:
+def save_snapshot(snapshot: Snapshot, path: str, after: Version | None = None, batch: tuple[str, int] | None = None) -> int:
     """Write the next version and return its number.
 
-    ``tag`` names what led to the version, so that a repeated attempt can see
-    that it is done (``has_tag``).
+    ``after`` is the version that ``snapshot`` was made from: tables that are
+    still the ones it gave are not written again, and if another version has
+    come after it, ``VersionConflict`` is raised and nothing is changed.
+    ``batch`` names a stream and the number of its batch; the marker keeps the
+    last number of each stream, so a repeated attempt can see that it is done.
     """
     spark = snapshot.spark
-    version = latest_version(spark, path) + 1
+    if after is None:
+        number = latest_version(spark, path)
+        after = load_version(spark, path, number) if number else Version(0, {})
+    number = after.number + 1
+    folders = {}
     for name in _TABLES:
-        getattr(snapshot, name).write.mode("overwrite").parquet(f"{path}/v={version}/{name}")
-    marker = spark.range(1).select(F.lit(version).alias("version"), F.lit(tag).cast("string").alias("tag"))
-    marker.write.mode("overwrite").json(f"{path}/v={version}/complete")
-    return version
-
-
-def load_snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot:
-    """A version, by default the latest complete one."""
-    if version is None:
-        version = latest_version(spark, path)
-        if not version:
-            raise FileNotFoundError(f"no complete snapshot under {path}")
-    return Snapshot(*(spark.read.parquet(f"{path}/v={version}/{name}") for name in _TABLES))
+        table = getattr(snapshot, name)
+        if after.snapshot is not None and table is getattr(after.snapshot, name):
+            folders[name] = after.folders[name]
+        else:
+            folders[name] = f"v={number}/{uuid.uuid4().hex}/{name}"
+            table.write.parquet(f"{path}/{folders[name]}")
+    batches = after.batches | ({batch[0]: batch[1]} if batch else {})
+    storage, marker = _storage(spark, f"{path}/v={number}/complete")
+    try:
+        out = storage.create(marker, False)
+    except Py4JJavaError as error:
+        raise VersionConflict(f"version {number} of {path} exists") from error
+    out.write(bytearray(json.dumps({"version": number, "folders": folders, "batches": batches}).encode()))
+    out.close()
+    return number
 
 
 def instance_vectors(instances: DataFrame) -> DataFrame:
@@ -75,6 +109,26 @@ def write_graph(snapshot: Snapshot, path: str) -> None:
     export_stats(snapshot).write.mode("overwrite").json(f"{path}/stats")
 
 
+def graph_json(snapshot: Snapshot) -> DataFrame:
+    """The export as one row with one JSON object: {nodes, edges, stats}.
+
+    For graphs that fit one value; ``write_graph`` has no such bound.
+    """
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name))
+
+    nodes = listed(export_nodes(snapshot.topics, snapshot.instances), "nodes")
+    edges = listed(export_edges(snapshot.edges), "edges")
+    stats = export_stats(snapshot).select(F.struct("*").alias("stats"))
+    return nodes.join(edges).join(stats).select(F.to_json(F.struct("nodes", "edges", "stats")).alias("graph"))
+
+
+def read_graph(spark: SparkSession, path: str, like: Snapshot) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and stats that ``write_graph`` wrote, with the types of an export of ``like``."""
+    exports = {"nodes": export_nodes(like.topics, like.instances), "edges": export_edges(like.edges), "stats": export_stats(like)}
+    return tuple(spark.read.schema(e.schema).json(f"{path}/{name}") for name, e in exports.items())
+
+
 def with_position(values: DataFrame, array: str) -> DataFrame:
     """An array column as rows with their position from 1: (..., value, ord)."""
     others = [c for c in values.columns if c != array]

@@ -1,8 +1,11 @@
 """Continuous ingest, search, access folding and maintenance.
 
 Each micro-batch runs a batch plan on the latest snapshot and writes the next
-version under the name of the stream and the number of the batch.  A batch
-that Spark delivers again after a failure finds its version and is skipped.
+version, which keeps the stream's id, as Spark stored it in the checkpoint, and
+the number of the batch.  A batch that Spark delivers again after a failure
+finds its number and is skipped; another stream, also one of the same kind, has
+an id of its own.  When another writer was faster, the step is repeated on its
+version, so no update is lost.
 """
 
 from __future__ import annotations
@@ -19,19 +22,28 @@ from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
 from fadegraph.plans.write import AddVectors, remember
 from fadegraph.schema import Snapshot
-from fadegraph.sources.tables import has_tag, load_snapshot, save_snapshot
+from fadegraph.sources.tables import VersionConflict, load_snapshot, load_version, save_snapshot
 
 _INTERVAL_MINUTES = (1, 1440)
+# Times that a batch tries to be the next version.
+_ATTEMPTS = 20
 
 
-def _start(stream: DataFrame, path: str, name: str, checkpoint: str, step: Callable[[Snapshot, DataFrame, int], Snapshot],
+def _start(stream: DataFrame, path: str, checkpoint: str, step: Callable[[Snapshot, DataFrame, int], Snapshot],
            **trigger) -> StreamingQuery:
     def on_batch(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        tag = f"{name}:{number}"
-        if has_tag(spark, path, tag):
-            return
-        save_snapshot(step(load_snapshot(spark, path), batch, number), path, tag)
+        name = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        for attempt in range(_ATTEMPTS):
+            version = load_version(spark, path)
+            if version.batches.get(name, -1) >= number:
+                return
+            try:
+                save_snapshot(step(version.snapshot, batch, number), path, version, (name, number))
+                return
+            except VersionConflict:
+                if attempt == _ATTEMPTS - 1:
+                    raise
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -45,7 +57,7 @@ def remember_stream(rows: DataFrame, path: str, checkpoint: str, add_vectors: Ad
     def step(snapshot: Snapshot, batch: DataFrame, _: int) -> Snapshot:
         return remember(snapshot, batch, add_vectors, config, as_of, limits).snapshot
 
-    return _start(rows, path, "remember", checkpoint, step, **trigger)
+    return _start(rows, path, checkpoint, step, **trigger)
 
 
 def recall_stream(queries: DataFrame, path: str, checkpoint: str, answers: str, config: SearchConfig = SearchConfig(),
@@ -58,7 +70,7 @@ def recall_stream(queries: DataFrame, path: str, checkpoint: str, answers: str,
         recalled.results.write.mode("overwrite").parquet(f"{answers}/batch={number}")
         return recalled.snapshot
 
-    return _start(queries, path, "recall", checkpoint, step, **trigger)
+    return _start(queries, path, checkpoint, step, **trigger)
 
 
 def access_stream(log: DataFrame, path: str, checkpoint: str, boost: float = 0.1, **trigger) -> StreamingQuery:
@@ -67,7 +79,7 @@ def access_stream(log: DataFrame, path: str, checkpoint: str, boost: float = 0.1
     def step(snapshot: Snapshot, batch: DataFrame, _: int) -> Snapshot:
         return snapshot.with_tables(topics=strengthen_topics(snapshot.topics, count_accesses(batch), boost))
 
-    return _start(log, path, "access", checkpoint, step, **trigger)
+    return _start(log, path, checkpoint, step, **trigger)
 
 
 def access_totals(log: DataFrame, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -93,4 +105,4 @@ def maintenance_stream(spark: SparkSession, path: str, checkpoint: str, interval
         return maintain(snapshot, None, limits)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
-    return _start(ticks, path, "maintain", checkpoint, step, processingTime=f"{interval_minutes} minutes")
+    return _start(ticks, path, checkpoint, step, processingTime=f"{interval_minutes} minutes")

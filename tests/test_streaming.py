@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fadegraph import SearchConfig
 from fadegraph.functions.embed import embed_hashed
 from fadegraph.schema import empty_snapshot
-from fadegraph.sources.tables import latest_version, load_snapshot, save_snapshot
+from fadegraph.sources.tables import VersionConflict, latest_version, load_snapshot, load_version, save_snapshot
 from fadegraph.streaming import loops
 from tests.test_ingest_search import AS_OF, make
 
@@ -49,22 +49,73 @@ def test_write_then_read(spark, tmp_path):
     assert after["red apples"]["access_count"] == 1
 
 
+def accesses(spark, folder, topic, n):
+    spark.createDataFrame([(topic,)] * n, "topic_id string").withColumn(
+        "ts", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(folder)
+
+
+ACCESS = "topic_id string, ts timestamp_ntz"
+
+
+def counts(spark, memory):
+    return {r["id"]: r["access_count"] for r in load_snapshot(spark, memory).topics.collect()}
+
+
 def test_a_batch_is_applied_once(spark, tmp_path):
-    memory, log = str(tmp_path / "memory"), str(tmp_path / "log")
+    memory, log, state = (str(tmp_path / n) for n in ("memory", "log", "state"))
     save_snapshot(make(spark, [("a", [1.0], 0.2), ("b", [1.0], 0.2)]), memory)
-    schema = "topic_id string, ts timestamp_ntz"
-    rows = spark.createDataFrame([("a",)] * 3, "topic_id string").withColumn(
-        "ts", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
-    rows.coalesce(1).write.parquet(log)
-    for n in range(2):
-        # A new checkpoint folder makes Spark deliver batch 0 again.
-        loops.access_stream(stream(spark, log, schema), memory, str(tmp_path / f"c{n}")).awaitTermination()
+    accesses(spark, log, "a", 3)
+    for _ in range(2):
+        loops.access_stream(stream(spark, log, ACCESS), memory, state).awaitTermination()
+        # Without the record of its end, Spark delivers the batch of this checkpoint again.
+        for end in (tmp_path / "state" / "commits").glob("*0*"):
+            end.unlink()
     after = {r["id"]: r for r in load_snapshot(spark, memory).topics.collect()}
     assert after["a"]["access_count"] == 3 and after["a"]["strength"] == pytest.approx(0.5)
     assert after["b"]["access_count"] == 0
     assert latest_version(spark, memory) == 2
 
 
+def test_two_sources_of_a_kind(spark, tmp_path):
+    memory = str(tmp_path / "memory")
+    save_snapshot(make(spark, [("a", [1.0], 0.2), ("b", [1.0], 0.2)]), memory)
+    for topic, n in (("a", 2), ("b", 5)):
+        log = str(tmp_path / f"log-{topic}")
+        accesses(spark, log, topic, n)
+        loops.access_stream(stream(spark, log, ACCESS), memory, str(tmp_path / f"state-{topic}")).awaitTermination()
+    assert counts(spark, memory) == {"a": 2, "b": 5}
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    memory = str(tmp_path / "memory")
+    save_snapshot(make(spark, [("a", [1.0], 0.2), ("b", [1.0], 0.2)]), memory)
+    old = load_version(spark, memory)
+    save_snapshot(old.snapshot, memory, old)
+    with pytest.raises(VersionConflict):
+        save_snapshot(old.snapshot, memory, old)
+    running = []
+    for topic, n in (("a", 4), ("b", 6)):
+        log = str(tmp_path / f"log-{topic}")
+        for _ in range(2):
+            accesses(spark, log, topic, n)
+        running.append(loops.access_stream(stream(spark, log, ACCESS), memory, str(tmp_path / f"state-{topic}")))
+    for query in running:
+        query.awaitTermination()
+    assert counts(spark, memory) == {"a": 8, "b": 12}
+    assert latest_version(spark, memory) == 6
+
+
+def test_unchanged_tables_are_not_written(spark, tmp_path):
+    memory, log = str(tmp_path / "memory"), str(tmp_path / "log")
+    save_snapshot(make(spark, [("a", [1.0], 0.2)]), memory)
+    before = load_version(spark, memory)
+    accesses(spark, log, "a", 1)
+    loops.access_stream(stream(spark, log, ACCESS), memory, str(tmp_path / "state")).awaitTermination()
+    after = load_version(spark, memory)
+    assert after.folders["topics"] != before.folders["topics"]
+    assert {n: after.folders[n] for n in ("instances", "edges")} == {n: before.folders[n] for n in ("instances", "edges")}
+
+
 def test_windowed_totals(spark, tmp_path):
     log = str(tmp_path / "log")
     rows = [("a", "2024-01-30 00:10:00"), ("a", "2024-01-30 00:50:00"), ("b", "2024-01-30 01:10:00")]

@@ -112,6 +112,21 @@ def test_triple_files(spark, tmp_path):
     assert openie.read_triples(spark, str(tmp_path), ".json").count() == 3
 
 
+def test_bad_items_are_set_aside(spark):
+    good = '{"subject":"a","predicate":"is","object":"b"}'
+    files = spark.createDataFrame([
+        ("one", f'[{good},"oops",{good}]'), ("two", f'[{good},'), ("three", "plain"), ("four", '{"triples":7}'),
+        ("five", '{"sentences":[{"triples":[{"subject":"x","relation":"y","object":"z"},[1]]},5]}'), ("six", '{"triples":null}'),
+        ("seven", None)], "source_file string, text string")
+    got = {(r["source_file"], r["triple_ord"]) for r in openie.triples(files).collect()}
+    assert got == {("one", 0), ("one", 2), ("five", 0)}
+    bad = {(r["source_file"], r["position"], r["reason"]) for r in openie.quarantine(files).collect()}
+    assert {b for b in bad if b[0] in ("one", "five", "six")} == {("one", 1, "not an object"), ("five", 1, "not an object")}
+    assert {b[0] for b in bad} == {"one", "two", "three", "four", "five", "seven"}
+    assert [r["source_file"] for r in openie.unread_records(files).orderBy("source_file").collect() if r["source_file"] != "seven"] == [
+        "three", "two"]
+
+
 def test_record_texts(spark):
     files = spark.createDataFrame([
         ("a", '[{"sentence":"one","text":"no"},{"sentence":"","text":"two"},{"surface":"three"},{"x":1}]'),
@@ -161,12 +176,12 @@ def test_snapshot_versions(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.load_snapshot(spark, path)
     one = make(spark, [("a", [1.0], 0.5)], [("i", "a", "x", [1.0])], [("a", "a", 0.5)])
-    assert tables.save_snapshot(one, path, "first") == 1
+    assert tables.save_snapshot(one, path, batch=("s", 4)) == 1
     loaded = tables.load_snapshot(spark, path)
     assert tables.save_snapshot(loaded.with_tables(edges=loaded.edges.limit(0)), path) == 2
     assert tables.load_snapshot(spark, path).edges.count() == 0
     assert tables.load_snapshot(spark, path, 1).edges.count() == 1
-    assert tables.has_tag(spark, path, "first") and not tables.has_tag(spark, path, "second")
+    assert tables.load_version(spark, path).batches == {"s": 4}
     # A version whose job died has no marker and is not seen.
     one.topics.write.parquet(f"{path}/v=3/topics")
     assert tables.latest_version(spark, path) == 2
