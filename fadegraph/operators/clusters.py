@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fadegraph.config import SimilarityLimits
@@ -17,105 +11,61 @@ from fadegraph.functions.vectors import cosine_or_zero, group_mean, l2_distance
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.leaders import choose_leaders
 from fadegraph.operators.similarity import nearest
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
 
 _TOPIC_NAME_LENGTH = 80
-# Texts that one task may cluster in sequence.
-MAX_SEQUENCE = 50_000
+# Parts of a cluster that look for its best member on their own.
+_SALTS = 16
 
 
-def kmeans_topics(triples: DataFrame, embedder, n_clusters: int = 10, seed: int = 42) -> DataFrame:
-    """Topic-map rows with one topic per KMeans cluster and file.
+def _nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """Adds ``cluster`` and ``gap``: the nearest of the file's centres, the first of equals.
 
-    A cluster is named by the subject of the triple nearest to its centre.
-    ``embedder`` is a callable on texts, or a function of (DataFrame, text
-    column) that adds column ``embedding``.
+    A file's centres are one row with an array of at most ``n_clusters``
+    vectors, so a file of any size is joined without being gathered.
+    """
+    one = centres.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("_centres"))
+    ranked = F.transform("_centres", lambda c: F.struct(
+        F.round(l2_distance(F.col("embedding"), c["centre"]), 12).alias("gap"), c["cluster"].alias("cluster")))
+    best = points.join(broadcast_if_small(one), "source_file").withColumn("_best", F.array_min(ranked))
+    return best.withColumns({"cluster": F.col("_best.cluster"), "gap": F.col("_best.gap")}).drop("_centres", "_best")
+
+
+def kmeans_topics(triples: DataFrame, embedder, n_clusters: int = 10, max_iter: int = 10) -> DataFrame:
+    """Topic-map rows with one topic per KMeans cluster of each file.
+
+    Each file has clusters of its own, as many as ``n_clusters`` or as it has
+    different vectors.  The first centres are its first different vectors by
+    ``triple_ord``; each of ``max_iter`` Lloyd steps, for all files together,
+    assigns and takes means, and a cluster that loses its members is gone.  A
+    cluster is named by the subject of the triple nearest to its last centre.
+    ``embedder`` is a callable on texts, or an object whose ``add(DataFrame,
+    text column)`` adds column ``embedding``.
     """
     texts = triples.withColumn("instance", F.concat_ws(" ", "subject", "relation", "object"))
     embedded = embedder.add(texts, "instance") if hasattr(embedder, "add") else embed_with(texts, "instance", embedder)
-    points = cut_lineage(embedded.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))))
-    k = min(n_clusters, points.limit(n_clusters).count())
-    if k == 0:
-        return points.select("source_file", F.lit("").alias("topic"), F.col("triple_ord").alias("ord"), "instance")
-    if k == 1:
-        labelled = points.withColumn("cluster", F.lit(0))
-    else:
-        model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(points)
-        labelled = model.transform(points)
-    labelled = cut_lineage(labelled.drop("features"))
-    centres = group_mean(labelled, ["cluster"], "embedding", "centre")
-    gap = l2_distance(F.col("embedding"), F.col("centre"))
-    # At most n_clusters rows: one per cluster.
-    names = labelled.join(F.broadcast(centres), "cluster").groupBy("cluster").agg(
-        F.min_by("subject", F.struct(F.round(gap, 12), F.col("source_file"), F.col("triple_ord"))).alias("topic"))
-    return labelled.join(F.broadcast(names), "cluster").select(
+    points = cut_lineage(embedded.withColumn("embedding", F.col("embedding").cast("array<double>")))
+    different = points.groupBy("source_file", "embedding").agg(F.min("triple_ord").alias("ord"))
+    place = F.row_number().over(Window.partitionBy("source_file").orderBy("ord"))
+    centres = different.withColumn("cluster", place).filter(F.col("cluster") <= n_clusters).select(
+        "source_file", "cluster", F.col("embedding").alias("centre"))
+    for _ in range(max_iter):
+        moved = _nearest_centre(points, cut_lineage(centres))
+        centres = group_mean(moved, ["source_file", "cluster"], "embedding", "centre")
+    labelled = cut_lineage(_nearest_centre(points, cut_lineage(centres)))
+    names = labelled.groupBy("source_file", "cluster").agg(
+        F.min_by("subject", F.struct("gap", "triple_ord")).alias("topic"))
+    return labelled.join(broadcast_if_small(names), ["source_file", "cluster"]).select(
         "source_file", "topic", F.col("triple_ord").alias("ord"), "instance")
 
 
-def _follow_centroids(vectors: np.ndarray, threshold: float) -> list[int]:
-    """Cluster number of each vector, in order: the first cluster whose mean is near enough."""
-    sums = np.zeros((16, vectors.shape[1]))
-    lengths = np.zeros(16)
-    n_clusters = 0
-    labels = []
-    own = np.sqrt((vectors * vectors).sum(axis=1))
-    for vector, length in zip(vectors, own, strict=True):
-        near = np.zeros(0, dtype=int)
-        if n_clusters:
-            scale = lengths[:n_clusters] * length
-            dots = sums[:n_clusters] @ vector
-            near = np.flatnonzero(np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0) >= threshold)
-        if len(near):
-            chosen = int(near[0])
-        else:
-            chosen, n_clusters = n_clusters, n_clusters + 1
-            if n_clusters > len(lengths):
-                sums = np.vstack([sums, np.zeros_like(sums)])
-                lengths = np.concatenate([lengths, np.zeros_like(lengths)])
-        sums[chosen] += vector
-        lengths[chosen] = np.sqrt(sums[chosen] @ sums[chosen])
-        labels.append(chosen)
-    return labels
-
-
-def centroid_clusters(texts: DataFrame, threshold: float = 0.7, max_texts: int = MAX_SEQUENCE) -> DataFrame:
-    """Order-dependent clusters with moving centroids, one run per file.
-
-    ``texts`` is (source_file, ord, text, embedding) with distinct texts per
-    file.  A text joins the first cluster whose mean is at least ``threshold``
-    similar.  Every step depends on the one before, so a file is one sequence
-    in one task and files are the unit of parallel work.  Files are counted
-    first, and one with more than ``max_texts`` texts is refused: that is what
-    ``leader_clusters`` is for.
-    Result: (source_file, ord, text, embedding, cluster).
-    """
-    large = texts.groupBy("source_file").count().filter(F.col("count") > max_texts).first()
-    if large is not None:
-        raise ValueError(f"{large['source_file']} has {large['count']} texts, more than {max_texts}; "
-                         "use leader_clusters")
-    schema = "source_file string, ord long, text string, embedding array<float>, cluster long"
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("ord").select(["source_file", "ord", "text", "embedding"]).combine_chunks()
-        flat = np.asarray(group.column("embedding").combine_chunks().flatten(), dtype=np.float64)
-        labels = _follow_centroids(flat.reshape(group.num_rows, -1), threshold)
-        vectors = group.column("embedding").cast(pa.list_(pa.float32()))
-        group = group.set_column(3, "embedding", vectors)
-        return group.append_column("cluster", pa.array(labels, type=pa.int64()))
-
-    rows = texts.select("source_file", F.col("ord").cast("long").alias("ord"), "text",
-                        F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.groupBy("source_file").applyInArrow(run, schema)
-
-
 def leader_clusters(texts: DataFrame, threshold: float = 0.7,
                     limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
-    """Parallel clusters with fixed leaders, for inputs too large for one sequence.
+    """Order-dependent clusters with fixed leaders, over all files at once.
 
     A text becomes a leader when no earlier leader is more than ``threshold``
-    similar; every other text joins its most similar earlier leader.  This is
-    not the moving-centroid rule, but it depends on the order in the same way
-    and runs over all files at once.  ``ord`` must be unique over all texts.
+    similar; every other text joins its most similar earlier leader.
+    ``ord`` must be unique over all texts.
     Result: (source_file, ord, text, embedding, cluster), cluster = the leader's ord.
     """
     points = vb.side(texts, F.col("ord"), "embedding", ord_=F.col("ord"))
@@ -136,8 +86,13 @@ def cluster_topics(clusters: DataFrame, min_instances: int = 1) -> DataFrame:
     means = group_mean(clusters, keys, "embedding", "centre").join(
         clusters.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_instances), keys)
     near = F.round(cosine_or_zero(F.col("embedding"), F.col("centre")), 12)
-    names = clusters.join(means, keys).groupBy(*keys).agg(
-        F.min_by("text", F.struct(-near, F.col("ord"))).alias("name"))
-    return clusters.join(names, keys).select(
+    # The best of each salted part first: the join leaves rows dealt by the keys alone.
+    salt = F.pmod(F.xxhash64("ord"), F.lit(_SALTS))
+    parts = clusters.withColumn("salt", salt).join(
+        broadcast_if_small(cut_lineage(means)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))), [*keys, "salt"])
+    best = parts.groupBy(*keys, "salt").agg(F.min_by(F.struct("text"), F.struct(-near, F.col("ord"))).alias("best"),
+                                            F.min(F.struct(-near, F.col("ord"))).alias("at"))
+    names = cut_lineage(best.groupBy(*keys).agg(F.min_by("best.text", "at").alias("name")))
+    return clusters.join(broadcast_if_small(names), keys).select(
         "source_file", F.substring("name", 1, _TOPIC_NAME_LENGTH).alias("topic"), "cluster", "ord",
         F.col("text").alias("instance"))

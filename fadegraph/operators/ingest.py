@@ -92,7 +92,9 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
     nearest topic that exists when its turn comes, if that is more than 0.9
     similar; topics of earlier entries exist as well.  Creating entries are
     therefore the leaders (operators.leaders) of those no stored topic covers.
-    Result: (entry_ord, topic, topic_id, is_created, nearest_id, nearest_similarity).
+    Result: (entry_ord, topic, topic_id, is_created, nearest_id, nearest_similarity);
+    the last two are null at or below the similarity from which links are made,
+    where nothing depends on them.
     """
     points = vb.side(entries, F.col("entry_ord"), "topic_embedding", ord_=F.col("entry_ord"))
     stored = cut_lineage(
@@ -118,10 +120,12 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
     is_created = F.coalesce("leads", F.lit(False)) | F.col("has_direction").isNull()
     nearest_id = F.when(use_earlier, F.col("earlier_id")).otherwise(F.col("stored_id"))
     nearest_sim = F.when(use_earlier, F.col("earlier_sim")).otherwise(F.col("stored_sim"))
+    known = nearest_sim > lowest
     return turned.join(made, "earlier_ord", "left").select(
         "entry_ord", "topic",
         F.when(is_created, F.col("own_id")).otherwise(nearest_id).alias("topic_id"),
-        is_created.alias("is_created"), nearest_id.alias("nearest_id"), nearest_sim.alias("nearest_similarity"))
+        is_created.alias("is_created"), F.when(known, nearest_id).alias("nearest_id"),
+        F.when(known, nearest_sim).alias("nearest_similarity"))
 
 
 def link_edges(resolved: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fadegraph.config import SearchConfig, SimilarityLimits
 from fadegraph.operators.aggregate import by_relation, ordered_distinct
-from fadegraph.operators.clusters import centroid_clusters, cluster_topics, leader_clusters
+from fadegraph.operators.clusters import cluster_topics, leader_clusters
 from fadegraph.operators.ingest import Ingested, ingest, number_entries, numbered
 from fadegraph.operators.updates import AsOf
 from fadegraph.schema import Snapshot
@@ -32,24 +32,16 @@ def remember(snapshot: Snapshot, rows: DataFrame, add_vectors: AddVectors, confi
 
 
 def semantic_rows(texts: DataFrame, add_vectors: AddVectors, threshold: float = 0.7, min_instances: int = 1,
-                  method: str = "centroid", limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
+                  limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
     """Topic-map rows of texts (source_file, ord, text) grouped by meaning.
 
-    ``method`` "centroid" follows moving means file by file and refuses files
-    too large for one sequence; "leader" is the parallel rule.  ``ord`` of the
-    result orders topics by cluster and then texts.
+    ``ord`` of the result orders topics by cluster and then texts.
     """
     distinct = ordered_distinct(texts, "source_file", "text", "ord")
-    if method == "leader":
-        # Positions repeat from file to file; leaders need one order over all.
-        distinct = numbered(distinct, ["source_file", "ord"], "place").drop("ord").withColumnRenamed("place", "ord")
+    # Positions repeat from file to file; leaders need one order over all.
+    distinct = numbered(distinct, ["source_file", "ord"], "place").drop("ord").withColumnRenamed("place", "ord")
     embedded = cut_lineage(add_vectors(distinct, "text", "embedding"))
-    if method == "leader":
-        clusters = leader_clusters(embedded, threshold, limits)
-    elif method == "centroid":
-        clusters = centroid_clusters(embedded, threshold)
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    clusters = leader_clusters(embedded, threshold, limits)
     return cluster_topics(cut_lineage(clusters), min_instances).select(
         "source_file", "topic", "cluster", "ord", "instance")
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fadegraph import SearchConfig, Snapshot
+from fadegraph import SearchConfig, SimilarityLimits, Snapshot
 from fadegraph.functions import scoring, vectors
 from fadegraph.functions.embed import embed_hashed
 from fadegraph.operators import aggregate, clusters, density, discover, graph, ingest, merge, search, updates
@@ -29,6 +29,9 @@ from fixtures import AS_OF, DUCKDB_SQL, SPARK_SQL
 _BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
          "conversations").split()
 
+# Limits so small that the given tables take the ways for tables of any size.
+SMALL_LIMITS = SimilarityLimits(broadcast_rows=64, block_rows=128, max_cells=32)
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +124,12 @@ def _(t: Tables) -> DataFrame:
     return found.select("query_id", "topic_id", _six("similarity"), "rank")
 
 
+@_query("j2_partitioned", _NEAREST.format(k=3), "queries memory_topics")
+def _(t: Tables) -> DataFrame:
+    found = search.nearest_topics(t.queries, t.topics, 3, SMALL_LIMITS)
+    return found.select("query_id", "topic_id", _six("similarity"), "rank")
+
+
 @_query("j3_top_instances", f"""
 with near as (
   select query_id, query_embedding, topic_id from (
@@ -156,6 +165,12 @@ def _(t: Tables) -> DataFrame:
     return merge.similar_topics(t.topics).select("rank", "id1", "id2", _six("similarity"))
 
 
+@_query("j4_partitioned", f"select rank, id1, id2, round(similarity, 6) as similarity from ({_PAIRS})",
+        "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return merge.similar_topics(t.topics, limits=SMALL_LIMITS).select("rank", "id1", "id2", _six("similarity"))
+
+
 @_query("j4_follow_best", f"""
 select id1, id2, round(similarity, 6) as similarity from (
   select a.id as id1, b.id as id2, {_COS}(a.topic_embedding, b.topic_embedding) as similarity,
@@ -436,20 +451,15 @@ def _(t: Tables) -> DataFrame:
 select t.id, round(least(strength + coalesce(n, 0) * 0.1, 1.0), 6) as strength,
   access_count + coalesce(n, 0) as access_count,
   case when n is null then last_accessed else greatest(last_accessed, last) end as last_accessed,
-  round(half_life_days * pow(1.1, least(coalesce(n, 0), 100)), 4) as half_life_days
+  round(ln(half_life_days) + coalesce(n, 0) * ln(1.1), 6) as log_half_life
 from memory_topics t left join (
   select topic_id, count(*) as n, max(ts) as last from access_log group by 1) a on a.topic_id = t.id""",
         "memory_topics access_log")
 def _(t: Tables) -> DataFrame:
-    # The half-life of a topic with very many accesses outgrows 6 digits; the
-    # fold itself has no cap, so it is shown on at most 100 accesses.
-    counts = updates.count_accesses(t.access_log)
-    folded = updates.strengthen_topics(t.topics, counts, as_of=AS_OF)
-    capped = updates.strengthen_topics(
-        t.topics, counts.withColumn("n_accesses", F.least("n_accesses", F.lit(100))), as_of=AS_OF)
-    return folded.drop("half_life_days").join(
-        capped.select("id", F.round("half_life_days", 4).alias("half_life_days")), "id").select(
-        "id", _six("strength"), "access_count", "last_accessed", "half_life_days")
+    # The half-life of a busy topic outgrows a comparison by digits; its logarithm does not.
+    folded = updates.strengthen_topics(t.topics, updates.count_accesses(t.access_log), as_of=AS_OF)
+    return folded.select("id", _six("strength"), "access_count", "last_accessed",
+                         F.round(F.log("half_life_days"), 6).alias("log_half_life"))
 
 
 @_query("u8_strengthen", f"""
@@ -663,18 +673,41 @@ def _(t: Tables) -> DataFrame:
         F.array_join("instances", "|").alias("instances"))
 
 
-def _kmeans(t: Tables) -> DataFrame:
-    class Hashed:
-        @staticmethod
-        def add(df: DataFrame, column: str) -> DataFrame:
-            return embed_hashed(df, column, 32)
+_SPREAD = "sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2)"
+
 
-    return aggregate.convert(t.triples, "semantic", embedder=Hashed)
+def _lloyd(steps: int, k: int) -> str:
+    """KMeans by file on the sizes of the parts of triples, step by step."""
+    text_ = f"""
+with points as (
+  select *, concat(subject, ' ', relation, ' ', object) as instance, cast(length(subject) as double) as x,
+    cast(length(relation) as double) as y, 2.0 * length(object) as z from triples),
+different as (select source_file, x, y, z, min(triple_ord) as ord from points group by 1, 2, 3, 4),
+c0 as (
+  select * from (select source_file, row_number() over (partition by source_file order by ord) as cluster, x, y, z from different)
+  where cluster <= {k})"""
+    for step in range(steps + 1):
+        text_ += f""",
+a{step} as (
+  select p.*, c.cluster, round({_SPREAD}, 12) as gap from points p join c{step} c using (source_file)
+  qualify row_number() over (partition by p.source_file, p.triple_ord order by round({_SPREAD}, 12), c.cluster) = 1),
+c{step + 1} as (select source_file, cluster, avg(x) as x, avg(y) as y, avg(z) as z from a{step} group by 1, 2)"""
+    return text_ + f"""
+select source_file, topic, count(*) as n_instances, min(instance) as first_instance from (
+  select source_file, instance, first_value(subject) over (partition by source_file, cluster order by gap, triple_ord) as topic
+  from a{steps}) group by 1, 2"""
 
 
-@_query("a6_kmeans")
+@_query("a6_kmeans", _lloyd(2, 3), _TRIPLES)
 def _(t: Tables) -> DataFrame:
-    return _kmeans(t).groupBy("topic").agg(F.count(F.lit(1)).alias("n_instances"))
+    class Sizes:
+        @staticmethod
+        def add(df: DataFrame, _: str) -> DataFrame:
+            size = [F.length(c).cast("double") for c in ("subject", "relation", "object")]
+            return df.withColumn("embedding", F.array(size[0], size[1], 2.0 * size[2]))
+
+    return clusters.kmeans_topics(t.triples, Sizes, n_clusters=3, max_iter=2).groupBy("source_file", "topic").agg(
+        F.count(F.lit(1)).alias("n_instances"), F.min("instance").alias("first_instance"))
 
 
 # Every customer is a file of two triples, in one of the layouts by its segment.
@@ -722,6 +755,27 @@ def _(t: Tables) -> DataFrame:
     return openie.triples(_triple_files(t))
 
 
+# Every customer is a file with a bad item between two good ones; every fifth is cut off, every seventh is plain text.
+@_query("r5_quarantine", """
+with kinds as (select *, case when c_custkey % 7 = 0 then 'plain' when c_custkey % 5 = 0 then 'cut' else 'bad' end as kind from customer)
+select c_name as source_file, cast(1 as bigint) as place, 'not an object' as said from kinds where kind = 'bad'
+union all select c_name, null, 'unknown layout' from kinds where kind = 'cut'
+union all select c_name, null, 'unknown layout' from kinds where kind = 'plain'
+union all select c_name, 0, c_mktsegment from kinds where kind = 'bad'
+union all select c_name, 2, cast(c_nationkey as varchar) from kinds where kind = 'bad'""")
+def _(t: Tables) -> DataFrame:
+    def one(end: str) -> Column:
+        return F.to_json(F.struct(F.col("c_name").alias("arg1"), F.lit("has").alias("rel"), F.col(end).cast("string").alias("arg2")))
+
+    whole = F.concat(F.lit("["), one("c_mktsegment"), F.lit(',"oops",'), one("c_nationkey"), F.lit("]"))
+    cut = F.concat(F.lit("["), one("c_mktsegment"), F.lit(', {"arg1'))
+    body = F.when(F.col("c_custkey") % 7 == 0, F.lit("plain")).when(
+        F.col("c_custkey") % 5 == 0, cut).otherwise(whole)
+    files = t.customer.select(F.col("c_name").alias("source_file"), body.alias("text"))
+    good = openie.triples(files).select("source_file", F.col("triple_ord").alias("place"), F.col("object").alias("said"))
+    return good.unionByName(openie.quarantine(files).toDF("source_file", "place", "said"))
+
+
 @_query("r12_record_texts", """
 select cast(conv_id as varchar) as source_file, role, count(*) as n_texts, sum(length(text)) as n_chars
 from conversations where text <> '' group by 1, 2""")
@@ -878,21 +932,31 @@ resolved as (
 _INGEST_TABLES = "ingest_entries ingest_instances memory_topics"
 
 
-def _named_resolution(t: Tables) -> DataFrame:
+def _named_resolution(t: Tables, limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
     entries = t.ingest_entries.join(t.ingest_instances.select("entry_ord"), "entry_ord", "left_semi")
-    resolved = cut_lineage(ingest.resolve_entries(entries, t.topics, as_of=AS_OF))
+    resolved = cut_lineage(ingest.resolve_entries(entries, t.topics, as_of=AS_OF, limits=limits))
     made = resolved.filter("is_created").select(F.col("topic_id").alias("nearest_id"), F.col("topic").alias("made"))
     return resolved.join(made, "nearest_id", "left").withColumn("nearest", F.coalesce("made", "nearest_id"))
 
 
-@_query("u1_resolve_topics", _INGEST + """
+_RESOLVED = _INGEST + """
 select entry_ord, is_created, case when similarity > 0.75 then nearest end as nearest,
-  case when similarity > 0.75 then round(similarity, 6) end as similarity from resolved""", _INGEST_TABLES)
+  case when similarity > 0.75 then round(similarity, 6) end as similarity from resolved"""
+
+
+def _resolution(t: Tables, limits: SimilarityLimits) -> DataFrame:
+    return _named_resolution(t, limits).select(
+        "entry_ord", "is_created", "nearest", F.round("nearest_similarity", 6).alias("similarity"))
+
+
+@_query("u1_resolve_topics", _RESOLVED, _INGEST_TABLES)
 def _(t: Tables) -> DataFrame:
-    close = F.col("nearest_similarity") > 0.75
-    return _named_resolution(t).select(
-        "entry_ord", "is_created", F.when(close, F.col("nearest")).alias("nearest"),
-        F.when(close, F.round("nearest_similarity", 6)).alias("similarity"))
+    return _resolution(t, SimilarityLimits())
+
+
+@_query("u1_partitioned", _RESOLVED, _INGEST_TABLES)
+def _(t: Tables) -> DataFrame:
+    return _resolution(t, SMALL_LIMITS)
 
 
 @_query("u2_auto_links", _INGEST + """
@@ -998,6 +1062,13 @@ def _(t: Tables) -> DataFrame:
     return density.dbscan(discover.small_topic_instances(t.instances), "id", "content_embedding")
 
 
+@_query("a16_partitioned", _DBSCAN + """
+select p.id, coalesce(c.is_core, false) as is_core, c.cluster from points p left join clustered c on c.id = p.id""",
+        "memory_instances")
+def _(t: Tables) -> DataFrame:
+    return density.dbscan(discover.small_topic_instances(t.instances), "id", "content_embedding", limits=SMALL_LIMITS)
+
+
 @_query("u13_discovered", _DBSCAN + """
 select concat('[INFO] Automatically discovered: ', substr(arg_min(p.content, p.id), 1, 30)) as topic_name,
   c.cluster, count(*) as n_members, round(avg(p.content_embedding[1]), 6) as first_coordinate
@@ -1080,15 +1151,20 @@ def _(t: Tables) -> DataFrame:
     return merge.merge_plan(t.topics, 0.92, max_pairs=None)
 
 
-@_query("a7_centroid_clusters")
+@_query("u14_merge_all_partitioned", f"""with recursive
+parents as (
+  select node, parent from (
+    select b.id as node, a.id as parent, row_number() over (partition by b.id
+      order by round({_COS}(a.topic_embedding, b.topic_embedding), 12) desc, a.id) as rank
+    from memory_topics a join memory_topics b on a.id < b.id
+    where {_COS}(a.topic_embedding, b.topic_embedding) > 0.92) where rank = 1),
+climb(node, above) as (
+  select node, parent from parents
+  union
+  select c.node, p.parent from climb c join parents p on p.node = c.above)
+select node as merged_id, above as kept_id from climb where above not in (select node from parents)""", "memory_topics")
 def _(t: Tables) -> DataFrame:
-    # Every conversation is a file; its turns are clustered in order.
-    texts = t.conversations.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("source_file"),
-                                   F.col("turn").alias("ord"), "text")
-    distinct = aggregate.ordered_distinct(texts, "source_file", "text", "ord")
-    found = clusters.centroid_clusters(embed_hashed(distinct, "text", 64))
-    return clusters.cluster_topics(found).groupBy("source_file", "topic").agg(
-        F.count(F.lit(1)).alias("n_instances"))
+    return merge.merge_plan(t.topics, 0.92, max_pairs=None, limits=SMALL_LIMITS)
 
 
 _LEADERS = f"""with recursive
@@ -1174,12 +1250,33 @@ def _(t: Tables) -> DataFrame:
 
 
 @_query("w6_graph_json", """
-select source, target, weight from topic_edges_json""".replace("topic_edges_json", """(
-  select from_topic as source, to_topic as target, weight from topic_edges where weight > 0.2)"""), "topic_edges")
-def _(t: Tables) -> DataFrame:
-    # What the JSON sink writes, read back line by line.
-    lines = graph.export_edges(t.edges).select(F.to_json(F.struct("*")).alias("line"))
-    return lines.select(F.from_json("line", "source string, target string, weight double").alias("e")).select("e.*")
+select 'edges' as part, from_topic as a, to_topic as b, weight as x, cast(activation_count as bigint) as n
+from topic_edges where weight > 0.2
+union all select 'nodes', t.id, topic_name, strength, (select count(*) from memory_instances i where i.topic_id = t.id)
+from memory_topics t
+union all select 'stats', null, null, round((select avg(strength) from memory_topics), 6),
+  (select count(*) from memory_topics) + (select count(*) from memory_instances)
+  + (select count(*) from topic_edges where weight > 0.2)""", "memory_topics memory_instances topic_edges")
+def _(t: Tables) -> DataFrame:
+    # What the JSON sink wrote, read back.
+    place = f"{ensure_checkpoint_dir(t.spark)}/graph-{uuid.uuid4().hex}"
+    snapshot = t.snapshot
+    tables.write_graph(snapshot, place)
+    nodes, edges, stats_ = tables.read_graph(t.spark, place, snapshot)
+    nothing = F.lit(None).cast("string")
+    total = F.col("total_topics") + F.col("total_instances") + F.col("total_edges")
+    return (edges.select(F.lit("edges").alias("part"), F.col("source").alias("a"), F.col("target").alias("b"),
+                         F.col("weight").alias("x"), F.col("activation_count").cast("long").alias("n"))
+            .unionByName(nodes.select(F.lit("nodes").alias("part"), F.col("id").alias("a"), F.col("label").alias("b"),
+                                      F.col("strength").alias("x"), F.col("instance_count").alias("n")))
+            .unionByName(stats_.select(F.lit("stats").alias("part"), nothing.alias("a"), nothing.alias("b"),
+                                       F.round("avg_topic_strength", 6).alias("x"), total.alias("n"))))
+
+
+@_query("r8_instance_scan", """
+select id, content, len(content_embedding) as width, topic_id from memory_instances""", "memory_instances")
+def _(t: Tables) -> DataFrame:
+    return tables.instance_vectors(t.instances).select("id", "content", F.size("content_embedding").alias("width"), "topic_id")
 
 
 @_query("t4_stream_totals", """

@@ -104,20 +104,3 @@ def dbscan(points, eps, min_samples):
                     label[b] = a
                     stack.append(b)
     return {a: (a in core, label.get(a)) for a in ids}
-
-
-def centroid_clusters(vectors, threshold):
-    clusters = []
-    labels = []
-    for i, v in enumerate(vectors):
-        for n, members in enumerate(clusters):
-            mean = np.mean([vectors[m] for m in members], axis=0)
-            scale = np.linalg.norm(v) * np.linalg.norm(mean)
-            if (float(v @ mean / scale) if scale else 0.0) >= threshold:
-                members.append(i)
-                labels.append(n)
-                break
-        else:
-            labels.append(len(clusters))
-            clusters.append([i])
-    return labels

@@ -209,16 +209,15 @@ def test_entries_are_numbered_in_order(spark):
         ("f1", "z", 1), ("f1", "z", 3), ("f1", "a", 9), ("f2", "b", 0)]
 
 
-@pytest.mark.parametrize("method", ["centroid", "leader"])
-def test_semantic_rows(spark, method):
+def test_semantic_rows(spark):
     triples = spark.createDataFrame([
         ("f", 0, "cats", "chase", "mice"), ("f", 1, "cats", "chase", "mice "), ("f", 2, "cats", "chase", "mice often"),
         ("f", 3, "ships", "cross", "oceans")], "source_file string, triple_ord long, subject string, relation string, object string")
-    rows = semantic_rows(relation_texts(triples), hashed, 0.7, 1, method).orderBy("cluster", "ord").collect()
+    rows = semantic_rows(relation_texts(triples), hashed, 0.7, 1).orderBy("cluster", "ord").collect()
     assert [r["instance"] for r in rows] == ["cats chase mice", "cats chase mice often", "ships cross oceans"]
     assert {r["topic"] for r in rows} == {"cats chase mice", "ships cross oceans"} or {
         r["topic"] for r in rows} == {"cats chase mice often", "ships cross oceans"}
-    assert semantic_rows(relation_texts(triples), hashed, 0.7, 2, method).count() == 2
+    assert semantic_rows(relation_texts(triples), hashed, 0.7, 2).count() == 2
 
 
 def test_embed_with_a_callable(spark):
