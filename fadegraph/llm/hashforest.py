@@ -204,7 +204,9 @@ def _best_group(k: int):
 
 
 def _by_tree(rows: DataFrame, prefix: int, *columns: str) -> DataFrame:
-    return rows.select(*columns, F.posexplode("keys").alias("tree", "key")).withColumn(
+    """Strings by tree and bucket; vectors of each width have trees of their own."""
+    spread = rows.select(*columns, F.size("vec").alias("_width"), F.posexplode("keys").alias("tree", "key"))
+    return spread.withColumn("tree", F.col("tree") + F.col("_width") * TREES).drop("_width").withColumn(
         "bucket", F.shiftright("key", BITS - prefix) if prefix else F.lit(0).cast("long"))
 
 
