@@ -10,12 +10,16 @@ first ``n - ceil(t * n) + 1`` ones, their prefixes.
    count-min sketch discards most of the others before anything is shuffled).
 3. Each leader is compared with the first one of its bucket of about its size,
    each class with its leader; what links makes components.  A hot bucket of
-   near copies is thereby linked in as many comparisons as it has rows.
-4. Pairs of a bucket that are still in different components are filtered by
-   size, place and prefix overlap, expanded to the members of both groups and
-   verified.  Pairs within a component would not change it.
-
-Every verification intersects the two whole sets.
+   near copies is thereby mostly linked in as many comparisons as it has rows.
+4. Pairs of a bucket that are still in different components are filtered within
+   their task by size, place and parities (see below) and verified: first only
+   so many as would join the components of a bucket, then all that are left.
+   There groups are expanded: all members have the places of their leader.
+   Pairs within a component would not change it.
+
+Parities of the members in each part of a set bound how far two sets differ
+from below, so no link is lost to them.  Every verification intersects the two
+whole sets.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.llm.shared import (
-    Texts, binaries, id_or_last, id_or_null, mix, runs_hashes, signed, span_hashes, texts_of, write_out)
+    Texts, binaries, id_or_last, id_or_null, mix, runs_hashes, signed, span_hashes, texts_of, tidy, write_out)
 from fadegraph.llm.sketch import repeated_keys
 from fadegraph.operators.components import connected_components
 from fadegraph.session import broadcast_if_small
@@ -39,6 +43,10 @@ _LOWER[65:91] += 32
 _CELLS = 1 << 20
 _PIECE = 1 << 16
 _TOKEN_BITS = np.uint64(48)
+PARITY_BITS = 1_024
+LONG_PARITY_BITS = 16_384
+# Rows of a bucket that are compared with one another in one group.
+BLOCK_ROWS = 1_024
 # Rows of a few numbers that may be broadcast, once counted.
 MAX_BROADCAST = 500_000
 
@@ -102,9 +110,9 @@ def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_counts(texts: DataFrame, k: int) -> np.ndarray:
     """How often the shingles of each cell occur, over all texts."""
-    parts = texts.select("text").mapInArrow(_count_task(k), "piece int, counts binary")
+    parts = texts.select("text").mapInArrow(tidy(_count_task(k)), "piece int, counts binary")
     merged = parts.repartition(_CELLS // _PIECE, "piece").sortWithinPartitions("piece").mapInArrow(
-        _add_pieces, "piece int, counts binary")
+        tidy(_add_pieces), "piece int, counts binary")
     counts = np.zeros(_CELLS, dtype=np.int64)
     for row in merged.collect():  # _CELLS numbers
         counts[row["piece"] * _PIECE:][:_PIECE] = np.frombuffer(row["counts"], dtype=np.int64)
@@ -142,8 +150,28 @@ def _digests(owner: np.ndarray, shingle: np.ndarray, n: int) -> tuple[np.ndarray
     return out[0], out[1]
 
 
+def _parities(owner: np.ndarray, shingle: np.ndarray, n: int, bits: int = PARITY_BITS) -> list[bytes]:
+    """For each set, whether it has an odd number of members in each of ``bits`` parts.
+
+    The bits in which two sets differ are never more than the members in which they do.
+    """
+    part = (mix(shingle ^ np.uint64(0x1D8E4E27C47D124F)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(owner * bits + part, minlength=n * bits).astype(np.uint8).reshape(n, bits) & 1
+    return [row.tobytes() for row in np.packbits(odd, axis=1)]
+
+
+def _long_parities(owner: np.ndarray, shingle: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parities in more parts for the sets of more than ``PARITY_BITS`` members, nothing for the others."""
+    out = [b""] * len(sizes)
+    edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    for i in np.flatnonzero(sizes > PARITY_BITS).tolist():
+        part = shingle[edges[i]:edges[i + 1]]
+        out[i] = _parities(np.zeros(len(part), dtype=np.int64), part, 1, LONG_PARITY_BITS)[0]
+    return out
+
+
 def _sign_task(k: int, percent: int, order):
-    """One row for each text: size and digest of its set, and its prefix."""
+    """One row for each text: size, digest and parities of its set, and its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.searchsorted(np.array([2**i for i in range(63)]), order.value, side="right").astype(np.uint64)
@@ -161,8 +189,9 @@ def _sign_task(k: int, percent: int, order):
                 lengths = np.where(sizes > 0, _prefix_size(sizes, percent), 0)
                 prefixes = [_pack48(np.ascontiguousarray(tokens[a:a + p])) for a, p in zip(firsts.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[texts.rows]), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), binaries(prefixes)],
-                    ["did", "n", "d1", "d2", "prefix"])
+                    [pa.array(ids[texts.rows]), pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), binaries(prefixes),
+                     binaries(_parities(owner, shingle, m)), binaries(_long_parities(owner, shingle, sizes))],
+                    ["did", "n", "d1", "d2", "prefix", "parity", "long_parity"])
 
     return run
 
@@ -213,18 +242,100 @@ def _overlap_needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     return -(-(na + nb) * percent // (100 + percent))
 
 
-def _prefix_task(percent: int):
-    """Pairs whose prefixes share enough for the whole sets to be similar."""
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _words(parities: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(parities.to_pylist()), dtype=np.uint64).reshape(len(parities), PARITY_BITS // 64)
+
+
+def _parity_task(percent: int):
+    """Pairs whose parities allow the overlap that the similarity needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for row in batch.select(["pa", "pb", "na", "nb"]).to_pylist():
-                a, b = _unpack48(row["pa"]), _unpack48(row["pb"])
-                common = len(np.intersect1d(a, b))
-                rest = max(row["na"] - len(a), row["nb"] - len(b))
-                keep.append(common + rest >= _overlap_needed(row["na"], row["nb"], percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            spare = na + nb - 2 * _overlap_needed(na, nb, percent)
+            keep = _differing(_words(batch.column("pa")), _words(batch.column("pb"))) <= spare
+            a, b = batch.column("la"), batch.column("lb")
+            for i in np.flatnonzero(keep & (na > PARITY_BITS) & (nb > PARITY_BITS)).tolist():
+                keep[i] = _differing(np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)) <= spare[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def _merging(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of components, in order, join two that those before have not joined."""
+    parent: dict[int, int] = {}
+    keep = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        while parent.get(y, y) != y:
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
+
+
+def _meet_task(percent: int, spanning: bool):
+    """Candidate pairs of each block pair of a bucket that lie in different components.
+
+    Rows come ordered by block pair, so one is held at a time.  With
+    ``spanning`` only so many pairs are given as would join the components.
+    """
+
+    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = rows["i"][0], rows["j"][0]
+        left, right = np.flatnonzero(rows["side"] == i), np.flatnonzero(rows["side"] == j)
+        none = np.zeros(0, dtype=np.int64)
+        found_a, found_b = [none], [none]
+        n, place, comp, node, parity = rows["n"], rows["place"], rows["comp"], rows["node"], rows["parity"]
+        for at in range(0, len(left), 64):
+            x = left[at:at + 64]
+            na, nb = n[x][:, None], n[right][None, :]
+            pa_, pb = place[x][:, None], place[right][None, :]
+            need = _overlap_needed(na, nb, percent)
+            good = (comp[x][:, None] != comp[right][None, :]) & (node[x][:, None] != node[right][None, :])
+            if i == j:
+                good &= x[:, None] < right[None, :]
+            good &= np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need
+            good &= np.minimum(na, nb) >= need
+            r, c = np.nonzero(good)
+            if len(r):
+                near = _differing(parity[x[r]], parity[right[c]]) <= (na + nb - 2 * need)[r, c]
+                found_a.append(x[r[near]])
+                found_b.append(right[c[near]])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        if spanning and len(a):
+            keep = _merging(comp[a], comp[b])
+            a, b = a[keep], b[keep]
+        return node[a], node[b]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def settle() -> pa.RecordBatch:
+            a, b = pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in ("token", "i", "j", "side", "node", "n", "place", "comp")}
+            rows["parity"] = _words(batch.column("parity"))
+            cuts = np.flatnonzero((np.diff(rows["token"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            for at, to in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist()):
+                part = {c: v[at:to] for c, v in rows.items()}
+                if held and any(held[0][c][0] != part[c][0] for c in ("token", "i", "j")):
+                    yield settle()
+                    held = []
+                held.append(part)
+        if held:
+            yield settle()
 
     return run
 
@@ -255,23 +366,36 @@ class _Join:
     def similar_size(self, a: str, b: str) -> F.Column:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
-    def overlapping(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of nodes that the overlap of their prefixes does not rule out."""
-        signs = self.signs.select("node", "n", "prefix")
-        both = (pairs.join(signs.toDF("a", "na", "pa"), "a").join(signs.toDF("b", "nb", "pb"), "b"))
-        return both.mapInArrow(_prefix_task(self.percent), "a long, b long")
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of nodes that sizes and parities do not rule out."""
+        signs = self.signs.select("node", "n", "parity", "long_parity")
+        both = (pairs.join(signs.toDF("a", "na", "pa", "la"), "a").join(signs.toDF("b", "nb", "pb", "lb"), "b"))
+        return both.mapInArrow(tidy(_parity_task(self.percent)), "a long, b long")
+
+    def meeting(self, held: DataFrame, spanning: bool) -> DataFrame:
+        """Candidate pairs of bucket rows (token, node, n, place, comp) in different components.
+
+        The only pair of a bucket of two has been tried in the first round.
+        """
+        crowds = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        crowds = crowds.filter("low < high and size > 2").select("token", F.ceil(F.col("size") / BLOCK_ROWS).alias("blocks"))
+        rows = write_out(held.join(crowds, "token").withColumn("side", F.pmod(F.xxhash64("node"), "blocks")))
+        there = rows.join(self.signs.select("node", "parity"), "node")
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        dealt = there.withColumn("other", other).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+        return (dealt.select("token", "i", "j", "side", "node", "n", "place", "comp", "parity").repartition("token", "i", "j")
+                .sortWithinPartitions("token", "i", "j").mapInArrow(tidy(_meet_task(self.percent, spanning)), "a long, b long").distinct())
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes whose whole sets are similar."""
-        pairs = write_out(pairs)
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = write_out(self.signs.select("node", "did", "d1", "d2").join(broadcast_if_small(nodes, MAX_BROADCAST), "node"))
         dids = wanted.select("did").distinct()
         texts = self.rows.join(broadcast_if_small(dids, MAX_BROADCAST), "did", "left_semi").select("text")
-        sets = texts.mapInArrow(_set_task(self.k), "d1 long, d2 long, members binary")
+        sets = texts.mapInArrow(tidy(_set_task(self.k)), "d1 long, d2 long, members binary")
         sets = write_out(sets.join(broadcast_if_small(wanted.drop("did"), MAX_BROADCAST), ["d1", "d2"]).select("node", "members"))
         both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"))
-        return both.mapInArrow(_verify_task(self.percent), "a long, b long").distinct()
+        return both.mapInArrow(tidy(_verify_task(self.percent)), "a long, b long").distinct()
 
 
 def _named(links: DataFrame) -> DataFrame:
@@ -298,10 +422,11 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     order = spark.sparkContext.broadcast(_shingle_counts(rows, shingle_words))
     signed_rows = rows.withColumn("mark", F.xxhash64("text"))
     signs = write_out(
-        signed_rows.mapInArrow(_with_mark(_sign_task(shingle_words, percent, order)),
-                               "did long, n long, d1 long, d2 long, prefix binary, mark long")
+        signed_rows.mapInArrow(tidy(_with_mark(_sign_task(shingle_words, percent, order))),
+                               "did long, n long, d1 long, d2 long, prefix binary, parity binary, long_parity binary, mark long")
         .withColumn("node", F.monotonically_increasing_id())
         .withColumn("g1", F.xxhash64("prefix", "n")).withColumn("g2", F.xxhash64("n", "prefix")))
+    order.destroy()
     join = _Join(rows, signs, shingle_words, percent)
 
     # Equal sets, then identical prefixes: all but the first are set aside, narrow rows only.
@@ -313,59 +438,48 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     heads = full.join(broadcast_if_small(copies.select("node"), MAX_BROADCAST), "node", "left_anti")
     groups = heads.groupBy("g1", "g2", "n").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1")
     followers = write_out(heads.select("node", "g1", "g2", "n").join(groups, ["g1", "g2", "n"])
-                          .filter("node <> lead").select("node", "lead"))
+                          .filter("node <> lead").select("node", "lead", "n"))
     leaders = heads.join(broadcast_if_small(followers.select("node"), MAX_BROADCAST), "node", "left_anti")
 
-    n_tokens = leaders.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    n_tokens = signs.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     sketch = spark.sparkContext.broadcast(repeated_keys(leaders.select("prefix"), _prefix_keys, n_tokens / 6))
     postings = leaders.select("node", "n", "prefix").mapInArrow(
-        _posting_task(sketch), "token long, node long, n long, place long")
+        tidy(_posting_task(sketch)), "token long, node long, n long, place long")
     postings = postings.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100) / 2)))
     postings = write_out(postings)
+    sketch.destroy()
     shared = postings.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1").select("token")
     buckets = write_out(postings.join(shared, "token"))
 
-    # Round one: each with the first of its own and of the next lower band of sizes.
+    # Round one: each with the first of its own and of the lower bands of sizes that can be similar.
     firsts = buckets.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("first"))
-    seats = firsts.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"), "first")
+    seats = firsts.select("token", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)).alias("band"), "first")
     star = (buckets.join(seats, ["token", "band"]).filter(join.similar_size("n", "first.n"))
             .select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
             .filter("a <> b").distinct())
     prefixed = followers.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    links = write_out(join.linked(join.overlapping(star).union(prefixed)))
+    tried = write_out(join.near(star.union(prefixed)))
+    links = write_out(join.linked(tried))
     named = write_out(_named(links))
 
-    # Round two: what buckets still hold in different components.
     def with_component(nodes: DataFrame, node: str, out: str) -> DataFrame:
         return nodes.join(broadcast_if_small(named, MAX_BROADCAST).withColumnsRenamed({"node": node, "component": out}), node, "left"
                           ).withColumn(out, F.coalesce(out, node))
 
-    # A follower that is not in its leader's component takes the leader's places in the buckets by itself.
-    odd = write_out(with_component(followers, "node", "comp").join(
-        with_component(followers.select("lead").distinct(), "lead", "lead_comp"), "lead").filter("comp <> lead_comp"))
-    held = with_component(buckets, "node", "comp").select("token", "node", "n", "place", "comp")
-    own = held.select("token", F.col("node").alias("lead"), "n", "place").join(odd.select("node", "lead", "comp"), "lead")
-    held = write_out(held.unionByName(own.select("token", "node", "n", "place", "comp")))
-    mixed = held.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    open_ = held.join(mixed, "token")
-    left = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "comp")])
-    right = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "comp")])
-    reach = F.least("place_a", "place_b") + 1 + F.least(F.expr("n_a - place_a - 1"), F.expr("n_b - place_b - 1"))
-    pairs = (left.join(right, "token").filter("comp_a <> comp_b and node_a < node_b")
-             .filter(join.similar_size("n_a", "n_b"))
-             .filter(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-             .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    groups = followers.union(followers.select("lead", "lead")).distinct()  # a leader is a member too
-    near = join.overlapping(pairs)
-    within = odd.select(F.col("lead").alias("a"), F.col("lead").alias("b"))
-    members = groups.toDF("member", "lead")
-    wide = (near.union(within).distinct()
-            .join(members.toDF("ma", "a"), "a", "left").join(members.toDF("mb", "b"), "b", "left")
-            .select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b")).filter("a <> b"))
-    wide = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    wide = with_component(with_component(wide, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    later = join.linked(wide)
-    links = links.union(later)
+    # Groups are expanded: followers take the places of their leader, and each group is a bucket of its own.
+    seats = buckets.select("token", "node", "n", "place")
+    seats = seats.unionByName(seats.withColumnRenamed("node", "lead").join(
+        broadcast_if_small(followers.select("node", "lead"), MAX_BROADCAST), "lead").select("token", "node", "n", "place"))
+    seats = seats.unionByName(followers.union(followers.select("lead", "lead", "n").distinct()).select(
+        (-1 - F.col("lead")).alias("token"), "node", "n", F.lit(0).cast("long").alias("place")))
+    # Later rounds: what buckets still hold in different components; first as much as would join them, then all.
+    for spanning in (True, False):
+        wide = join.meeting(with_component(seats, "node", "comp"), spanning).join(
+            broadcast_if_small(tried, MAX_BROADCAST), ["a", "b"], "left_anti")
+        wide = write_out(join.near(wide))
+        links = write_out(links.union(join.linked(wide)))
+        tried = tried.union(wide)
+        named = write_out(_named(links))
 
     # A component takes the smallest id of all rows in it, copies included.
     named = write_out(_named(links))

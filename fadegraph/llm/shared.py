@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -30,6 +31,22 @@ def write_out(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(task):
+    """The task, which at its end gives memory that its allocators kept back to the machine.
+
+    Python workers are reused, and several share an executor's memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def id_or_last(column: str) -> F.Column:
     """A 64-bit id; a null id counts as the largest."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))

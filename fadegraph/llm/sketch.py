@@ -8,14 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fadegraph.llm.shared import binaries, mix
+from fadegraph.llm.shared import binaries, mix, tidy
 
 ROWS = 2
 # Cells in a row at most; the merged sketch takes ROWS * MAX_WIDTH bits.
 MAX_WIDTH = 1 << 28
 _CHUNK = 1 << 20
 _SALTS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
-_FLUSH = 4_000_000
+# Keys that a task sketches at a time.
+_FLUSH = 1_000_000
 
 Keys = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
@@ -108,10 +109,10 @@ def repeated_keys(rows: DataFrame, keys_of: Keys, n_keys: float) -> Repeated:
     About ``n_keys`` are expected; more only make it less sharp.
     """
     width = width_for(n_keys)
-    parts = rows.mapInArrow(_sketch_task(keys_of, width), "line int, chunk int, once binary, again binary")
+    parts = rows.mapInArrow(tidy(_sketch_task(keys_of, width)), "line int, chunk int, once binary, again binary")
     n = max(1, min(ROWS * width // _CHUNK, 512))
     merged = (parts.repartition(n, "line", "chunk").sortWithinPartitions("line", "chunk")
-              .mapInArrow(_merge, "line int, chunk int, bits binary"))
+              .mapInArrow(tidy(_merge), "line int, chunk int, bits binary"))
     lines = [np.zeros(width // 8, dtype=np.uint8) for _ in range(ROWS)]
     for row in merged.collect():  # at most ROWS * MAX_WIDTH bits
         bits = np.frombuffer(row["bits"], dtype=np.uint8)
