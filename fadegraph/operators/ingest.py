@@ -96,7 +96,7 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
     the last two are null at or below the similarity from which links are made,
     where nothing depends on them.
     """
-    points = vb.side(entries, F.col("entry_ord"), "topic_embedding", ord_=F.col("entry_ord"))
+    points = cut_lineage(vb.side(entries, F.col("entry_ord"), "topic_embedding", ord_=F.col("entry_ord")))
     stored = cut_lineage(
         nearest(points, vb.side(topics, "id", "topic_embedding"), 1, limits=limits)
         .select(F.col("l_id").alias("id"), F.col("r_id").alias("stored_id"), F.col("similarity").alias("stored_sim")))

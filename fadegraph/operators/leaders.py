@@ -39,7 +39,8 @@ def _lead_in_order(rows: DataFrame, threshold: float) -> DataFrame:
             start += len(tile)
         yield from table.filter(pa.array(leads)).to_batches()
 
-    return rows.coalesce(1).mapInArrow(run, rows.schema)
+    # An exchange of the few rows: without one, the task would read all that they are filtered from.
+    return rows.repartition(1).mapInArrow(run, rows.schema)
 
 
 def _lead_in_rounds(rows: DataFrame, threshold: float, limits: SimilarityLimits) -> DataFrame:

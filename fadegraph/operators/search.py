@@ -15,6 +15,9 @@ from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.similarity import nearest
 from fadegraph.session import broadcast_if_small, cut_lineage
 
+# Instances of a topic that one task ranks.
+INSTANCE_BLOCK = 10_000
+
 
 def nearest_topics(queries: DataFrame, topics: DataFrame, k: int = ENTRY_POINTS,
                    limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
@@ -93,22 +96,33 @@ def top_topics(scored: DataFrame, top_k: int) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
-def top_instances(chosen: DataFrame, queries: DataFrame, instances: DataFrame, n: int = TOP_INSTANCES) -> DataFrame:
-    """The n best instances per chosen (query_id, topic_id): adds instance columns and ``instance_rank``."""
-    pairs = chosen.join(_normed(queries), "query_id")
-    joined = pairs.join(
-        instances.select(F.col("id").alias("instance_id"), "topic_id", "content", "content_embedding",
-                         "relevance_score", "importance", norm(F.col("content_embedding")).alias("content_norm")),
-        "topic_id")
-    ranked = joined.withColumn("instance_score", instance_rank(
-        cosine_of_normed(F.col("query_embedding"), F.col("content_embedding"), F.col("query_norm"),
-                         F.col("content_norm")),
-        F.col("relevance_score"), F.col("importance")))
+def top_instances(chosen: DataFrame, queries: DataFrame, instances: DataFrame, n: int = TOP_INSTANCES,
+                  block_rows: int = INSTANCE_BLOCK) -> DataFrame:
+    """The n best instances per chosen (query_id, topic_id): adds instance columns and ``instance_rank``.
+
+    Instances of a topic are dealt to blocks of about ``block_rows``, so a
+    topic that holds most of them is many tasks; each block gives its n best
+    without texts, and only the final ones fetch theirs.
+    """
+    wanted = cut_lineage(chosen.select("topic_id").distinct())
+    held = instances.select(F.col("id").alias("instance_id"), "topic_id", "content_embedding", "relevance_score", "importance").join(
+        wanted, "topic_id", "left_semi")
+    blocks = cut_lineage(held.groupBy("topic_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_blocks")))
+    shape = broadcast_if_small(blocks)
+    dealt = held.join(shape, "topic_id").withColumn("_block", F.pmod(F.xxhash64("instance_id"), "_blocks")).drop("_blocks")
+    asked = chosen.select("query_id", "topic_id").distinct().join(_normed(queries), "query_id").join(shape, "topic_id").withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
+    scored = asked.join(dealt, ["topic_id", "_block"]).select(
+        "query_id", "topic_id", "_block", "instance_id", instance_rank(
+            cosine_of_normed(F.col("query_embedding"), F.col("content_embedding"), F.col("query_norm"), norm(F.col("content_embedding"))),
+            F.col("relevance_score"), F.col("importance")).alias("instance_score"))
     # A vector without length has no score; such rows come first, as NaN does
     # in a descending order that treats it as the greatest number.
-    order = Window.partitionBy("query_id", "topic_id").orderBy(
-        F.col("instance_score").desc_nulls_first(), "instance_id")
-    return (
-        ranked.withColumn("instance_rank", F.row_number().over(order)).filter(F.col("instance_rank") <= n)
-        .drop("query_embedding", "query_norm", "content_embedding", "content_norm", "relevance_score", "importance")
-    )
+    best = [F.col("instance_score").desc_nulls_first(), F.col("instance_id")]
+    within = F.row_number().over(Window.partitionBy("query_id", "topic_id", "_block").orderBy(*best))
+    ranked = scored.withColumn("_place", within).filter(F.col("_place") <= n).drop("_place", "_block")
+    place = F.row_number().over(Window.partitionBy("query_id", "topic_id").orderBy(*best))
+    winners = ranked.withColumn("instance_rank", place).filter(F.col("instance_rank") <= n)
+    texts = instances.select(F.col("id").alias("instance_id"), "content")
+    return chosen.join(winners, ["query_id", "topic_id"]).join(texts, "instance_id").select(
+        *chosen.columns, "instance_id", "content", "instance_score", "instance_rank")

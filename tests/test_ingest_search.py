@@ -243,3 +243,33 @@ def test_maintain(spark, rng):
     assert "t19" not in {r["id"] for r in after.topics.collect()}
     names = [r["topic_name"] for r in after.topics.collect()]
     assert any(n.startswith("[INFO] Automatically discovered: content number") for n in names)
+
+
+def test_hot_topic_is_many_blocks(spark, rng):
+    """A topic with most instances is ranked in blocks, to the same end."""
+    from fadegraph.operators.search import top_instances
+
+    vecs = rng.normal(size=(90, 4))
+    instances = spark.createDataFrame(
+        [(f"i{n:03d}", "hot" if n % 3 else f"t{n % 5}", f"text {n}", floats(v), float(n % 7) / 7, float(n % 4) / 4) for n, v in enumerate(vecs)],
+        "id string, topic_id string, content string, content_embedding array<float>, relevance_score double, importance double")
+    chosen = spark.createDataFrame([("q1", "hot", 1), ("q1", "t0", 2), ("q2", "hot", 1), ("q2", "gone", 2)],
+                                   "query_id string, topic_id string, rank int")
+    queries = spark.createDataFrame([("q1", floats(vecs[0])), ("q2", floats(vecs[1]))], "query_id string, query_embedding array<float>")
+    few = top_instances(chosen, queries, instances, 4, block_rows=5)
+    assert sorted(map(str, few.collect())) == sorted(map(str, top_instances(chosen, queries, instances, 4).collect()))
+    assert {r["topic_id"] for r in few.collect()} == {"hot", "t0"}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    # Texts are joined after the last ranking, which has an exchange of its own.
+    assert plan.index("content#") < plan.rindex("Window")
+    assert "_block" in plan
+
+
+def test_leaders_exchange_before_the_single_task(spark):
+    from fadegraph.operators import leaders
+    from fadegraph.operators import vector_blocks as vb
+
+    rows = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(5)], "n long, v array<float>")
+    points = vb.side(rows, F.col("n"), "v", ord_=F.col("n"))
+    plan = leaders._lead_in_order(points.filter(F.col("ord") <= 3), 0.9)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" in plan
