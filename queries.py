@@ -999,6 +999,16 @@ def _(t: Tables) -> DataFrame:
         "entry_ord", "inst_ord", F.coalesce("made", "topic_id").alias("home"), _six("relevance_score"), "importance")
 
 
+@_query("w3_created_topics", _INGEST + f"""
+select concat('entry_', cast(entry_ord as varchar)) as topic_name, 1.0 as strength, 0 as access_count, {_TS} as last_accessed,
+  {_TS} as created_at, 0.1 as decay_rate, 7.0 as half_life_days, '{{}}' as metadata from resolved where is_created""",
+        _INGEST_TABLES)
+def _(t: Tables) -> DataFrame:
+    before = t.topics.select("id")
+    return _import(t).snapshot.topics.join(before, "id", "left_anti").select(
+        "topic_name", "strength", "access_count", "last_accessed", "created_at", "decay_rate", "half_life_days", "metadata")
+
+
 @_query("w1_entry_report", _IMPORTED + """
 select e.entry_ord, e.topic, e.entry_ord in (select entry_ord from filled) as is_added,
   (select count(*) from added a where a.entry_ord = e.entry_ord) as n_added from ingest_entries e""",
@@ -1279,6 +1289,18 @@ def _(t: Tables) -> DataFrame:
     return tables.instance_vectors(t.instances).select("id", "content", F.size("content_embedding").alias("width"), "topic_id")
 
 
+@_query("w7_topic_map_lines", """
+select subject as topic, string_agg(concat(relation, ' ', object), '|' order by concat(relation, ' ', object)) as texts,
+  count(*) as n_texts from triples group by source_file, subject""", _TRIPLES)
+def _(t: Tables) -> DataFrame:
+    # Written one topic to a line, and read back.
+    place = f"{ensure_checkpoint_dir(t.spark)}/lines-{uuid.uuid4().hex}"
+    topic_map.write_topic_map(aggregate.convert(t.triples, "subject"), place)
+    rows = topic_map.topic_map_rows(topic_map.read_topic_map_lines(t.spark, place)[0])
+    return rows.groupBy("topic").agg(
+        F.array_join(F.array_sort(F.collect_list("instance")), "|").alias("texts"), F.count(F.lit(1)).alias("n_texts"))
+
+
 @_query("t4_stream_totals", """
 select topic_id, date_trunc('hour', ts) as hour, count(*) as n_accesses, max(ts) as last_access
 from access_log group by 1, 2""", "access_log")
