@@ -179,6 +179,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
     sketch = spark.sparkContext.broadcast(repeated_keys(lone.select("text"), _text_anchors(window), n_anchors))
     windows = write_out(lone.mapInArrow(
         _repeated_windows(window, sketch), "w1 long, w2 long, did long, mark long, mark2 long, place int"))
+    sketch.destroy()
     shared = windows.groupBy("w1", "w2").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low < high")
     hits = windows.join(shared.select("w1", "w2", "low"), ["w1", "w2"]).filter("did > low").select(
         "did", "mark", "mark2", "place")
