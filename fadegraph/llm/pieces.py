@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from fadegraph.llm.shared import id_or_last, id_or_null, span_hashes, texts_of
+from fadegraph.llm.shared import id_or_last, id_or_null, span_hashes, texts_of, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -34,9 +34,9 @@ _UNKNOWN_GAP = 10.0
 # Stretches of more bytes than this are encoded by themselves.
 LONG_STRETCH = 256
 # Stretches that are encoded together.
-TOGETHER = 8_192
-# Encoded stretches that a worker keeps, about 50 MB.
-STORED_STRETCHES = 1_000_000
+TOGETHER = 4_096
+# Encoded stretches that a worker keeps, about 20 MB.
+STORED_STRETCHES = 400_000
 
 
 class Pieces:
@@ -365,7 +365,7 @@ def encode_texts(docs: DataFrame, model: Pieces, id_: str = "doc_id", text: str
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     fields += [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decodes", BooleanType())]
     fields += [StructField("ids", ArrayType(IntegerType()))] * with_ids
-    encoded = rows.mapInArrow(_encode_task(sent, with_ids), StructType(fields))
+    encoded = rows.mapInArrow(tidy(_encode_task(sent, with_ids)), StructType(fields))
     return encoded.withColumn("doc_id", id_or_null("doc_id")).withColumnsRenamed({f"__keep{i}": c for i, c in enumerate(keep)})
 
 

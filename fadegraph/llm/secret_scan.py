@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fadegraph.llm.shared import id_or_last, id_or_null
+from fadegraph.llm.shared import id_or_last, id_or_null, tidy
 
 # Patterns and least lengths of the base kinds, in the order in which ties are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -165,6 +165,6 @@ def find_secrets(docs: DataFrame, id_: str = "doc_id", text: str = "text", allow
         schema = schema.add(name, "long")
     for name in ["base_sha256", "spans"] + ["clean_text"] * (redact_with is not None):
         schema = schema.add(name, "string")
-    found = rows.mapInArrow(_scan(tuple(allowed), redact_with), schema)
+    found = rows.mapInArrow(tidy(_scan(tuple(allowed), redact_with)), schema)
     names = {f"__keep{i}": c for i, c in enumerate(keep)}
     return found.withColumn("doc_id", id_or_null("doc_id")).withColumnsRenamed(names)
