@@ -16,6 +16,8 @@ first ``n - ceil(t * n) + 1`` ones, their prefixes.
    so many as would join the components of a bucket, then all that are left.
    There groups are expanded: all members have the places of their leader.
    Pairs within a component would not change it.
+5. Where links are counted too, all pairs of class representatives of each
+   component, which hold every link, are compared in blocks, each pair once.
 
 Parities of the members in each part of a set bound how far two sets differ
 from below, so no link is lost to them.  Every verification intersects the two
@@ -47,6 +49,9 @@ PARITY_BITS = 1_024
 LONG_PARITY_BITS = 16_384
 # Rows of a bucket that are compared with one another in one group.
 BLOCK_ROWS = 1_024
+# Sets of a component, and members of theirs, that are compared with one another in one group where links are counted.
+LINK_ROWS = 512
+LINK_MEMBERS = 1 << 21
 # Rows of a few numbers that may be broadcast, once counted.
 MAX_BROADCAST = 500_000
 
@@ -357,6 +362,66 @@ def _verify_task(percent: int):
     return run
 
 
+def _count_links_task(percent: int):
+    """Links of the sets of each block pair of a component, weighted by the rows that the other set stands for.
+
+    Rows come ordered by block pair, so one is held at a time.  Every pair is
+    met in one block pair and decided by its two whole sets.
+    """
+
+    def counts(rows: dict[str, np.ndarray], members: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, j = rows["i"][0], rows["j"][0]
+        node, weight = rows["node"], rows["weight"]
+        first = np.unique(node, return_index=True)[1]  # a text that is there twice gives its set twice
+        left, right = first[rows["side"][first] == i], first[rows["side"][first] == j]
+        found = np.zeros(len(node), dtype=np.int64)
+        if len(left) and len(right):
+            sizes = np.array([len(m) for m in members], dtype=np.int64)
+            known, code = np.unique(np.concatenate([members[y] for y in right.tolist()]), return_inverse=True)
+            code = code.astype(np.int32)
+            starts = np.cumsum(sizes[right]) - sizes[right]
+            for at, x in enumerate(left.tolist()):
+                skip = at + 1 if i == j else 0
+                if skip >= len(right):
+                    continue
+                spots = np.minimum(np.searchsorted(known, members[x]), len(known) - 1)
+                held = np.zeros(len(known), dtype=bool)
+                held[spots[known[spots] == members[x]]] = True
+                common = np.add.reduceat(held[code[starts[skip]:]], starts[skip:] - starts[skip], dtype=np.int64)
+                others = right[skip:]
+                others = others[(100 * common >= percent * (sizes[x] + sizes[others] - common)) & (common > 0)]
+                found[x] += weight[others].sum()
+                found[others] += weight[x]
+        return node[first], found[first]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("component", "i", "j", "side", "node", "weight")
+        held: list[dict[str, np.ndarray]] = []
+        sets: list[np.ndarray] = []
+
+        def settle() -> pa.RecordBatch:
+            nodes, links = counts({c: np.concatenate([h[c] for h in held]) for c in names}, sets)
+            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links)], ["node", "links"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in names}
+            members = batch.column("members")
+            cuts = np.flatnonzero((np.diff(rows["component"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            for at, to in zip(np.r_[0, cuts].tolist(), np.r_[cuts, batch.num_rows].tolist()):
+                part = {c: v[at:to] for c, v in rows.items()}
+                if held and any(held[0][c][0] != part[c][0] for c in ("component", "i", "j")):
+                    yield settle()
+                    held, sets = [], []
+                held.append(part)
+                sets += [np.frombuffer(members[x].as_buffer(), np.uint64) for x in range(at, to)]
+        if held:
+            yield settle()
+
+    return run
+
+
 class _Join:
     """The tables of one join; ``signs`` has a row for each text."""
 
@@ -386,17 +451,40 @@ class _Join:
         return (dealt.select("token", "i", "j", "side", "node", "n", "place", "comp", "parity").repartition("token", "i", "j")
                 .sortWithinPartitions("token", "i", "j").mapInArrow(tidy(_meet_task(self.percent, spanning)), "a long, b long").distinct())
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """The rows (did, d1, d2, ...) of ``wanted`` with the members of their sets, one for each text that has the set."""
+        dids = wanted.select("did").distinct()
+        texts = self.rows.join(broadcast_if_small(dids, MAX_BROADCAST), "did", "left_semi").select("text")
+        sets = texts.mapInArrow(tidy(_set_task(self.k)), "d1 long, d2 long, members binary")
+        return sets.join(broadcast_if_small(wanted.drop("did"), MAX_BROADCAST), ["d1", "d2"])
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of nodes whose whole sets are similar."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         wanted = write_out(self.signs.select("node", "did", "d1", "d2").join(broadcast_if_small(nodes, MAX_BROADCAST), "node"))
-        dids = wanted.select("did").distinct()
-        texts = self.rows.join(broadcast_if_small(dids, MAX_BROADCAST), "did", "left_semi").select("text")
-        sets = texts.mapInArrow(tidy(_set_task(self.k)), "d1 long, d2 long, members binary")
-        sets = write_out(sets.join(broadcast_if_small(wanted.drop("did"), MAX_BROADCAST), ["d1", "d2"]).select("node", "members"))
+        sets = write_out(self.sets(wanted).select("node", "members"))
         both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b"))
         return both.mapInArrow(tidy(_verify_task(self.percent)), "a long, b long").distinct()
 
+    def link_counts(self, named: DataFrame, weights: DataFrame) -> DataFrame:
+        """Rows that each node (node, component) is linked with but its own copies: (node, links).
+
+        ``weights`` says of how many rows a node (node, weight) is one, if of more than itself.
+        Links do not leave a component, so all its pairs are compared.
+        """
+        nodes = self.signs.select("node", "did", "d1", "d2", "n").join(broadcast_if_small(named, MAX_BROADCAST), "node")
+        nodes = nodes.join(broadcast_if_small(weights, MAX_BROADCAST), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        nodes = write_out(nodes)
+        crowds = nodes.groupBy("component").agg(F.ceil(F.greatest(
+            F.count("*") / LINK_ROWS, F.sum("n") / LINK_MEMBERS)).alias("blocks"))
+        wanted = write_out(nodes.join(broadcast_if_small(crowds, MAX_BROADCAST), "component").withColumn(
+            "side", F.pmod(F.xxhash64("node"), "blocks")).drop("n"))
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        dealt = self.sets(wanted).withColumn("other", other).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+        return (dealt.select("component", "i", "j", "side", "node", "weight", "members").repartition("component", "i", "j")
+                .sortWithinPartitions("component", "i", "j").mapInArrow(tidy(_count_links_task(self.percent)), "node long, links long")
+                .groupBy("node").agg(F.sum("links").alias("links")))
+
 
 def _named(links: DataFrame) -> DataFrame:
     """Component of each node of the links (a, b), numbered by one of its nodes."""
@@ -405,7 +493,7 @@ def _named(links: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle_words: int = 5,
-                      percent: int = 80) -> DataFrame:
+                      percent: int = 80, count_links: bool = False) -> DataFrame:
     """Component of each text under links of Jaccard similarity ``percent / 100`` or more.
 
     Returns ``doc_id, n_shingles, component_id, mark``, one row for each row of
@@ -415,6 +503,9 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     words than ``shingle_words`` has its whole sequence as one shingle; a null
     or blank text has none and is linked with nothing, so its own id is its
     component (null for a null id; with links, a null id counts as the largest).
+    With ``count_links`` a column ``n_links`` follows: the number of other rows,
+    copies included, that the text of a row is linked with; it takes the
+    comparison of all different sets of a component with one another.
     Other columns are dropped.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -489,9 +580,16 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     lows = placed.join(
         broadcast_if_small(copies.select(F.col("lead").alias("comp")).union(named.select("component")).distinct(), MAX_BROADCAST),
         "comp", "left_semi").groupBy("comp").agg(F.min("did").alias("low"))
-    return placed.join(lows, "comp", "left").select(
+    found = placed.join(lows, "comp", "left")
+    if count_links:
+        weights = write_out(copies.groupBy(F.col("lead").alias("node")).agg((F.count("*") + 1).alias("weight")))
+        counts = write_out(weights.join(join.link_counts(named, weights), "node", "full").select(
+            F.col("node").alias("head"), (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links")))
+        found = found.join(broadcast_if_small(counts, MAX_BROADCAST), "head", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return found.select(
         id_or_null("did").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("low", "did").alias("component_id"), "mark").withColumn("component_id", id_or_null("component_id"))
+        F.coalesce("low", "did").alias("component_id"), "mark", *["n_links"] * count_links).withColumn(
+        "component_id", id_or_null("component_id"))
 
 
 def _with_mark(task):

@@ -47,7 +47,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85).drop("mark")
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle_words=4, percent=85, count_links=True).drop("mark")
 
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
