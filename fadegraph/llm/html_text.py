@@ -5,8 +5,8 @@ to it.  Text length and punctuation are summed for each path and divided by its
 number of blocks; these ratios, taken in page order, are smoothed over
 neighbouring blocks, fused into one weight for each path, and paths that reach
 the spread of the weights hold the content.  The smallest element that holds
-nearly all of what they select is the article; other text of it, such as
-headings, belongs to it unless it is mostly links.  Elements that by their tag,
+all of what they select, or an article or main around that, is the article;
+other text of it, such as headings, belongs to it unless it is mostly links.  Elements that by their tag,
 class or id are menus, notices, adverts, forms or comments take no part.
 """
 
@@ -43,6 +43,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"},
           "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Parts of a text, which are no article by themselves.
+PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header hgroup "
+                             "section".split())
 PUNCTUATION = re.compile("[.,;:!?。，；：！？]")
 
 _TOKEN = re.compile(
@@ -54,7 +57,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 
 SMOOTHING = (0.25, 0.5, 0.25)
-ARTICLE_SHARE = 0.9
 MOSTLY_LINKS = 0.5
 
 
@@ -213,6 +215,22 @@ def path_weights(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], float
     return {path: w / sums[path][2] for path, w in weights.items()}
 
 
+def _article(chosen: list[tuple[tuple[str, ...], tuple[int, ...]]]) -> int | None:
+    """The smallest element around all chosen blocks (path, elements) that is no part of a text, or an article or main around it."""
+    path, elements = chosen[0]
+    depth = len(elements)
+    for _, others in chosen:
+        depth = min(depth, len(others))
+        while depth and elements[depth - 1] != others[depth - 1]:
+            depth -= 1
+    for tag in ("article", "main"):
+        if tag in path[:depth]:
+            return elements[path.index(tag)]
+    while depth and path[depth - 1] in PARTS:
+        depth -= 1
+    return elements[depth - 1] if depth else None
+
+
 def main_text(page: str | None) -> str:
     """Text of the article of a page; empty if there is none."""
     blocks = blocks_of(page or "")
@@ -224,19 +242,7 @@ def main_text(page: str | None) -> str:
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     threshold = min(max(values), max(spread, mean))
     chosen = {path for path, w in weights.items() if w >= threshold}
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    total = 0.0
-    for body, path, elements, _ in blocks:
-        if path in chosen:
-            total += len(body)
-            for d, element in enumerate(elements):
-                held[element] = held.get(element, 0.0) + len(body)
-                depth[element] = d
-    # A paragraph is no article, even if it is the only one.
-    names = {element: path[d] for _, path, elements, _ in blocks for d, element in enumerate(elements)}
-    around = [e for e, size in held.items() if size >= ARTICLE_SHARE * total and names[e] not in HEADINGS and names[e] != "p"]
-    article = max(around, key=lambda e: depth[e]) if around else None
+    article = _article([(path, elements) for _, path, elements, _ in blocks if path in chosen])
     taken = []
     for body, path, elements, linked in blocks:
         inside = article is None or article in elements
