@@ -5,8 +5,12 @@ to it.  Text length and punctuation are summed for each path and divided by its
 number of blocks; these ratios, taken in page order, are smoothed over
 neighbouring blocks, fused into one weight for each path, and paths that reach
 the spread of the weights hold the content.  The smallest element that holds
-all of what they select, or an article or main around that, is the article;
-other text of it, such as headings, belongs to it unless it is mostly links.  Elements that by their tag,
+all of what they select, or an article or main around that, is the article.
+Of blocks in it whose path is not selected, those that are mostly links do not
+belong to it; of the others, those do that stand next to selected ones in the
+same holder (short items, bylines), headings of what is given, and blocks whose
+own ratios come to most of the threshold.  A short notice or advert in a
+holder of its own is left out, whatever its class.  Elements that by their tag,
 class or id are menus, notices, adverts, forms or comments take no part.
 """
 
@@ -58,6 +62,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 
 SMOOTHING = (0.25, 0.5, 0.25)
 MOSTLY_LINKS = 0.5
+OWN_SHARE = 0.75
 
 
 class _Block:
@@ -193,6 +198,10 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], fl
     return out
 
 
+def _weight(length: float, points: float) -> float:
+    return math.log1p(length) * (1.0 + math.log1p(points))
+
+
 def path_weights(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], float]]) -> dict[tuple[str, ...], float]:
     """Fused weight of each tag path: smoothed ratios of text and of punctuation to its blocks."""
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -211,7 +220,7 @@ def path_weights(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], float
 
     weights: dict[tuple[str, ...], float] = {}
     for (_, path, _, _), length, point in zip(blocks, smooth(lengths), smooth(points)):
-        weights[path] = weights.get(path, 0.0) + math.log1p(length) * (1.0 + math.log1p(point))
+        weights[path] = weights.get(path, 0.0) + _weight(length, point)
     return {path: w / sums[path][2] for path, w in weights.items()}
 
 
@@ -243,12 +252,21 @@ def main_text(page: str | None) -> str:
     threshold = min(max(values), max(spread, mean))
     chosen = {path for path, w in weights.items() if w >= threshold}
     article = _article([(path, elements) for _, path, elements, _ in blocks if path in chosen])
+    around = {e for _, path, elements, _ in blocks if path in chosen for e in elements}
     taken = []
-    for body, path, elements, linked in blocks:
-        inside = article is None or article in elements
-        if inside and (path in chosen or linked < MOSTLY_LINKS):
+    follows = False  # whether the next block but headings is given
+    for body, path, elements, linked in reversed(blocks):
+        given = path in chosen
+        heading = not HEADINGS.isdisjoint(path)
+        if not given and linked < MOSTLY_LINKS and (article is None or article in elements):
+            holder = max((d for d, tag in enumerate(path) if tag not in PARTS), default=-1)
+            given = (holder < 0 or elements[holder] in around or _weight(len(body) * (1.0 - linked), len(PUNCTUATION.findall(body)))
+                     >= OWN_SHARE * threshold or (heading and (follows or "h1" in path)))
+        if given:
             taken.append(body)
-    return " ".join(taken)
+        if given or not heading:
+            follows = given
+    return " ".join(reversed(taken))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,3 +14,19 @@ def test_no_chosen_block_is_outside():
     assert html_text.main_text(page) == " ".join(["T", lead, *ITEMS, "The end."])
     page = f"<body><div><p>{lead}</p></div><div><p>{'</p><p>'.join(ITEMS)}</p></div></body>"
     assert html_text.main_text(page) == " ".join([lead, *ITEMS])
+
+
+def test_paths_decide():
+    texts = [f"A paragraph {i}, of some words; and more of them, so that it is long enough." for i in range(9)]
+    body = "".join(f"<p>{x}</p>" for x in texts)
+    want = " ".join(texts)
+    advert = "<div class='c7'>Buy now</div>"
+    for holder in ("article", "main", "body"):
+        end = "" if holder == "body" else f"</{holder}>"
+        start = "<body>" if holder == "body" else f"<body><{holder}>"
+        assert html_text.main_text(f"{start}{advert}{body}{advert}<div class='c8'><h3>Offer</h3><p>Only now.</p></div>{end}") == want
+    # Headings, short items and weighty blocks of other holders stay.
+    other = "A note in a box of its own, which is shorter, but a sentence or two. It stays."
+    page = (f"<article><header><h1>T</h1><span>By X</span></header>{body}<section><h2>More</h2><p>Short.</p><ul><li>one<li>two</ul></section>"
+            f"<div class='c9'>{other}</div></article>")
+    assert html_text.main_text(page) == f"T By X {want} More Short. one two {other}"
