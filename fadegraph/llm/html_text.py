@@ -11,7 +11,9 @@ belong to it; of the others, those do that stand next to selected ones in the
 same holder (short items, bylines), headings of what is given, and blocks whose
 own ratios come to most of the threshold.  A short notice or advert in a
 holder of its own is left out, whatever its class.  Elements that by their tag,
-class or id are menus, notices, adverts, forms or comments take no part.
+class or id are menus, notices, adverts, forms or comments take no part, unless
+the page's article is in them: a main, the only articles, or, where next to no
+text is outside and no article or main is marked, most of the text.
 """
 
 from __future__ import annotations
@@ -33,12 +35,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "span strike strong sub sup time tt u var wbr img".split())
 ASIDE = frozenset("head nav aside footer form button select option dialog menu fieldset input audio video canvas map".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|"
+_NAMES = (
+    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|cookie|cookies|"
     r"consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|sidebar|side|aside|comment|comments|commentlist|"
     r"disqus|reply|replies|respond|discussion|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|toolbar|"
     r"share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|"
-    r"footer|masthead|widget|widgets|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-]|\d)", re.IGNORECASE)
+    r"footer|masthead|widget|widgets|copyright|legal|disclaimer|skip|hidden)")
+# A whole class or id, or its first or last part; layouts say of a page that it has or is without something.
+ASIDE_NAMES = re.compile(
+    r"(?:^|\s)(?:" + _NAMES + r"(?![^\s_\d-])|(?!(?:has|have|no|with|without|is|not|layout|page|content)[_-])[^\s]*[_-]" + _NAMES
+    + r"\d*(?!\S))", re.IGNORECASE)
+# Tags that are set aside, but may hold a page's article.
+WRAPPERS = frozenset("aside form fieldset header".split())
 # An element with its own text is never set aside by its name alone.
 KEPT_TAGS = frozenset("html body article main".split())
 # Tags that end an open one of the kinds named.
@@ -63,38 +71,64 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*
 SMOOTHING = (0.25, 0.5, 0.25)
 MOSTLY_LINKS = 0.5
 OWN_SHARE = 0.75
+LITTLE = 0.1
 
 
 class _Block:
-    __slots__ = ("parts", "path", "elements", "linked")
+    __slots__ = ("parts", "path", "elements", "linked", "aside")
 
-    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...]):
-        self.parts, self.path, self.elements, self.linked = [], path, elements, 0
+    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], aside: frozenset[int]):
+        self.parts, self.path, self.elements, self.linked, self.aside = [], path, elements, 0, aside
 
 
-def _set_aside(tag: str, attributes: str) -> bool:
+def _set_aside(tag: str, attributes: str) -> str:
+    """Whether an element takes no part: ``always``, ``wrapper`` (unless the page's article is in it), or empty."""
+    found = ""
     if tag in ASIDE:
-        return True
+        if tag not in WRAPPERS:
+            return "always"
+        found = "wrapper"
     if not attributes or tag in KEPT_TAGS:
-        return False
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if name in ("class", "id") and ASIDE_NAMES.search(value):
-            return True
+            found = "wrapper"
         if name == "role" and value.lower() in ASIDE_ROLES:
-            return True
+            found = "wrapper"
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "always"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return "always"
+    return found
+
+
+def _left_out(found: list[_Block], mains: list[tuple[str, frozenset[int]]]) -> frozenset[int]:
+    """Set-aside elements that stay so; ``mains`` are the articles and mains, and the set-aside elements around each."""
+    asides = frozenset().union(*[b.aside for b in found])
+    if not asides:
+        return asides
+    clear = {a for tag, around in mains if tag == "main" for a in around}
+    if all(around - clear for _, around in mains):  # no article is outside
+        clear.update(a for _, around in mains for a in around)
+        if not mains:
+            sizes: dict[int, int] = {}
+            for b in found:
+                size = len("".join(b.parts))
+                for a in (0, *b.aside):
+                    sizes[a] = sizes.get(a, 0) + size
+            if sum(len("".join(b.parts)) for b in found if not b.aside) < LITTLE * sizes[0]:
+                clear.update(a for a in asides if 2 * sizes[a] > sizes[0])
+    return asides - clear
 
 
 def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], float]]:
     """Blocks in page order: text, tag path, ids of the elements around it, share of linked text."""
     tags: list[str] = []
     ids: list[int] = []
-    aside_from = -1  # depth of the outermost element that takes no part
+    aside_from = -1  # depth of the outermost element that takes no part in any case
+    wrappers: list[tuple[int, int]] = []  # depth and id of those that may hold the article
+    mains: list[tuple[str, frozenset[int]]] = []
     link_depth = -1
     found: list[_Block] = []
     block: _Block | None = None
@@ -108,7 +142,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], fl
         if block is None:
             if not piece.strip():
                 return
-            block = _Block(tuple(tags), tuple(ids))
+            block = _Block(tuple(tags), tuple(ids), frozenset(i for _, i in wrappers))
             found.append(block)
         block.parts.append(piece)
         if link_depth >= 0:
@@ -119,6 +153,8 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], fl
         del tags[depth:], ids[depth:]
         if aside_from >= depth:
             aside_from = -1
+        while wrappers and wrappers[-1][0] >= depth:
+            wrappers.pop()
         if link_depth > depth:
             link_depth = -1
         block = None
@@ -182,16 +218,23 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], fl
             continue
         attributes = m.group(4) or m.group(7) or ""
         # A header is the page's unless it heads an article.
-        aside = _set_aside(tag, attributes) or (tag == "header" and not ({"article", "main"} & set(tags)))
-        if aside and aside_from < 0:
+        aside = _set_aside(tag, attributes) or ("wrapper" if tag == "header" and not ({"article", "main"} & set(tags)) else "")
+        count += 1
+        if aside == "always" and aside_from < 0:
             aside_from = len(tags)
+        elif aside == "wrapper":
+            wrappers.append((len(tags), count))
+        elif tag in ("article", "main") and aside_from < 0:
+            mains.append((tag, frozenset(i for _, i in wrappers)))
         tags.append(tag)
-        count += 1
         ids.append(count)
     if at < len(page):
         text(page[at:])
     out = []
+    left_out = _left_out(found, mains)
     for b in found:
+        if b.aside & left_out:
+            continue
         body = " ".join(html.unescape("".join(b.parts)).split())
         if body:
             out.append((body, b.path, b.elements, min(1.0, b.linked / len(body))))

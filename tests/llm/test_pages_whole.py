@@ -30,3 +30,23 @@ def test_paths_decide():
     page = (f"<article><header><h1>T</h1><span>By X</span></header>{body}<section><h2>More</h2><p>Short.</p><ul><li>one<li>two</ul></section>"
             f"<div class='c9'>{other}</div></article>")
     assert html_text.main_text(page) == f"T By X {want} More Short. one two {other}"
+
+
+def test_wrappers_around_the_article():
+    body = "".join(f"<p>{x}</p>" for x in ITEMS)
+    want = " ".join(ITEMS)
+    for name in ("page has-sidebar", "layout no-sidebar", "post-content widget", "comments-open"):
+        assert html_text.main_text(f"<body><div class='{name}'><article>{body}</article></div></body>") == want
+    for name in ("page has-sidebar", "layout no-sidebar", "comments-open"):
+        assert html_text.main_text(f"<body><div class='{name}'><div>{body}</div></div></body>") == want
+    assert html_text.main_text(f"<body><form id=f>{body}<input name=a></form></body>") == want
+    assert html_text.main_text(f"<body><form id=f><div class=ad>Buy, now.</div><main>{body}</main></form></body>") == want
+    # What is no wrapper of the article stays aside.
+    comment = "<ol class='comment-list'><li><article><p>I, a reader, object. Strongly, even.</p></article></ol>"
+    for name in ("ad", "site-footer", "cookie-notice", "left_sidebar", "sidebar-2", "widget3", "x related"):
+        rest = f"<div class='{name}'><p>See also: this, that, and much more, of all that there is.</p></div>"
+        assert html_text.main_text(f"<body>{rest}<article>{body}</article>{comment}{rest}</body>") == want
+        assert html_text.main_text(f"<body>{rest}<div>{body}</div>{rest}</body>") == want
+    assert html_text.main_text(f"<body><div hidden><p>{want}</p></div><p>Shown.</p></body>") == "Shown."
+    consent = f"<div class='cookie'>{want}</div>"
+    assert html_text.main_text(f"<body>{consent}<p>{ITEMS[0] * 9}</p></body>") == ITEMS[0] * 9
