@@ -60,12 +60,22 @@ PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption thead tbody tfoo
                              "section".split())
 PUNCTUATION = re.compile("[.,;:!?。，；：！？]")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+
+def _tokens(closable: tuple[str, ...]) -> re.Pattern:
+    """Tags, comments and raw elements; those of ``closable`` may end in their own tag, ``<svg/>``."""
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        r"|<(?:" + "|".join(closable) + r")(?:/|\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?/)>"
+        r"|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+        r"|<[!?][^>]*(?:>|\Z)"
+        r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+        r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
+
+
+_TOKEN, _XHTML_TOKEN = _tokens(("svg", "math")), _tokens(RAW)
+# What a page of XHTML says before its text.
+_XHTML = re.compile(r"\s*(?:<\?xml\b|(?:<!--.*?-->|<!doctype\b[^>]*>|\s)*<html\b[^>]*\bxmlns\s*=\s*[\"']http://www\.w3\.org/1999/xhtml)"
+                    r"|\s*<!doctype\b[^>]*\bxhtml\b", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 
 SMOOTHING = (0.25, 0.5, 0.25)
@@ -160,7 +170,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], fl
         block = None
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    for m in (_XHTML_TOKEN if _XHTML.match(page) else _TOKEN).finditer(page):
         if m.start() > at:
             text(page[at:m.start()])
         at = m.end()

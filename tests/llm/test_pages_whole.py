@@ -50,3 +50,15 @@ def test_wrappers_around_the_article():
     assert html_text.main_text(f"<body><div hidden><p>{want}</p></div><p>Shown.</p></body>") == "Shown."
     consent = f"<div class='cookie'>{want}</div>"
     assert html_text.main_text(f"<body>{consent}<p>{ITEMS[0] * 9}</p></body>") == ITEMS[0] * 9
+
+
+def test_raw_elements_that_close_themselves():
+    for icon in ("<svg class='i'/>", "<svg/>", "<svg data-x='a>b' />", "<math />", "<svg class='i'><path d='M0'/><text>no</text></svg>"):
+        assert html_text.main_text(f"<article>{icon}<p>one</p><p>two</p></article>") == "one two"
+        assert html_text.main_text(f"<article>{icon}<p>one</p><p>two</p><svg>no</svg></article>") == "one two"
+    page = "<head><script src='a'/><title/></head><body><article><p>one</p><iframe src='b' /><p>two</p></article><script>no</script></body></html>"
+    for start in ("<?xml version='1.0'?><html>", '<html xmlns="http://www.w3.org/1999/xhtml">', "<!DOCTYPE html><html lang='en' xmlns='http://www.w3.org/1999/xhtml'>",
+                  '<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "http://www.w3.org/TR/xhtml1/DTD/xhtml1-strict.dtd"><html>'):
+        assert html_text.main_text(start + page) == "one two"
+    # HTML does not know this of a script.
+    assert html_text.main_text("<article><p>one</p><script src='a'/>no</script><p>two</p></article>") == "one two"
