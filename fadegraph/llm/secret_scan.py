@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-Candidates are runs of the characters that keys are written in.  Each
-character belongs to a class (digits, hexadecimal letters, other lower case,
-upper case, signs); over each window of ``WINDOW`` characters the counts of
-characters are moved along by one in and one out, and with them the sum that
-gives the Shannon entropy.  A candidate in which a window is more random than
+Candidates are runs of the characters that keys are written in.  Each run
+belongs to a class with a threshold of its own (hexadecimal, letters of both
+cases without a digit, others with digits and letters); over each window of
+``WINDOW`` characters the counts of characters are moved along by one in and
+one out, and with them the sum that gives the Shannon entropy.  A candidate in which a window is more random than
 text of its alphabet can be is a secret, unless the allow list names it: words,
 paths, numbers, identifiers of one case, and whatever patterns the caller adds.
 """
@@ -34,7 +34,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 # Bits a character: a window of 20 characters of which few repeat.  Random hexadecimal windows
 # lie at 3.3 bits on average, random base-64 ones at 4.1, and words of one case rarely above 3.4.
-LEAST_BITS = {"hex": 3.0, "mixed": 3.6}
+LEAST_BITS = {"hex": 3.0, "mixed": 3.6, "letters": 3.7}
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 # Only these runs can hold a hexadecimal match; equal to HEX and its least length.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
@@ -75,12 +75,12 @@ def highest_entropy(run: str, window: int = WINDOW) -> float:
 
 
 def alphabet(run: str) -> str:
-    """Class of a run by the characters it is made of: ``hex``, ``mixed``, or ``plain`` if it cannot be a key."""
+    """Class of a run by the characters it is made of: ``hex``, ``mixed``, ``letters``, or ``plain`` if it cannot be a key."""
+    lower, upper = any("a" <= c <= "z" for c in run), any("A" <= c <= "Z" for c in run)
     if not any(c.isdigit() for c in run):
-        return "plain"
+        return "letters" if lower and upper else "plain"
     if all(c in "0123456789abcdef" for c in run) or all(c in "0123456789ABCDEF" for c in run):
         return "hex"
-    lower, upper = any("a" <= c <= "z" for c in run), any("A" <= c <= "Z" for c in run)
     return "mixed" if lower or upper else "plain"
 
 
