@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadegraph.llm import jaccard, mixing, pieces, ranking, secret_scan
-from fadegraph.llm.shared import write_out
+from fadegraph.llm.shared import id_or_last, write_out
 from fadegraph.session import broadcast_if_small
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -32,15 +32,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates.
+    """One document, that of the smallest id and then mark, of each group of near duplicates.
 
-    Rows repeated with the same id and text are one document.
+    A null id counts as the largest.  Rows repeated with the same id and text are one document.
     """
-    found = jaccard.similar_documents(docs, shingle_words=NEAR_WORDS, percent=NEAR_PERCENT).select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("goes"))
-    found = write_out(found)
+    found = write_out(jaccard.similar_documents(docs, shingle_words=NEAR_WORDS, percent=NEAR_PERCENT, number=True).select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "component"))
+    place = F.struct(id_or_last("__id").alias("id"), F.col("__mark").alias("mark"))
+    groups = write_out(found.groupBy("component").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
-    gone = found.filter("goes").select("__id", "__mark").distinct()
+    gone = found.join(broadcast_if_small(groups.select("component", "first"), MAX_BROADCAST), "component").filter(
+        place != F.col("first")).select("__id", "__mark").distinct()
     left = docs.join(broadcast_if_small(gone, MAX_BROADCAST), same, "left_anti")
     repeated = write_out(found.groupBy("__id", "__mark").agg(F.count("*").alias("n")).filter("n > 1").select("__id", "__mark"))
     if repeated.isEmpty():

@@ -493,7 +493,7 @@ def _named(links: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text", shingle_words: int = 5,
-                      percent: int = 80, count_links: bool = False) -> DataFrame:
+                      percent: int = 80, count_links: bool = False, number: bool = False) -> DataFrame:
     """Component of each text under links of Jaccard similarity ``percent / 100`` or more.
 
     Returns ``doc_id, n_shingles, component_id, mark``, one row for each row of
@@ -506,6 +506,8 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     With ``count_links`` a column ``n_links`` follows: the number of other rows,
     copies included, that the text of a row is linked with; it takes the
     comparison of all different sets of a component with one another.
+    With ``number`` a column ``component`` follows, a number for each component;
+    rows without ids, or of one id, may have one ``component_id`` in several.
     Other columns are dropped.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -588,7 +590,7 @@ def similar_documents(docs: DataFrame, id_: str = "doc_id", text: str = "text",
         found = found.join(broadcast_if_small(counts, MAX_BROADCAST), "head", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return found.select(
         id_or_null("did").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce("low", "did").alias("component_id"), "mark", *["n_links"] * count_links).withColumn(
+        F.coalesce("low", "did").alias("component_id"), "mark", *["n_links"] * count_links, *[F.col("comp").alias("component")] * number).withColumn(
         "component_id", id_or_null("component_id"))
 
 
