@@ -109,20 +109,6 @@ def write_graph(snapshot: Snapshot, path: str) -> None:
     export_stats(snapshot).write.mode("overwrite").json(f"{path}/stats")
 
 
-def graph_json(snapshot: Snapshot) -> DataFrame:
-    """The export as one row with one JSON object: {nodes, edges, stats}.
-
-    For graphs that fit one value; ``write_graph`` has no such bound.
-    """
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(F.array_sort(F.collect_list(F.struct("*"))).alias(name))
-
-    nodes = listed(export_nodes(snapshot.topics, snapshot.instances), "nodes")
-    edges = listed(export_edges(snapshot.edges), "edges")
-    stats = export_stats(snapshot).select(F.struct("*").alias("stats"))
-    return nodes.join(edges).join(stats).select(F.to_json(F.struct("nodes", "edges", "stats")).alias("graph"))
-
-
 def read_graph(spark: SparkSession, path: str, like: Snapshot) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and stats that ``write_graph`` wrote, with the types of an export of ``like``."""
     exports = {"nodes": export_nodes(like.topics, like.instances), "edges": export_edges(like.edges), "stats": export_stats(like)}
