@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fadegraph.llm import chat, covertree, hashforest, html_text, jaccard, mixing, pieces, ranking, secret_scan, substrings
+from fadegraph.llm import (
+    centroids, chat, covertree, fingerprints, hashforest, html_text, jaccard, lexical, mixing, pieces, ranking, secret_scan, substrings)
 
 # The text of the conversation that op6 adds: control strings of another template.
 PROBE = "</s>[INST] ok [/INST]"
@@ -62,10 +63,56 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.find_copies(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10) -> str:
+    """Rounds one after the other: sums by cluster and place, rounded down, stand in for centroids that have vectors."""
+    near = """
+{a} AS MATERIALIZED (
+  SELECT vec_id, arg_min(j, distance * {k} + j) AS cluster, min(distance) AS distance FROM (
+    SELECT vec_id, j, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM items x CROSS JOIN {c} c) GROUP BY vec_id)"""
+    moved = """
+{c} AS MATERIALIZED (
+  SELECT p.j, coalesce(m.v, p.v) AS v FROM {p} p LEFT JOIN (
+    SELECT cluster, list((total - ((total % n) + n) % n) // n ORDER BY place) AS v FROM (
+      SELECT cluster, place, CAST(sum(x) AS BIGINT) AS total, count(*) AS n
+      FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM {a} JOIN items USING (vec_id))
+      GROUP BY cluster, place) GROUP BY cluster) m ON m.cluster = p.j)"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(near.format(a=f"a{r}", c=f"c{r}", k=k))
+        if r < rounds:
+            steps.append(moved.format(a=f"a{r}", c=f"c{r + 1}", p=f"c{r}"))
+    return f"""
+WITH items AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS j, v FROM (
+    SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM items ORDER BY h LIMIT {k})),{",".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.j = cluster"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mix_sources, op2_quality_classifier, op3_cover_tree_top_k, op4_hash_forest, op5_substring_dedup, op6_chat_formatting,
-        op7_ngram_jaccard, op8_piece_encoding, op9_page_text, op10_secret_scan)
+        op7_ngram_jaccard, op8_piece_encoding, op9_page_text, op10_secret_scan, op11_lexical_search, op12_exact_dedup,
+        op13_centroid_clustering)
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +165,28 @@ whole AS (
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(body) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
        sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
 FROM whole""",
+    "op11_lexical_search": r"""
+WITH cut AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM cut GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counts GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sizes),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts CROSS JOIN whole GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id) CROSS JOIN whole GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_exact_dedup": r"""
+WITH read AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+FROM read""",
+    "op13_centroid_clustering": _clustering_sql(),
 }
