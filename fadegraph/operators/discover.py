@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from fadegraph.config import SimilarityLimits
 from fadegraph.functions.vectors import group_mean
 from fadegraph.operators.density import dbscan
+from fadegraph.operators.identity import fresh_ids
 from fadegraph.operators.updates import AsOf
-from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
+from fadegraph.schema import Snapshot, complete, typed_like
 from fadegraph.session import broadcast_if_small, cut_lineage
 
 # Fixed values.
@@ -28,18 +29,17 @@ def small_topic_instances(instances: DataFrame, below: int = SMALL_TOPIC) -> Dat
     return instances.join(small.select("topic_id"), "topic_id", "left_semi")
 
 
-def discovered_topics(members: DataFrame, as_of: AsOf = None) -> DataFrame:
+def discovered_topics(members: DataFrame, topics: DataFrame) -> DataFrame:
     """Topics of clustered instances (id, content, content_embedding, cluster).
 
     Named after the first member, placed at the mean: (id, topic_name,
-    topic_embedding, cluster, n_members).
+    topic_embedding, cluster, n_members).  No id is one of the stored ``topics``.
     """
     means = group_mean(members, ["cluster"], "content_embedding", "topic_embedding")
     heads = members.groupBy("cluster").agg(
         F.min_by("content", "id").alias("content"), F.count(F.lit(1)).alias("n_members"))
-    return heads.join(means, "cluster").select(
-        new_id("discovered", clock(as_of), F.col("cluster")).alias("id"),
-        F.concat(F.lit(_NAME_PREFIX), F.substring("content", 1, _NAME_LENGTH)).alias("topic_name"),
+    return fresh_ids(heads.join(means, "cluster"), "discovered", ["cluster"], topics.select("id")).select(
+        "id", F.concat(F.lit(_NAME_PREFIX), F.substring("content", 1, _NAME_LENGTH)).alias("topic_name"),
         "topic_embedding", "cluster", "n_members")
 
 
@@ -54,7 +54,7 @@ def discover_topics(snapshot: Snapshot, min_instances: int = 5, as_of: AsOf = No
         return snapshot
     found = dbscan(loose, "id", "content_embedding", DISCOVERY_EPS, min_instances, limits)
     members = cut_lineage(found.filter(F.col("cluster").isNotNull()).select("id", "cluster").join(loose, "id"))
-    topics = cut_lineage(discovered_topics(members, as_of))
+    topics = cut_lineage(discovered_topics(members, snapshot.topics))
     moves = broadcast_if_small(cut_lineage(members.select("id", "cluster").join(
         topics.select("cluster", F.col("id").alias("_new_topic")), "cluster").select(
         F.col("id").alias("_moved"), "_new_topic")))

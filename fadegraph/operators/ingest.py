@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from fadegraph.config import REUSE_SIMILARITY, SearchConfig, SimilarityLimits
 from fadegraph.functions.vectors import relevance
 from fadegraph.operators import vector_blocks as vb
+from fadegraph.operators.identity import fresh_ids, repeat_number
 from fadegraph.operators.leaders import HEAD_ROWS, choose_leaders
 from fadegraph.operators.similarity import nearest
 from fadegraph.operators.updates import AsOf
-from fadegraph.schema import Snapshot, clock, complete, new_id, typed_like
+from fadegraph.schema import Snapshot, clock, complete, typed_like
 from fadegraph.session import broadcast_if_small, cut_lineage
 
 
@@ -84,8 +85,7 @@ def upsert_edges(edges: DataFrame, incoming: DataFrame, as_of: AsOf = None) -> D
 
 
 def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig = SearchConfig(),
-                    as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits(),
-                    head_rows: int = HEAD_ROWS) -> DataFrame:
+                    limits: SimilarityLimits = SimilarityLimits(), head_rows: int = HEAD_ROWS) -> DataFrame:
     """Decide, in order, which entries reuse a topic and which create one.
 
     ``entries`` is (entry_ord, topic, topic_embedding).  An entry reuses the
@@ -108,9 +108,10 @@ def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig
     earlier = cut_lineage(nearest(points, leaders, 1, lowest, earlier=True, limits=limits).select(
         F.col("l_id").alias("id"), F.col("r_ord").alias("earlier_ord"), F.col("similarity").alias("earlier_sim")))
     directed = points.select("id", F.lit(True).alias("has_direction"))
-    own_id = new_id("topic", clock(as_of), F.col("entry_ord"), F.col("topic"))
+    named = fresh_ids(repeat_number(entries.select("entry_ord", "topic"), ["topic"], "entry_ord"), "topic",
+                      ["topic", "repeat_no"], topics.select("id"), "own_id")
     turned = (
-        entries.select("entry_ord", "topic", own_id.alias("own_id"), F.col("entry_ord").cast("string").alias("id"))
+        named.select("entry_ord", "topic", "own_id", F.col("entry_ord").cast("string").alias("id"))
         .join(directed, "id", "left").join(stored, "id", "left").join(earlier, "id", "left")
         .join(leaders.select("id", F.lit(True).alias("leads")), "id", "left")
     )
@@ -164,16 +165,17 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
     """
     now = clock(as_of)
     filled = entries.join(instances.select("entry_ord"), "entry_ord", "left_semi")
-    resolved = cut_lineage(resolve_entries(filled, snapshot.topics, config, now, limits, head_rows))
+    resolved = cut_lineage(resolve_entries(filled, snapshot.topics, config, limits, head_rows))
     # Rows are chosen without their texts and vectors, which follow at the end.
     slim = instances.select("entry_ord", "inst_ord", digest(F.col("content")).alias("digest")).join(
         broadcast_if_small(resolved.select("entry_ord", "topic_id")), "entry_ord")
-    chosen = first_entry_only(unseen(slim, snapshot.instances)).select("entry_ord", "inst_ord", "topic_id")
+    chosen = first_entry_only(unseen(slim, snapshot.instances))
+    chosen = fresh_ids(repeat_number(chosen, ["topic_id", "digest"], "inst_ord"), "instance", ["topic_id", "digest", "repeat_no"],
+                       snapshot.instances.select("id")).select("entry_ord", "inst_ord", "topic_id", "id")
     fresh = instances.join(chosen, ["entry_ord", "inst_ord"]).join(
         filled.select("entry_ord", "topic_embedding"), "entry_ord")
     added = cut_lineage(fresh.select(
-        "entry_ord", "inst_ord", new_id("instance", now, F.col("entry_ord"), F.col("inst_ord")).alias("id"), "topic_id",
-        "content", "content_embedding",
+        "entry_ord", "inst_ord", "id", "topic_id", "content", "content_embedding",
         relevance(F.col("topic_embedding"), F.col("content_embedding")).alias("relevance_score")))
     created = resolved.filter("is_created").join(filled.select("entry_ord", "topic_embedding"), "entry_ord").select(
         F.col("topic_id").alias("id"), F.col("topic").alias("topic_name"), "topic_embedding")

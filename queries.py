@@ -934,7 +934,7 @@ _INGEST_TABLES = "ingest_entries ingest_instances memory_topics"
 
 def _named_resolution(t: Tables, limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
     entries = t.ingest_entries.join(t.ingest_instances.select("entry_ord"), "entry_ord", "left_semi")
-    resolved = cut_lineage(ingest.resolve_entries(entries, t.topics, as_of=AS_OF, limits=limits))
+    resolved = cut_lineage(ingest.resolve_entries(entries, t.topics, limits=limits))
     made = resolved.filter("is_created").select(F.col("topic_id").alias("nearest_id"), F.col("topic").alias("made"))
     return resolved.join(made, "nearest_id", "left").withColumn("nearest", F.coalesce("made", "nearest_id"))
 
@@ -999,6 +999,53 @@ def _(t: Tables) -> DataFrame:
         "entry_ord", "inst_ord", F.coalesce("made", "topic_id").alias("home"), _six("relevance_score"), "importance")
 
 
+# The same entries once more with the same clock, half of their texts being new.
+_IMPORTED_TWICE = _IMPORTED + f""",
+topics_after as (
+  select id, topic_embedding from memory_topics
+  union all select concat('entry_', cast(entry_ord as varchar)), topic_embedding from filled
+    where entry_ord in (select entry_ord from created)),
+homes_after as (
+  select entry_ord, arg_min(id, (-similarity, id)) as home from (
+    select entry_ord, t.id, round({_COS}(e.topic_embedding, t.topic_embedding), 12) as similarity
+    from filled e cross join topics_after t) group by 1),
+texts_after as (
+  select topic_id as home, content from memory_instances union all select home, content from added),
+offered as (
+  select home, entry_ord, content || case when inst_ord % 2 = 1 then ' again' else '' end as content
+  from ingest_instances join homes_after using (entry_ord)),
+added_again as (
+  select home, content from (select *, min(entry_ord) over (partition by home, content) as first_entry from offered o
+    where not exists (select 1 from texts_after t where t.home = o.home and t.content = o.content))
+  where entry_ord = first_entry),
+texts_at_end as (select * from texts_after union all select * from added_again)"""
+
+
+def _import_twice(t: Tables) -> tuple[Snapshot, DataFrame]:
+    once = _import(t)
+    texts = t.ingest_instances.withColumn("content", F.concat("content", F.when(F.col("inst_ord") % 2 == 1, " again").otherwise("")))
+    kept = Snapshot(*(cut_lineage(table) for table in (once.snapshot.topics, once.snapshot.instances, once.snapshot.edges)))
+    return ingest.ingest(kept, t.ingest_entries, texts, as_of=AS_OF).snapshot, once.resolved
+
+
+@_query("w4_two_imports", _IMPORTED_TWICE + """
+select home, sha256(content) as content_sha256, count(*) as n_instances, count(*) as n_ids from texts_at_end group by 1, 2""",
+        _INGEST_TABLES + " memory_instances")
+def _(t: Tables) -> DataFrame:
+    after, resolved = _import_twice(t)
+    made = resolved.filter("is_created").select("topic_id", F.col("topic").alias("made"))
+    return after.instances.join(made, "topic_id", "left").groupBy(
+        F.coalesce("made", "topic_id").alias("home"), F.sha2("content", 256).alias("content_sha256")).agg(
+        F.count(F.lit(1)).alias("n_instances"), F.count_distinct("id").alias("n_ids"))
+
+
+@_query("w4_two_imports_constraints", """
+select unnest(['topics_range', 'instances_range', 'edges_range', 'topics_key', 'instances_key', 'edges_key', 'dangling']) as check,
+  0::bigint as n_rows""")
+def _(t: Tables) -> DataFrame:
+    return violations(_import_twice(t)[0])
+
+
 @_query("w3_created_topics", _INGEST + f"""
 select concat('entry_', cast(entry_ord as varchar)) as topic_name, 1.0 as strength, 0 as access_count, {_TS} as last_accessed,
   {_TS} as created_at, 0.1 as decay_rate, 7.0 as half_life_days, '{{}}' as metadata from resolved where is_created""",
@@ -1087,7 +1134,7 @@ def _(t: Tables) -> DataFrame:
     loose = discover.small_topic_instances(t.instances)
     found = density.dbscan(loose, "id", "content_embedding").filter(F.col("cluster").isNotNull())
     members = cut_lineage(found.join(loose.select("id", "content", "content_embedding"), "id"))
-    return discover.discovered_topics(members, AS_OF).select(
+    return discover.discovered_topics(members, t.topics).select(
         "topic_name", "cluster", "n_members", F.round(F.element_at("topic_embedding", 1), 6).alias("first_coordinate"))
 
 

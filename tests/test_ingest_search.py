@@ -7,11 +7,13 @@ from fadegraph.config import SimilarityLimits
 from fadegraph.functions.embed import embed_hashed, embed_with
 from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.ingest import batch_summary, ingest, number_entries, upsert_edges
+from fadegraph.operators.identity import repeat_number
 from fadegraph.operators.search import search
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
 from fadegraph.plans.write import relation_texts, remember, semantic_rows
 from fadegraph.schema import complete, empty_snapshot, violations
+from fadegraph.session import cut_lineage
 from tests import models
 from tests.conftest import LIMITS, TINY, grouped_vectors
 
@@ -98,6 +100,55 @@ def test_ingest_boundaries(spark):
         "n_entries": 2, "n_succeeded": 2, "all_succeeded": True}
 
 
+@pytest.mark.parametrize("partitions", ["2", "4", "8"])
+def test_ids_over_imports_with_one_clock(spark, partitions):
+    def rows(file, *texts):
+        return spark.createDataFrame([(file, topic, i, text) for i, (topic, text) in enumerate(texts)],
+                                     "source_file string, topic string, ord long, instance string")
+
+    first = rows("f1", ("red apples", "apples are red"), ("red apples", "apples fall"), ("red apples", "apples fall"), ("!!!", "what"))
+    second = rows("f2", ("apples red", "apples are sweet"), ("blue water", "water is wet"), ("!!!", "what"), ("!!!", "else"))
+    third = rows("f0", ("red apples", "apples are red"), ("blue water", "water flows"), ("!!!", "what"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        runs = []
+        for _ in range(2):  # run again, the ids are the same
+            memory = empty_snapshot(spark)
+            for batch in (first, second, third, third):
+                done = remember(memory, batch, lambda df, col, out: embed_hashed(df, col, 64, out), as_of=AS_OF)
+                memory = Snapshot(*(cut_lineage(t) for t in (done.snapshot.topics, done.snapshot.instances, done.snapshot.edges)))
+                assert all(r["n_rows"] == 0 for r in violations(memory).collect())
+            runs.append(sorted((r["id"], r["topic_id"], r["content"]) for r in memory.instances.collect()))
+        names = {r["id"]: r["topic_name"] for r in memory.topics.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert runs[0] == runs[1]
+    # A topic without direction is never found again, so each import makes one of its own.
+    assert sorted(names.values()) == ["!!!"] * 4 + ["blue water", "red apples"]
+    assert sorted((names[t], c) for _, t, c in runs[0]) == sorted(
+        [("red apples", "apples are red"), ("red apples", "apples fall"), ("red apples", "apples fall"), ("red apples", "apples are sweet"),
+         ("blue water", "water is wet"), ("blue water", "water flows")] + [("!!!", "what")] * 4 + [("!!!", "else")])
+
+
+def test_an_id_is_free_after_its_row_moved(spark):
+    stored = make(spark, [("t", [1.0, 0.0], 1.0)])
+    entries = spark.createDataFrame([(1, "here", [1.0, 0.0])], "entry_ord long, topic string, topic_embedding array<double>")
+    texts = spark.createDataFrame([(1, 1, "a", [1.0, 0.0]), (1, 2, "a", [1.0, 0.0])],
+                                  "entry_ord long, inst_ord long, content string, content_embedding array<double>")
+    once = ingest(stored, entries, texts, as_of=AS_OF).snapshot
+    moved = once.with_tables(topics=once.topics.unionByName(once.topics.withColumn("id", F.lit("u")).withColumn(
+        "topic_embedding", F.array(F.lit(0.0), F.lit(1.0)))), instances=cut_lineage(once.instances.withColumn("topic_id", F.lit("u"))))
+    again = ingest(moved, entries, texts, as_of=AS_OF).snapshot
+    assert again.instances.count() == 4 and all(r["n_rows"] == 0 for r in violations(again).collect())
+
+
+def test_repeats_are_numbered_in_blocks(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 57), ("b", 3), (None, 0)) for i in range(0, 3 * n, 3)], "key string, place long")
+    got = repeat_number(rows, ["key"], "place", block=10).collect()
+    assert sorted((r["key"], r["place"], r["repeat_no"]) for r in got) == [(k, 3 * i, i) for k, n in (("a", 57), ("b", 3)) for i in range(n)]
+
+
 def test_upsert_keeps_the_larger_weight(spark):
     edges = make(spark, [], [], [("a", "b", 0.5), ("b", "c", 0.9)]).edges
     offers = spark.createDataFrame([("a", "b", 0.7), ("a", "b", 0.6), ("b", "c", 0.1), ("c", "a", 0.3)], EDGE_COLUMNS)
