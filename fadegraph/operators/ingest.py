@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadegraph.config import REUSE_SIMILARITY, SearchConfig, SimilarityLimits
+from fadegraph.functions.text import digest
 from fadegraph.functions.vectors import relevance
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.identity import fresh_ids, repeat_number
@@ -39,11 +41,6 @@ def number_entries(rows: DataFrame) -> DataFrame:
     return rows.join(placed.select("source_file", "topic", "entry_ord"), ["source_file", "topic"])
 
 
-def digest(content: Column) -> Column:
-    """What stands for a content in joins and groupings, so that texts need not be shuffled."""
-    return F.sha2(content, 256)
-
-
 def unseen(candidates: DataFrame, instances: DataFrame) -> DataFrame:
     """Candidates (topic_id, digest, ...) whose content is not stored under their topic.
 
@@ -74,14 +71,30 @@ def first_entry_only(candidates: DataFrame) -> DataFrame:
 
 def upsert_edges(edges: DataFrame, incoming: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Add edges (from_topic, to_topic, weight); a known edge keeps the larger weight."""
-    best = incoming.groupBy("from_topic", "to_topic").agg(F.max("weight").alias("weight"))
     keys = ["from_topic", "to_topic"]
+    best = _best_offers(incoming)
     offered = best.select(*keys, F.col("weight").alias("_offered"))
     kept = edges.join(offered, keys, "left").select(*[
         F.greatest("weight", "_offered").alias(c) if c == "weight" else F.col(c) for c in edges.columns])
-    fresh = best.join(edges.select(*keys), keys, "left_anti")
-    added = complete(fresh, "edges", as_of)
-    return kept.unionByName(added.select(*edges.columns))
+    return kept.unionByName(_fresh_edges(edges, best, as_of))
+
+
+def _best_offers(incoming: DataFrame) -> DataFrame:
+    return incoming.groupBy("from_topic", "to_topic").agg(F.max("weight").alias("weight"))
+
+
+def _fresh_edges(edges: DataFrame, best: DataFrame, as_of: AsOf) -> DataFrame:
+    keys = ["from_topic", "to_topic"]
+    return complete(best.join(edges.select(*keys), keys, "left_anti"), "edges", as_of).select(*edges.columns)
+
+
+def edge_changes(edges: DataFrame, incoming: DataFrame, as_of: AsOf = None) -> tuple[DataFrame, DataFrame]:
+    """What ``upsert_edges`` changes: known edges whose weight rises, and edges that are new."""
+    keys = ["from_topic", "to_topic"]
+    best = _best_offers(incoming)
+    raised = edges.join(best.select(*keys, F.col("weight").alias("_offered")), keys).filter(F.col("_offered") > F.col("weight"))
+    return (raised.select(*[F.col("_offered").alias(c) if c == "weight" else F.col(c) for c in edges.columns]),
+            _fresh_edges(edges, best, as_of))
 
 
 def resolve_entries(entries: DataFrame, topics: DataFrame, config: SearchConfig = SearchConfig(),
@@ -145,7 +158,8 @@ class Ingested:
     """Outcome of an import: the new tables and what was added to them.
 
     ``added_instances`` is (entry_ord, inst_ord, id, topic_id, content,
-    content_embedding, relevance_score).
+    content_embedding, relevance_score).  ``new_topics`` and ``new_instances``
+    are the rows added to the tables.
     """
 
     snapshot: Snapshot
@@ -153,23 +167,29 @@ class Ingested:
     added_instances: DataFrame
     added_edges: DataFrame
     report: DataFrame
+    new_topics: DataFrame
+    new_instances: DataFrame
 
 
 def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config: SearchConfig = SearchConfig(),
-           as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits(), head_rows: int = HEAD_ROWS) -> Ingested:
+           as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits(), head_rows: int = HEAD_ROWS,
+           only_new: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
     """Add entries (entry_ord, topic, topic_embedding) with their instances.
 
     ``instances`` is (entry_ord, inst_ord, content, content_embedding), its
     first two columns being unique together.  An entry without instances is skipped before its topic is looked up.
-    The report is (entry_ord, topic, is_added, n_added).
+    The report is (entry_ord, topic, is_added, n_added).  ``only_new`` picks
+    of candidates (topic_id, digest, ...) those that are not stored; by default
+    all stored contents are compared (sources.tables.unseen_in reads none).
     """
     now = clock(as_of)
+    only_new = only_new or (lambda candidates: unseen(candidates, snapshot.instances))
     filled = entries.join(instances.select("entry_ord"), "entry_ord", "left_semi")
     resolved = cut_lineage(resolve_entries(filled, snapshot.topics, config, limits, head_rows))
     # Rows are chosen without their texts and vectors, which follow at the end.
     slim = instances.select("entry_ord", "inst_ord", digest(F.col("content")).alias("digest")).join(
         broadcast_if_small(resolved.select("entry_ord", "topic_id")), "entry_ord")
-    chosen = first_entry_only(unseen(slim, snapshot.instances))
+    chosen = first_entry_only(only_new(slim))
     chosen = fresh_ids(repeat_number(chosen, ["topic_id", "digest"], "inst_ord"), "instance", ["topic_id", "digest", "repeat_no"],
                        snapshot.instances.select("id")).select("entry_ord", "inst_ord", "topic_id", "id")
     fresh = instances.join(chosen, ["entry_ord", "inst_ord"]).join(
@@ -188,14 +208,14 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
         .select("entry_ord", "topic", F.coalesce("_resolved", F.lit(False)).alias("is_added"),
                 F.coalesce("n_added", F.lit(0)).alias("n_added"))
     )
+    new_topics = complete(created, "topics", now).select(*typed_like(snapshot.topics))
+    new_instances = complete(added, "instances", now).select(*typed_like(snapshot.instances))
     after = snapshot.with_tables(
-        topics=snapshot.topics.unionByName(
-            complete(created, "topics", now).select(*typed_like(snapshot.topics)), allowMissingColumns=True),
-        instances=snapshot.instances.unionByName(
-            complete(added, "instances", now).select(*typed_like(snapshot.instances)), allowMissingColumns=True),
+        topics=snapshot.topics.unionByName(new_topics, allowMissingColumns=True),
+        instances=snapshot.instances.unionByName(new_instances, allowMissingColumns=True),
         edges=upsert_edges(snapshot.edges, links, now),
     )
-    return Ingested(after, resolved, added, links, report)
+    return Ingested(after, resolved, added, links, report, new_topics, new_instances)
 
 
 def batch_summary(report: DataFrame) -> DataFrame:

@@ -6,29 +6,49 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fadegraph.config import EDGE_REINFORCEMENT, TOP_TOPICS, SearchConfig, SimilarityLimits
 from fadegraph.operators.search import search, top_instances, top_topics
 from fadegraph.operators.updates import AsOf, reinforce_edges, reinforce_topics
 from fadegraph.schema import Snapshot, clock
-from fadegraph.session import cut_lineage
+from fadegraph.session import broadcast_if_small, cut_lineage
+from fadegraph.sources.tables import Changes, Version
 
 
 @dataclass(frozen=True)
 class Recall:
-    """Answers and what was visited; the effects are worked out when asked for."""
+    """Answers and what was visited; the effects are worked out when asked for.
+
+    ``touched`` is (topic_id, n_visits, n_returns), ``traversed`` (from_topic,
+    to_topic, n_traversals).
+    """
 
     results: DataFrame
     visited: DataFrame
     effects: Callable[[], Snapshot]
+    touched: DataFrame
+    traversed: DataFrame
+    boost: float
+    now: Column
 
     @cached_property
     def snapshot(self) -> Snapshot:
         """The tables after reinforcement."""
         return self.effects()
 
+    def changes(self, version: Version) -> Changes:
+        """The reinforced rows of the stored version that was searched; only parts that hold some are read."""
+        topics = cut_lineage(self.touched.groupBy("topic_id").agg(F.sum("n_visits").alias("n_visits"), F.sum("n_returns").alias("n_returns")))
+        edges = cut_lineage(self.traversed)
+        held = version.read("topics", version.parts_of("topics", topics, "topic_id")).join(
+            broadcast_if_small(topics.select(F.col("topic_id").alias("id"))), "id", "left_semi")
+        links = version.read("edges", version.parts_of("edges", edges)).join(
+            broadcast_if_small(edges.select("from_topic", "to_topic")), ["from_topic", "to_topic"], "left_semi")
+        return Changes(upserts={"topics": reinforce_topics(held, topics, self.boost, self.now),
+                                "edges": reinforce_edges(links, edges, EDGE_REINFORCEMENT, self.now)})
+
 
 def recall(snapshot: Snapshot, queries: DataFrame, config: SearchConfig = SearchConfig(), top_k: int = TOP_TOPICS,
            limit: int | None = None, as_of: AsOf = None, limits: SimilarityLimits = SimilarityLimits()) -> Recall:
@@ -61,4 +81,4 @@ def recall(snapshot: Snapshot, queries: DataFrame, config: SearchConfig = Search
             edges=reinforce_edges(snapshot.edges, traversed, EDGE_REINFORCEMENT, now),
         )
 
-    return Recall(results, scored, effects)
+    return Recall(results, scored, effects, touched, traversed, config.strengthen_boost, now)
