@@ -23,7 +23,7 @@ from fadegraph.plans.read import recall
 from fadegraph.schema import clock, complete, violations
 from fadegraph.session import cut_lineage, ensure_checkpoint_dir
 from fadegraph.sources import openie, tables, tabular, topic_map
-from fadegraph.streaming import loops
+from fadegraph.streaming import fading, loops
 from fixtures import AS_OF, DUCKDB_SQL, SPARK_SQL
 
 _BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -1370,3 +1370,46 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{place}/totals").select(
         "topic_id", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n_accesses",
         F.col("last_access").cast("timestamp_ntz").alias("last_access"))
+
+
+# Accesses one after the other, and what has faded away before each or at the end.
+_FADED = "greatest(strength * pow(0.5, greatest(epoch_us({now}) - epoch_us(last_accessed), 0) / 86400000000 / half_life_days), 0.01)"
+_FORGOTTEN = f"({_FADED} < 0.05 and last_accessed < {{now}} - interval '30 days' and access_count < 5)"
+
+
+@_query("t4_ordered_fold", f"""with recursive
+mark as (select max(ts) - interval '10 minutes' as now from access_log),
+accesses as (
+  select a.topic_id, a.ts, row_number() over (partition by a.topic_id order by a.ts) as n
+  from access_log a join mark on a.ts <= mark.now),
+walk(id, n, strength, access_count, last_accessed, half_life_days, is_evicted) as (
+  select id, 0::bigint, strength, access_count, last_accessed, half_life_days, false from memory_topics
+  union all
+  select w.id, w.n + 1, least({_FADED.format(now="a.ts")} + 0.1, 1.0), w.access_count + 1, greatest(last_accessed, a.ts),
+    half_life_days * 1.1, {_FORGOTTEN.format(now="a.ts")}
+  from walk w join accesses a on a.topic_id = w.id and a.n = w.n + 1 where not w.is_evicted),
+ends as (select id, arg_max(w, n) as w from walk w group by id)
+select id, round(w.strength, 6) as strength, w.access_count as access_count, w.last_accessed as last_accessed,
+  round(ln(w.half_life_days), 6) as log_half_life
+from (select id, w, {_FORGOTTEN.replace("strength", "w.strength").replace("last_accessed", "w.last_accessed")
+  .replace("half_life_days", "w.half_life_days").replace("access_count", "w.access_count").format(now="mark.now")} as weak
+  from ends cross join mark) where not weak and not w.is_evicted""", "memory_topics access_log")
+def _(t: Tables) -> DataFrame:
+    # The whole event table as a stream; topics that are forgotten on the way are missing from the result.
+    events = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    log = events.select(F.concat(F.lit("t"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("topic_id"), "ts")
+    place = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, fading.STATE_STORE)
+    try:
+        fading.fading(log, t.topics).writeStream.format("parquet").option("path", f"{place}/out").option(
+            "checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(setting, before)
+    last = fading.last_changes(t.spark.read.parquet(f"{place}/out"))
+    names = ("strength", "access_count", "last_accessed", "half_life_days")
+    changed = last.select(F.col("topic_id").alias("id"), "is_evicted", *[F.col(c).alias(f"_{c}") for c in names])
+    kept = t.topics.join(changed, "id", "left").filter(~F.coalesce("is_evicted", F.lit(False)))
+    folded = kept.select("id", *[F.coalesce(f"_{c}", c).alias(c) for c in names])
+    return folded.select("id", _six("strength"), "access_count", "last_accessed", F.round(F.log("half_life_days"), 6).alias("log_half_life"))
