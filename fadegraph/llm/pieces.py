@@ -16,7 +16,9 @@ together, one byte position after the other.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,16 @@ SPACE = "▁"
 _MARK = SPACE.encode()
 # The score of a character that is written as bytes: below any piece's.
 _UNKNOWN_GAP = 10.0
-# Stretches of more bytes than this are encoded by themselves.
+# Stretches of more bytes than this are cut into segments of so many bytes that overlap.
 LONG_STRETCH = 256
+SEGMENT, OVERLAP = 512, 128
+# Cells (positions by segments) that are worked on together, and segments below which a plain loop is faster.
+SEGMENT_CELLS = 1 << 20
+FEW_SEGMENTS = 24
 # Stretches that are encoded together.
 TOGETHER = 4_096
-# Encoded stretches that a worker keeps, about 20 MB.
-STORED_STRETCHES = 400_000
+# Encoded stretches that a worker keeps, about 10 MB.
+STORED_STRETCHES = 200_000
 
 
 class Pieces:
@@ -86,7 +92,10 @@ class Pieces:
         # First state on the way of output links, itself included, that ends a piece.
         own = np.arange(n, dtype=np.int32)
         self.first_output = np.where(self.piece_at >= 0, own, output)
-        self._hash_edges(children)
+        self.longest = max(int(self.depth.max()), 4)
+        self.whole = bool((self.scores == np.rint(self.scores)).all())
+        self.trie_keys = np.array([a * 256 + b for a, c in enumerate(children) for b in c], dtype=np.int64)
+        self.trie_ends = np.array([e for c in children for e in c.values()], dtype=np.int32)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,9 +103,10 @@ class Pieces:
         self._hashes = np.zeros(0, dtype=np.uint64)
         self._places, self._counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self._ids = np.zeros(0, dtype=np.int32)
+        self._ends: dict[int, list[tuple[int, float, int]]] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_hashes", "_places", "_counts", "_ids")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_hashes", "_places", "_counts", "_ids", "_ends", "moves")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -125,57 +135,36 @@ class Pieces:
             at = np.searchsorted(self._hashes, hashes)
         return self._places[at], self._counts[at], self._ids
 
-    def _hash_edges(self, children: list[dict[int, int]]) -> None:
-        keys = np.array([s * 256 + b for s, c in enumerate(children) for b in c], dtype=np.int64)
-        values = np.array([a for c in children for a in c.values()], dtype=np.int32)
-        bits = max(4, int(4 * len(keys)).bit_length())
-        self.slots = np.full(1 << bits, -1, dtype=np.int64)
-        self.targets = np.zeros(1 << bits, dtype=np.int32)
-        self.shift = np.uint64(64 - bits)
-        for key, value in zip(keys.tolist(), values.tolist()):
-            slot = int(self._slot(np.array([key]))[0])
-            while self.slots[slot] >= 0:
-                slot = (slot + 1) & (len(self.slots) - 1)
-            self.slots[slot], self.targets[slot] = key, value
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def _edge(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Child by the byte, or -1; open addressing, all lookups together."""
-        keys = states.astype(np.int64) * 256 + data
-        slots = self._slot(keys)
-        found = np.full(len(keys), -1, dtype=np.int32)
-        left = np.arange(len(keys))
-        while len(left):
-            held = self.slots[slots[left]]
-            hit = held == keys[left]
-            found[left[hit]] = self.targets[slots[left[hit]]]
-            left = left[~hit & (held >= 0)]
-            slots[left] = (slots[left] + 1) & (len(self.slots) - 1)
-        return found
-
-    def step(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """The automaton's move by one byte for each of the states."""
-        after = np.empty(len(states), dtype=np.int32)
-        left = np.arange(len(states))
-        at = states.copy()
-        while len(left):
-            found = self._edge(at[left], data[left])
-            root = at[left] == 0
-            done = (found >= 0) | root
-            after[left[done]] = np.maximum(found[done], 0)
-            left = left[~done]
-            at[left] = self.fail[at[left]]
-        return after
-
-    def encode_stretches(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each stretch, one after the other, and how many each has."""
+    @cached_property
+    def moves(self) -> np.ndarray:
+        """The state after each state and byte, worked out where it is used; 256 numbers a state."""
+        n = len(self.depth)
+        moves = np.zeros((n, 256), dtype=np.uint16 if n <= 1 << 16 else np.int32)
+        at, byte = np.divmod(self.trie_keys, 256)
+        order = np.argsort(self.depth[at], kind="stable")
+        at, byte, ends = at[order], byte[order], self.trie_ends[order]
+        cuts = np.searchsorted(self.depth[at], np.arange(int(self.depth.max()) + 2))
+        moves[0, byte[:cuts[1]]] = ends[:cuts[1]]
+        by_depth = np.argsort(self.depth, kind="stable")
+        levels = np.searchsorted(self.depth[by_depth], np.arange(int(self.depth.max()) + 2))
+        for d in range(1, len(levels) - 1):
+            own = by_depth[levels[d]:levels[d + 1]]
+            moves[own] = moves[self.fail[own]]  # of a lesser depth, so it is complete
+            edges = slice(cuts[d], cuts[d + 1])
+            moves[at[edges], byte[edges]] = ends[edges]
+        return moves
+
+    def _forward(self, stretches: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Best score of every position of each stretch, and the piece and width that give it.
+
+        Columns are stretches in the returned order, the longest first.
+        """
         m = len(stretches)
         sizes = np.array([len(s) for s in stretches], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
         longest = int(sizes[0]) if m else 0
+        moves = self.moves
         data = np.zeros((longest, m), dtype=np.uint8)  # byte position by stretch, long ones first
         flat = np.frombuffer(b"".join(stretches[i] for i in order.tolist()), dtype=np.uint8)
         ends = np.cumsum(sizes)
@@ -192,7 +181,9 @@ class Pieces:
             k = int(alive[j])
             byte = data[j, :k]
             start[:k] = np.where((byte & 0xC0) != 0x80, j, start[:k])
-            states = self.step(states[:k], byte)
+            states = moves[states[:k], byte]
+            character = j + 1 - start[:k]
+            bare = np.ones(k, dtype=bool)  # no piece is the character that ends here
             rows = np.arange(k)
             at = self.first_output[states]
             live = at >= 0
@@ -205,22 +196,27 @@ class Pieces:
                 best[j + 1, hit] = score[better]
                 piece[j + 1, hit] = self.piece_at[at[better]]
                 width[j + 1, hit] = size[better]
+                bare[rows[size == character[rows]]] = False
                 at = self.output[at]
                 live = at >= 0
                 rows, at = rows[live], at[live]
             # A whole character that no piece ends with, written as bytes.
             closing = (data[j + 1, :k] & 0xC0) != 0x80 if j + 1 < longest else np.ones(k, dtype=bool)
             closing |= sizes[:k] == j + 1
-            rows = np.flatnonzero(closing)
-            size = (j + 1 - start[rows]).astype(np.int32)
-            bare = ~self._is_character_piece(data, j, rows, size)
-            rows, size = rows[bare], size[bare]
+            rows = np.flatnonzero(closing & bare)
+            size = character[rows].astype(np.int32)
             score = best[j + 1 - size, rows] + self.unknown
             better = score > best[j + 1, rows]
             hit = rows[better]
             best[j + 1, hit] = score[better]
             piece[j + 1, hit] = -1
             width[j + 1, hit] = size[better]
+        return order, sizes, data, best, piece, width
+
+    def encode_stretches(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each stretch, one after the other, and how many each has."""
+        order, sizes, data, _, piece, width = self._forward(stretches)
+        m = len(stretches)
         # Back from the ends, all stretches together; pieces come out last first.
         position, rows = sizes.copy(), np.arange(m)
         found_rows, found_ids = [], []
@@ -244,14 +240,120 @@ class Pieces:
         sort = np.argsort(owner, kind="stable")
         return all_ids[sort], np.bincount(owner, minlength=m)
 
-    def _is_character_piece(self, data: np.ndarray, j: int, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Whether the character of ``size`` bytes that ends at ``j`` is a piece."""
-        states = np.zeros(len(rows), dtype=np.int32)
-        for back in range(4, 0, -1):
-            on = np.flatnonzero((size >= back) & (states >= 0))
-            if len(on):
-                states[on] = self._edge(states[on], data[j + 1 - back, rows[on]])
-        return (states >= 0) & (self.piece_at[np.maximum(states, 0)] >= 0)
+    def _outputs(self, state: int) -> list[tuple[int, float, int]]:
+        """Size, score and piece of all that ends at a state, the longest first."""
+        found, at = [], int(self.first_output[state])
+        while at >= 0:
+            i = int(self.piece_at[at])
+            found.append((int(self.depth[at]), float(self.scores[i]), i))
+            at = int(self.output[at])
+        return found
+
+    def _read_on(self, data: bytes, best: list, piece: list, width: list, to: int) -> None:
+        """Go on with the scores of a text, known up to the end of the lists, up to the position ``to``."""
+        at = len(best) - 1
+        moves, outputs = self.moves, self._ends
+        state, begin = 0, max(0, at - self.longest)
+        start = at
+        while start > 0 and start < len(data) and data[start] & 0xC0 == 0x80:
+            start -= 1
+        for j in range(begin, to):
+            byte = data[j]
+            state = int(moves[state, byte])
+            if j < at:
+                continue
+            if byte & 0xC0 != 0x80:
+                start = j
+            ends = outputs.get(state)
+            if ends is None:
+                ends = outputs[state] = self._outputs(state)
+            most, chosen, size = -math.inf, -1, 0
+            own, is_piece = j + 1 - start, False
+            for length, score, i in ends:
+                value = best[j + 1 - length] + score
+                if value > most:
+                    most, chosen, size = value, i, length
+                is_piece = is_piece or length == own
+            if not is_piece and (j + 1 == len(data) or data[j + 1] & 0xC0 != 0x80):
+                value = best[start] + self.unknown
+                if value > most:
+                    most, chosen, size = value, -1, own
+            best.append(most)
+            piece.append(chosen)
+            width.append(size)
+
+    def _segments(self, stretch: bytes) -> list[tuple[int, int]]:
+        """Overlapping segments of a stretch, cut between characters."""
+
+        def boundary(at: int) -> int:
+            while at < len(stretch) and stretch[at] & 0xC0 == 0x80:
+                at += 1
+            return min(at, len(stretch))
+
+        overlap = max(OVERLAP, 3 * self.longest)
+        begins = [boundary(a) for a in range(0, len(stretch), SEGMENT)]
+        return [(a, boundary(a + SEGMENT + overlap)) for a in dict.fromkeys(begins) if a < len(stretch)]
+
+    def _joins(self, known: np.ndarray, own: np.ndarray) -> tuple[int, float] | None:
+        """First place of an overlap from which the scores ``own`` are those ``known`` but for a constant, and that."""
+        both = np.isfinite(known) & np.isfinite(own)
+        if not both.any():
+            return None
+        gap = np.where(both, known - np.where(both, own, 0.0), 0.0)
+        # Scores that are whole numbers add up exactly; others to the last digits.
+        near = 0.0 if self.whole else 1e-9 * float(np.abs(known[both]).max() + 1.0)
+        changes = np.isfinite(known) != np.isfinite(own)
+        at = np.flatnonzero(both)
+        changes[at[1:]] |= np.abs(np.diff(gap[at])) > near
+        last = np.maximum.accumulate(np.where(changes, np.arange(len(changes)), 0))
+        good = (np.arange(len(changes)) - last >= self.longest) & both
+        place = int(good.argmax())
+        return (place, float(gap[place])) if good[place] else None
+
+    def encode_long(self, stretches: list[bytes]) -> list[np.ndarray]:
+        """Ids of each long stretch; equal to those of ``encode_stretches``."""
+        parts = [(i, a, b) for i, stretch in enumerate(stretches) for a, b in self._segments(stretch)]
+        known: list[tuple[list, list, list]] = [([0.0], [-1], [0]) for _ in stretches]
+        size = max((b - a for _, a, b in parts), default=1)
+        together = max(FEW_SEGMENTS, SEGMENT_CELLS // size)
+        for first in range(0, len(parts), together):
+            group = parts[first:first + together]
+            if len(group) < FEW_SEGMENTS:
+                for i, _, b in group:
+                    if b >= len(known[i][0]):
+                        self._read_on(stretches[i], *known[i], b)
+                continue
+            order, sizes, _, best, piece, width = self._forward([stretches[i][a:b] for i, a, b in group])
+            column = np.argsort(order)
+            for (i, a, b), c in zip(group, column.tolist()):
+                scores, pieces, widths = known[i]
+                have = len(scores) - 1
+                if b <= have:
+                    continue
+                if a == 0:
+                    place, shift = 0, 0.0
+                else:
+                    found = self._joins(np.array(scores[a:have + 1]), best[:have - a + 1, c])
+                    if found is None:
+                        self._read_on(stretches[i], *known[i], b)
+                        continue
+                    place, shift = found
+                # Places up to the known end agree with it; what is new comes from this segment.
+                scores += (best[have - a + 1:b - a + 1, c] + shift).tolist()
+                pieces += piece[have - a + 1:b - a + 1, c].tolist()
+                widths += width[have - a + 1:b - a + 1, c].tolist()
+        return [self._back(stretch, *found[1:]) for stretch, found in zip(stretches, known)]
+
+    def _back(self, stretch: bytes, piece: list, width: list) -> np.ndarray:
+        at, out = len(stretch), []
+        while at > 0:
+            size, i = width[at], piece[at]
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [int(self.byte_ids[b]) for b in reversed(stretch[at - size:at])]
+            at -= size
+        return np.array(out[::-1], dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes that the ids stand for, without the space that encoding puts in front."""
@@ -303,15 +405,16 @@ def encode_batch(model: Pieces, column: pa.Array) -> Iterator[tuple[np.ndarray,
 
 
 def _encode_distinct(model: Pieces, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Short stretches together in groups of bounded size, long ones by themselves."""
+    """Short stretches together in groups of bounded size, long ones by their segments."""
     sizes = np.array([len(s) for s in stretches])
     counts = np.zeros(len(stretches), dtype=np.int64)
     parts: list[np.ndarray | None] = [None] * len(stretches)
     short = np.flatnonzero(sizes <= LONG_STRETCH)
     short = short[np.argsort(sizes[short], kind="stable")]
-    groups = [short[at:at + TOGETHER] for at in range(0, len(short), TOGETHER)]
-    groups += [np.array([i]) for i in np.flatnonzero(sizes > LONG_STRETCH)]
-    for group in groups:
+    long = np.flatnonzero(sizes > LONG_STRETCH)
+    for i, ids in zip(long.tolist(), model.encode_long([stretches[i] for i in long.tolist()])):
+        parts[i], counts[i] = ids, len(ids)
+    for group in (short[at:at + TOGETHER] for at in range(0, len(short), TOGETHER)):
         ids, n = model.encode_stretches([stretches[i] for i in group.tolist()])
         counts[group] = n
         for i, part in zip(group.tolist(), np.split(ids, np.cumsum(n)[:-1])):
