@@ -11,6 +11,15 @@ No piece goes on with a space mark after another character, so a text is
 segmented by *stretches*: a run of space marks and what follows it up to the
 next one.  A step of texts encodes each distinct stretch once, all of them
 together, one byte position after the other.
+
+A long stretch (text without spaces) is cut into segments that overlap, and all
+segments of a step go together.  Where the best scores of a segment differ from
+those of the one before by the same amount over as many positions as the
+longest piece has bytes, all that follows is the same as if the stretch had been
+read from its start, and the segment is joined there.  Segments that do not come
+to that in their overlap (long runs of one character) are read on one byte after
+the other from where the scores are known, and so are all if scores are not
+whole numbers, whose sums differ with where they start.
 """
 
 from __future__ import annotations
@@ -300,11 +309,9 @@ class Pieces:
         if not both.any():
             return None
         gap = np.where(both, known - np.where(both, own, 0.0), 0.0)
-        # Scores that are whole numbers add up exactly; others to the last digits.
-        near = 0.0 if self.whole else 1e-9 * float(np.abs(known[both]).max() + 1.0)
         changes = np.isfinite(known) != np.isfinite(own)
         at = np.flatnonzero(both)
-        changes[at[1:]] |= np.abs(np.diff(gap[at])) > near
+        changes[at[1:]] |= np.diff(gap[at]) != 0
         last = np.maximum.accumulate(np.where(changes, np.arange(len(changes)), 0))
         good = (np.arange(len(changes)) - last >= self.longest) & both
         place = int(good.argmax())
@@ -318,7 +325,8 @@ class Pieces:
         together = max(FEW_SEGMENTS, SEGMENT_CELLS // size)
         for first in range(0, len(parts), together):
             group = parts[first:first + together]
-            if len(group) < FEW_SEGMENTS:
+            # Only scores that are whole numbers add up to the same sums from another start.
+            if len(group) < FEW_SEGMENTS or not self.whole:
                 for i, _, b in group:
                     if b >= len(known[i][0]):
                         self._read_on(stretches[i], *known[i], b)
