@@ -4,16 +4,23 @@ A page is cut into blocks, each with the path of block-level tags from the root
 to it.  Text length and punctuation are summed for each path and divided by its
 number of blocks; these ratios, taken in page order, are smoothed over
 neighbouring blocks, fused into one weight for each path, and paths that reach
-the spread of the weights hold the content.  The smallest element that holds
-all of what they select, or an article or main around that, is the article.
-Of blocks in it whose path is not selected, those that are mostly links do not
-belong to it; of the others, those do that stand next to selected ones in the
-same holder (short items, bylines), headings of what is given, and blocks whose
-own ratios come to most of the threshold.  A short notice or advert in a
-holder of its own is left out, whatever its class.  Elements that by their tag,
-class or id are menus, notices, adverts, forms or comments take no part, unless
-the page's article is in them: a main, the only articles, or, where next to no
-text is outside and no article or main is marked, most of the text.
+the spread or the mean of the weights (by their text) hold the content, as does
+the path with the most text.  A marked article or main that holds most of what
+is marked is the article, and the path with the most text in it is content too;
+without one it is the smallest element that holds all of what the paths select.
+
+Blocks of the article whose path is not selected belong to it, unless an element
+that says neither by its tag nor by its name that it is text is around them and
+around nothing that was selected: such a box is an unlisted notice or advert, if
+what it says is light.  Outside a marked article mostly linked blocks do not
+belong either.  Elements that by their tag, class or id are menus, notices,
+adverts, forms or comments take no part, unless the page's article is in them: a
+main, the only articles, or, where next to no text is outside and no article or
+main is marked, most of the text.
+
+Elements are numbered as they open and know their parent and the last one inside
+them, and paths are numbered too, so a page takes time and memory in proportion
+to its length, however deep its elements lie in each other.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +66,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of a text, which are no article by themselves.
 PARTS = HEADINGS | frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header hgroup "
                              "section".split())
+# Parts that are text whatever the element around them is called.
+SOLID = frozenset("table pre blockquote figure dl".split())
+# Names of elements that are text.
+TEXT_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:abstract|article|author|body|byline|caption|chapter|code|content|date|dateline|dek|entry|figure|footnote|footnotes|"
+    r"intro|introduction|lead|lede|main|meta|note|notes|paragraph|post|preface|prose|quote|references|section|source|sources|standfirst|"
+    r"story|subtitle|summary|table|text|title)(?![^\s_\d-])", re.IGNORECASE)
 PUNCTUATION = re.compile("[.,;:!?。，；：！？]")
 
 
@@ -76,7 +91,8 @@ _TOKEN, _XHTML_TOKEN = _tokens(("svg", "math")), _tokens(RAW)
 # What a page of XHTML says before its text.
 _XHTML = re.compile(r"\s*(?:<\?xml\b|(?:<!--.*?-->|<!doctype\b[^>]*>|\s)*<html\b[^>]*\bxmlns\s*=\s*[\"']http://www\.w3\.org/1999/xhtml)"
                     r"|\s*<!doctype\b[^>]*\bxhtml\b", re.DOTALL | re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+# Every attribute in its turn, so that none is found in the value of another.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 SMOOTHING = (0.25, 0.5, 0.25)
 MOSTLY_LINKS = 0.5
@@ -84,14 +100,60 @@ OWN_SHARE = 0.75
 LITTLE = 0.1
 
 
+# What an element says of itself: that its text is text, nothing, or a name that says neither.
+_TEXT, _PLAIN, _NAMED = range(3)
+
+
 class _Block:
-    __slots__ = ("parts", "path", "elements", "linked", "aside")
+    __slots__ = ("text", "path", "element", "linked", "wrapper")
+
+    def __init__(self, path: int, element: int, wrapper: int):
+        self.text, self.path, self.element, self.linked, self.wrapper = "", path, element, 0, wrapper
+
+
+class _Page:
+    """Elements, paths and blocks of a page, by number; 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.parent, self.last, self.tag, self.says = [0], [0], [""], [_TEXT]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.path_tags: list[frozenset[str]] = [frozenset()]
+        self.blocks: list[_Block] = []
+        # Set-aside elements that may hold the article, each with the one around it.
+        self.wrapper_parent: dict[int, int] = {}
+        # Articles and mains outside what is always set aside, each with the innermost wrapper around it.
+        self.marked: list[tuple[int, int]] = []
+
+    def open(self, tag: str, parent: int, says: int) -> int:
+        self.parent.append(parent)
+        self.last.append(len(self.tag))
+        self.tag.append(tag)
+        self.says.append(says)
+        return len(self.tag) - 1
+
+    def path(self, above: int, tag: str) -> int:
+        found = self.paths.get((above, tag))
+        if found is None:
+            found = self.paths[above, tag] = len(self.path_tags)
+            known = self.path_tags[above]
+            self.path_tags.append(known if tag in known else known | {tag})
+        return found
+
+    def holds(self, element: int, inner: int) -> bool:
+        return element <= inner <= self.last[element]
+
+
+def _attributes(text: str) -> list[tuple[str, str]]:
+    return [(m.group(1).lower(), (m.group(2) or "").strip("\"'")) for m in _ATTRIBUTE.finditer(text)]
+
 
-    def __init__(self, path: tuple[str, ...], elements: tuple[int, ...], aside: frozenset[int]):
-        self.parts, self.path, self.elements, self.linked, self.aside = [], path, elements, 0, aside
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value.lower() == "true")
+               or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
+               for name, value in attributes)
 
 
-def _set_aside(tag: str, attributes: str) -> str:
+def _set_aside(tag: str, attributes: list[tuple[str, str]]) -> str:
     """Whether an element takes no part: ``always``, ``wrapper`` (unless the page's article is in it), or empty."""
     found = ""
     if tag in ASIDE:
@@ -100,164 +162,218 @@ def _set_aside(tag: str, attributes: str) -> str:
         found = "wrapper"
     if not attributes or tag in KEPT_TAGS:
         return found
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
-        if name in ("class", "id") and ASIDE_NAMES.search(value):
+    if _hidden(attributes):
+        return "always"
+    for name, value in attributes:
+        if name in ("class", "id") and ASIDE_NAMES.search(value) or name == "role" and value.lower() in ASIDE_ROLES:
             found = "wrapper"
-        if name == "role" and value.lower() in ASIDE_ROLES:
-            found = "wrapper"
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return "always"
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return "always"
     return found
 
 
-def _left_out(found: list[_Block], mains: list[tuple[str, frozenset[int]]]) -> frozenset[int]:
-    """Set-aside elements that stay so; ``mains`` are the articles and mains, and the set-aside elements around each."""
-    asides = frozenset().union(*[b.aside for b in found])
-    if not asides:
-        return asides
-    clear = {a for tag, around in mains if tag == "main" for a in around}
-    if all(around - clear for _, around in mains):  # no article is outside
-        clear.update(a for _, around in mains for a in around)
-        if not mains:
-            sizes: dict[int, int] = {}
-            for b in found:
-                size = len("".join(b.parts))
-                for a in (0, *b.aside):
-                    sizes[a] = sizes.get(a, 0) + size
-            if sum(len("".join(b.parts)) for b in found if not b.aside) < LITTLE * sizes[0]:
-                clear.update(a for a in asides if 2 * sizes[a] > sizes[0])
-    return asides - clear
-
-
-def blocks_of(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], float]]:
-    """Blocks in page order: text, tag path, ids of the elements around it, share of linked text."""
-    tags: list[str] = []
-    ids: list[int] = []
-    aside_from = -1  # depth of the outermost element that takes no part in any case
-    wrappers: list[tuple[int, int]] = []  # depth and id of those that may hold the article
-    mains: list[tuple[str, frozenset[int]]] = []
-    link_depth = -1
-    found: list[_Block] = []
-    block: _Block | None = None
-    inline_aside: list[str] = []
-    count = 0
-
-    def text(piece: str) -> None:
-        nonlocal block
-        if aside_from >= 0 or inline_aside or not piece:
+def _says(tag: str, attributes: list[tuple[str, str]]) -> int:
+    """A part of a text says so by its tag; another element by its name, if it has one."""
+    names = [value for name, value in attributes if name in ("class", "id") and value.strip()]
+    if tag in PARTS or tag in KEPT_TAGS or any(TEXT_NAMES.search(v) for v in names):
+        return _TEXT
+    return _NAMED if names else _PLAIN
+
+
+class _Reader:
+    """Reads a page into elements and blocks."""
+
+    def __init__(self) -> None:
+        self.page = _Page()
+        self.stack = [0]  # open elements
+        self.stack_paths = [0]
+        self.open_at: dict[str, list[int]] = {}  # by tag: places in the stack
+        self.aside_from = 0  # place of the outermost element that takes no part in any case
+        self.wrappers: list[tuple[int, int]] = []  # place and number
+        self.link_place = 0
+        self.block: _Block | None = None
+        self.parts: list[str] = []  # of the open block
+        self.inline_hidden: list[str] = []
+
+    def text(self, piece: str) -> None:
+        if self.aside_from or self.inline_hidden or not piece:
             return
-        if block is None:
+        if self.block is None:
             if not piece.strip():
                 return
-            block = _Block(tuple(tags), tuple(ids), frozenset(i for _, i in wrappers))
-            found.append(block)
-        block.parts.append(piece)
-        if link_depth >= 0:
-            block.linked += len(piece.strip())
-
-    def pop_to(depth: int) -> None:
-        nonlocal aside_from, link_depth, block
-        del tags[depth:], ids[depth:]
-        if aside_from >= depth:
-            aside_from = -1
-        while wrappers and wrappers[-1][0] >= depth:
-            wrappers.pop()
-        if link_depth > depth:
-            link_depth = -1
-        block = None
-
-    at = 0
-    for m in (_XHTML_TOKEN if _XHTML.match(page) else _TOKEN).finditer(page):
-        if m.start() > at:
-            text(page[at:m.start()])
-        at = m.end()
-        raw = m.group(1)
-        if raw is not None:
-            continue
-        name = m.group(3) or m.group(6)
-        if name is None:
-            continue
-        tag = name.lower()
-        ending = bool(m.group(2) or m.group(5))
-        if tag == "br" or tag == "hr":
-            if tag == "hr":
-                block = None
-            else:
-                text(" ")
-            continue
-        if tag in INLINE:
-            if inline_aside:
-                if not ending and tag == inline_aside[0] and tag not in VOID:
-                    inline_aside.append(tag)
-                elif ending and tag == inline_aside[0]:
-                    inline_aside.pop()
-                continue
-            if tag == "a":
-                link_depth = -1 if ending else len(tags)
-            if not ending and tag not in VOID and _set_aside(tag, m.group(4) or m.group(7) or ""):
-                inline_aside.append(tag)
-            continue
-        inline_aside.clear()
-        if ending:
-            for depth in range(len(tags) - 1, -1, -1):
-                if tags[depth] == tag:
-                    pop_to(depth)
-                    break
-            else:
-                block = None
-            continue
-        if "p" in tags:
-            pop_to(len(tags) - 1 - tags[::-1].index("p"))
+            self.block = _Block(self.stack_paths[-1], self.stack[-1], self.wrappers[-1][1] if self.wrappers else 0)
+            self.page.blocks.append(self.block)
+            self.parts = []
+        self.parts.append(piece)
+        if self.link_place:
+            self.block.linked += len(piece.strip())
+
+    def close_to(self, place: int) -> None:
+        """Close the element at a place of the stack and all in it."""
+        page = self.page
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            self.stack_paths.pop()
+            page.last[element] = len(page.tag) - 1
+            self.open_at[page.tag[element]].pop()
+        if self.aside_from >= place:
+            self.aside_from = 0
+        while self.wrappers and self.wrappers[-1][0] >= place:
+            self.wrappers.pop()
+        if self.link_place > place:
+            self.link_place = 0
+        self.end_block()
+
+    def end_block(self) -> None:
+        if self.block is not None:
+            self.block.text = " ".join(html.unescape("".join(self.parts)).split())
+            self.block, self.parts = None, []
+
+    def place_of(self, tag: str) -> int:
+        """Place of the innermost open element of the tag, 0 if there is none."""
+        places = self.open_at.get(tag)
+        return places[-1] if places else 0
+
+    def _inline(self, tag: str, ending: bool, attributes: str) -> None:
+        if self.inline_hidden:
+            if not ending and tag == self.inline_hidden[0] and tag not in VOID:
+                self.inline_hidden.append(tag)
+            elif ending and tag == self.inline_hidden[0]:
+                self.inline_hidden.pop()
+            return
+        if tag == "a":
+            self.link_place = 0 if ending else len(self.stack)
+        # What an inline element is called says nothing against its words.
+        if not ending and attributes and tag not in VOID and _hidden(_attributes(attributes)):
+            self.inline_hidden.append(tag)
+
+    def _make_room(self, tag: str) -> None:
+        """Close what the start of an element ends."""
+        if self.place_of("p"):
+            self.close_to(self.place_of("p"))
         closes = CLOSES.get(tag)
         if closes:
-            scope = SCOPES[tag]
-            for depth in range(len(tags) - 1, -1, -1):
-                if tags[depth] in scope:
-                    break
-                if tags[depth] in closes:
-                    pop_to(depth)
-        if tag in HEADINGS and tags and tags[-1] in HEADINGS:
-            pop_to(len(tags) - 1)
-        if tag == "body" and "head" in tags:
-            pop_to(tags.index("head"))
-        block = None
-        if tag in VOID:
-            continue
-        attributes = m.group(4) or m.group(7) or ""
+            scope = max(self.place_of(t) for t in SCOPES[tag])
+            outer = [places[at] for t in closes if (places := self.open_at.get(t)) and (at := bisect_right(places, scope)) < len(places)]
+            if outer:
+                self.close_to(min(outer))
+        if tag in HEADINGS and self.page.tag[self.stack[-1]] in HEADINGS:
+            self.close_to(len(self.stack) - 1)
+        if tag == "body" and self.place_of("head"):
+            self.close_to(self.open_at["head"][0])
+
+    def tag(self, tag: str, ending: bool, attributes: str) -> None:
+        if tag == "br":
+            self.text(" ")
+        elif tag == "hr":
+            self.end_block()
+        elif tag in INLINE:
+            self._inline(tag, ending, attributes)
+        else:
+            self.inline_hidden.clear()
+            if ending:
+                if self.place_of(tag):
+                    self.close_to(self.place_of(tag))
+                self.end_block()
+                return
+            self._make_room(tag)
+            self.end_block()
+            if tag not in VOID:
+                self._open(tag, _attributes(attributes) if attributes else [])
+
+    def _open(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        page, place = self.page, len(self.stack)
         # A header is the page's unless it heads an article.
-        aside = _set_aside(tag, attributes) or ("wrapper" if tag == "header" and not ({"article", "main"} & set(tags)) else "")
-        count += 1
-        if aside == "always" and aside_from < 0:
-            aside_from = len(tags)
+        aside = _set_aside(tag, attributes) or (
+            "wrapper" if tag == "header" and not (self.place_of("article") or self.place_of("main")) else "")
+        element = page.open(tag, self.stack[-1], _says(tag, attributes))
+        if aside == "always" and not self.aside_from:
+            self.aside_from = place
         elif aside == "wrapper":
-            wrappers.append((len(tags), count))
-        elif tag in ("article", "main") and aside_from < 0:
-            mains.append((tag, frozenset(i for _, i in wrappers)))
-        tags.append(tag)
-        ids.append(count)
-    if at < len(page):
-        text(page[at:])
-    out = []
-    left_out = _left_out(found, mains)
-    for b in found:
-        if b.aside & left_out:
-            continue
-        body = " ".join(html.unescape("".join(b.parts)).split())
-        if body:
-            out.append((body, b.path, b.elements, min(1.0, b.linked / len(body))))
-    return out
+            page.wrapper_parent[element] = self.wrappers[-1][1] if self.wrappers else 0
+            self.wrappers.append((place, element))
+        elif tag in ("article", "main") and not self.aside_from:
+            page.marked.append((element, self.wrappers[-1][1] if self.wrappers else 0))
+        self.stack.append(element)
+        self.stack_paths.append(page.path(self.stack_paths[-1], tag))
+        self.open_at.setdefault(tag, []).append(place)
+
+
+def read_page(source: str) -> _Page:
+    reader, at = _Reader(), 0
+    for m in (_XHTML_TOKEN if _XHTML.match(source) else _TOKEN).finditer(source):
+        if m.start() > at:
+            reader.text(source[at:m.start()])
+        at = m.end()
+        name = m.group(3) or m.group(6)
+        if m.group(1) is None and name is not None:
+            reader.tag(name.lower(), bool(m.group(2) or m.group(5)), m.group(4) or m.group(7) or "")
+    if at < len(source):
+        reader.text(source[at:])
+    reader.end_block()
+    reader.close_to(1)
+    reader.page.last[0] = len(reader.page.tag) - 1
+    return reader.page
+
+
+def _left_out(page: _Page) -> set[int]:
+    """Set-aside elements that stay so, and all such inside them."""
+    above = page.wrapper_parent  # parents come before what is in them
+    clear: set[int] = set()
+
+    def clear_around(wrapper: int) -> None:
+        while wrapper and wrapper not in clear:
+            clear.add(wrapper)
+            wrapper = above[wrapper]
+
+    for element, wrapper in page.marked:
+        if page.tag[element] == "main":
+            clear_around(wrapper)
+
+    def out() -> set[int]:
+        found: set[int] = set()
+        for wrapper, parent in above.items():
+            if wrapper not in clear or parent in found:
+                found.add(wrapper)
+        return found
+
+    inside = out()
+    if all(wrapper in inside for _, wrapper in page.marked):  # no article is outside
+        for _, wrapper in page.marked:
+            clear_around(wrapper)
+        if not page.marked:
+            sizes = dict.fromkeys(above, 0)
+            outside = total = 0
+            for b in page.blocks:
+                size = len(b.text)
+                total += size
+                if b.wrapper:
+                    sizes[b.wrapper] += size
+                else:
+                    outside += size
+            for wrapper in reversed(above):
+                if above[wrapper]:
+                    sizes[above[wrapper]] += sizes[wrapper]
+            if outside < LITTLE * total:
+                clear.update(w for w in above if 2 * sizes[w] > total)
+    return out()
+
+
+# A block as it is judged: text, path, innermost element, share of linked text.
+Found = tuple[str, int, int, float]
+
+
+def blocks_of(page: _Page) -> list[Found]:
+    """Blocks in page order, without those that are set aside."""
+    left_out = _left_out(page)
+    return [(b.text, b.path, b.element, min(1.0, b.linked / len(b.text))) for b in page.blocks if b.text and b.wrapper not in left_out]
 
 
 def _weight(length: float, points: float) -> float:
     return math.log1p(length) * (1.0 + math.log1p(points))
 
 
-def path_weights(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], float]]) -> dict[tuple[str, ...], float]:
-    """Fused weight of each tag path: smoothed ratios of text and of punctuation to its blocks."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+def path_weights(blocks: list[Found]) -> tuple[dict[int, float], dict[int, float]]:
+    """Fused weight of each tag path, of smoothed ratios of text and of punctuation to its blocks; and its unlinked text."""
+    sums: dict[int, list[float]] = {}
     for body, path, _, linked in blocks:
         s = sums.setdefault(path, [0.0, 0.0, 0.0])
         s[0] += len(body) * (1.0 - linked)
@@ -271,50 +387,111 @@ def path_weights(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...], float
         padded = [values[0], *values, values[-1]]
         return [side * padded[i] + middle * padded[i + 1] + other * padded[i + 2] for i in range(len(values))]
 
-    weights: dict[tuple[str, ...], float] = {}
+    weights: dict[int, float] = {}
     for (_, path, _, _), length, point in zip(blocks, smooth(lengths), smooth(points)):
         weights[path] = weights.get(path, 0.0) + _weight(length, point)
-    return {path: w / sums[path][2] for path, w in weights.items()}
+    return {path: w / sums[path][2] for path, w in weights.items()}, {path: s[0] for path, s in sums.items()}
+
+
+def _threshold(weights: dict[int, float], sizes: dict[int, float]) -> float:
+    """Mean or spread of the weights by text, whichever is larger, but never above the path with the most text."""
+    total = sum(sizes.values())
+    shares = {p: sizes[p] / total if total else 1.0 / len(sizes) for p in sizes}
+    mean = sum(weights[p] * shares[p] for p in weights)
+    spread = math.sqrt(sum(shares[p] * (weights[p] - mean) ** 2 for p in weights))
+    return min(weights[max(sizes, key=sizes.__getitem__)], max(mean, spread))
+
+
+def _marked(page: _Page, blocks: list[Found]) -> int | None:
+    """The article or main that is the article: it holds most of the text in any such element."""
+    if not page.marked:
+        return None
+    elements = [e for _, _, e, _ in blocks]  # in page order, but not always ascending
+    order = sorted(range(len(blocks)), key=elements.__getitem__)
+    ascending = [elements[i] for i in order]
+    upto = [0.0]
+    for i in order:
+        upto.append(upto[-1] + len(blocks[i][0]) * (1.0 - blocks[i][3]))
+
+    def size(element: int) -> float:
+        return upto[bisect_right(ascending, page.last[element])] - upto[bisect_right(ascending, element - 1)]
+
+    outer, total, end = [], 0.0, -1
+    for element, _ in page.marked:
+        if element > end:
+            outer.append(element)
+            total, end = total + size(element), page.last[element]
+    for tag in ("article", "main"):
+        best = max((e for e, _ in page.marked if page.tag[e] == tag), key=size, default=None)
+        if best is not None and size(best) > 0 and 2 * size(best) > total:
+            return best
+    return None
 
 
-def _article(chosen: list[tuple[tuple[str, ...], tuple[int, ...]]]) -> int | None:
-    """The smallest element around all chosen blocks (path, elements) that is no part of a text, or an article or main around it."""
-    path, elements = chosen[0]
-    depth = len(elements)
-    for _, others in chosen:
-        depth = min(depth, len(others))
-        while depth and elements[depth - 1] != others[depth - 1]:
-            depth -= 1
-    for tag in ("article", "main"):
-        if tag in path[:depth]:
-            return elements[path.index(tag)]
-    while depth and path[depth - 1] in PARTS:
-        depth -= 1
-    return elements[depth - 1] if depth else None
+def _around(page: _Page, chosen: list[int]) -> int:
+    """The smallest element around all of some elements that is no part of a text; 0 for the page."""
+    at = chosen[0]
+    low, high = min(chosen), max(chosen)
+    while at and not (at <= low and high <= page.last[at]):
+        at = page.parent[at]
+    while at and page.tag[at] in PARTS:
+        at = page.parent[at]
+    return at
 
 
-def main_text(page: str | None) -> str:
+def main_text(source: str | None) -> str:
     """Text of the article of a page; empty if there is none."""
-    blocks = blocks_of(page or "")
+    page = read_page(source or "")
+    blocks = blocks_of(page)
     if not blocks:
         return ""
-    weights = path_weights(blocks)
-    values = list(weights.values())
-    mean = sum(values) / len(values)
-    spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    threshold = min(max(values), max(spread, mean))
+    weights, sizes = path_weights(blocks)
+    threshold = _threshold(weights, sizes)
     chosen = {path for path, w in weights.items() if w >= threshold}
-    article = _article([(path, elements) for _, path, elements, _ in blocks if path in chosen])
-    around = {e for _, path, elements, _ in blocks if path in chosen for e in elements}
+    article = _marked(page, blocks)
+    is_marked = article is not None
+    if is_marked:
+        own: dict[int, float] = {}
+        for body, path, element, linked in blocks:
+            if page.holds(article, element):
+                own[path] = own.get(path, 0.0) + len(body) * (1.0 - linked)
+        chosen.add(max(own, key=own.__getitem__))
+    else:
+        article = _around(page, [e for _, path, e, _ in blocks if path in chosen])
+    around = {0}
+    for _, path, element, _ in blocks:
+        if path in chosen and page.holds(article, element):
+            while element not in around:
+                around.add(element)
+                element = page.parent[element]
+    # Whether a holder may be plain: not where the article is all of the page.
+    bounded = page.tag[article] not in ("", "html", "body")
+
+    # By element: whether it and all up to the article or something chosen are text by what they say.
+    open_ = {article: True}
+
+    def belongs(element: int) -> bool:
+        way = []
+        while element not in open_ and element not in around:
+            way.append(element)
+            element = page.parent[element]
+        value = open_.get(element, True)
+        for e in reversed(way):
+            value = value and (page.says[e] == _TEXT or (bounded and page.says[e] == _PLAIN))
+            open_[e] = value
+        return value
+
     taken = []
     follows = False  # whether the next block but headings is given
-    for body, path, elements, linked in reversed(blocks):
-        given = path in chosen
-        heading = not HEADINGS.isdisjoint(path)
-        if not given and linked < MOSTLY_LINKS and (article is None or article in elements):
-            holder = max((d for d, tag in enumerate(path) if tag not in PARTS), default=-1)
-            given = (holder < 0 or elements[holder] in around or _weight(len(body) * (1.0 - linked), len(PUNCTUATION.findall(body)))
-                     >= OWN_SHARE * threshold or (heading and (follows or "h1" in path)))
+    for body, path, element, linked in reversed(blocks):
+        inside = page.holds(article, element)
+        tags = page.path_tags[path]
+        given = inside and path in chosen
+        heading = not HEADINGS.isdisjoint(tags)
+        if inside and not given and (linked < MOSTLY_LINKS or (is_marked and belongs(element))):
+            given = (belongs(element) or not SOLID.isdisjoint(tags)
+                     or _weight(len(body) * (1.0 - linked), len(PUNCTUATION.findall(body))) >= OWN_SHARE * threshold
+                     or (heading and (follows or "h1" in tags)))
         if given:
             taken.append(body)
         if given or not heading:
