@@ -125,13 +125,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, min_similarity: float | N
     return _best_per_left(vb.against_cells(visits, placed, cells, kernel, _MATCH, limits), k)
 
 
-def similar_pairs(rows: DataFrame, min_similarity: float, limit: int = MERGE_PAIRS,
-                  limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
-    """The ``limit`` most similar pairs above a strict bound: (rank, id1, id2, similarity).
-
-    id1 < id2; ties go to the lower ids.  Each block hands on its own best
-    ``limit`` pairs, so the last sort sees that many rows per block.
-    """
+def best_pairs_kernel(min_similarity: float, limit: int) -> vb.Kernel:
+    """The best ``limit`` pairs (id1 < id2) of two blocks above a strict bound."""
 
     def kernel(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
         scores = vb.similarities(a, b)
@@ -149,6 +144,18 @@ def similar_pairs(rows: DataFrame, min_similarity: float, limit: int = MERGE_PAI
         rows_, cols = rows_[order], cols[order]
         return vb.result_batch(_PAIR, a.id[rows_], b.id[cols], scores[rows_, cols])
 
+    return kernel
+
+
+def similar_pairs(rows: DataFrame, min_similarity: float, limit: int = MERGE_PAIRS,
+                  limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
+    """The ``limit`` most similar pairs above a strict bound: (rank, id1, id2, similarity).
+
+    id1 < id2; ties go to the lower ids.  Each block hands on its own best
+    ``limit`` pairs, so the last sort sees that many rows per block.
+    """
+
+    kernel = best_pairs_kernel(min_similarity, limit)
     base = vb.fetch_if_small(rows, limits)
     if base is not None:
         pairs = vb.against_broadcast(rows, base, kernel, _PAIR)

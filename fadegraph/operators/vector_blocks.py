@@ -177,7 +177,11 @@ def partition_base(base: DataFrame, limits: SimilarityLimits) -> tuple[DataFrame
     wanted = max(1, min(limits.max_cells, math.ceil(base.count() / limits.block_rows)))
     picked = Block.read(base.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow())
     pivots = np.unique(np.round(_unit(picked), 9), axis=0)
-    pivots /= np.sqrt((pivots * pivots).sum(axis=1))[:, None]
+    return assign_cells(base, pivots / np.sqrt((pivots * pivots).sum(axis=1))[:, None])
+
+
+def assign_cells(base: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, Cells]:
+    """Base rows with the cell of their nearest pivot and the distance to it; pivots have length 1."""
     shared = base.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(base.schema.fields + [
         T.StructField("cell", T.LongType()), T.StructField("gap", T.DoubleType())])

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from fadegraph import SearchConfig, SimilarityLimits, Snapshot
 from fadegraph.functions import scoring, vectors
 from fadegraph.functions.embed import embed_hashed
-from fadegraph.operators import aggregate, clusters, density, discover, graph, ingest, merge, search, updates
+from fadegraph.operators import (
+    aggregate, approximate, clusters, density, discover, graph, ingest, merge, search, similarity, updates)
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
@@ -171,6 +172,26 @@ def _(t: Tables) -> DataFrame:
     return merge.similar_topics(t.topics, limits=SMALL_LIMITS).select("rank", "id1", "id2", _six("similarity"))
 
 
+@_query("j2_cells_recall", "select count(*) as n_queries, true as finds_enough from queries", "queries")
+def _(t: Tables) -> DataFrame:
+    # Every query against the nearest cells of the stored topics; the exact search tells what was missed.
+    place = f"{ensure_checkpoint_dir(t.spark)}/cells-{uuid.uuid4().hex}"
+    stored = approximate.store_cells(vb.side(t.topics, "id", "topic_embedding"), place)
+    asked = vb.side(t.queries, "query_id", "query_embedding")
+    found, measured = approximate.nearest_in_cells(stored, asked, 3)
+    exact = similarity.nearest(asked, vb.side(t.topics, "id", "topic_embedding"), 3)
+    recall = approximate.share_found(exact, found, ["l_id", "r_id"])
+    return found.agg(F.count_distinct("l_id").alias("n_queries"), F.lit(min(recall, measured) >= 0.9).alias("finds_enough"))
+
+
+@_query("j4_hashed_recall", f"select count(*) as n_pairs, true as finds_enough from ({_PAIRS})", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    points = cut_lineage(vb.side(t.topics, "id", "topic_embedding"))
+    found = cut_lineage(approximate.similar_pairs_hashed(points, 0.85))
+    recall = approximate.share_found(similarity.similar_pairs(points, 0.85), found, ["id1", "id2"])
+    return found.agg(F.count(F.lit(1)).alias("n_pairs"), F.lit(recall >= 0.9).alias("finds_enough"))
+
+
 @_query("j4_follow_best", f"""
 select id1, id2, round(similarity, 6) as similarity from (
   select a.id as id1, b.id as id2, {_COS}(a.topic_embedding, b.topic_embedding) as similarity,
