@@ -13,7 +13,8 @@ windows mostly share one, which makes the sketch about twenty times smaller.
 3. A second pass hands on the windows whose anchor is estimated to occur in
    more than one text; they are grouped exactly, by 128 bits of hash, with
    partial aggregation, so a window that a third of all texts share is one row
-   of each task.
+   of each task.  Windows that many rows hold are then looked up from a broadcast
+   table, counted before, and only the rows of the others are shuffled.
 4. The covered words of each text are removed.
 
 The merged sketch follows the input up to a bound (``sketch.MAX_WIDTH``, 64 MB
@@ -40,6 +41,8 @@ WINDOW_WORDS = 50
 ANCHOR_WORDS = 8
 # Pairs of a digest and an id that may be broadcast, once counted.
 MAX_BROADCAST = 500_000
+# A window that more rows hold is heavy.
+HEAVY_ROWS = 1_000
 _SECOND_BASE = 0x2545F4914F6CDD1D
 
 
@@ -180,8 +183,14 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
     windows = write_out(lone.mapInArrow(
         _repeated_windows(window, sketch), "w1 long, w2 long, did long, mark long, mark2 long, place int"))
     sketch.destroy()
-    shared = windows.groupBy("w1", "w2").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low < high")
-    hits = windows.join(shared.select("w1", "w2", "low"), ["w1", "w2"]).filter("did > low").select(
+    shared = windows.groupBy("w1", "w2").agg(
+        F.min("did").alias("low"), F.max("did").alias("high"), F.count("*").alias("held")).filter("low < high")
+    shared = write_out(shared.select("w1", "w2", "low", "held"))
+    # Windows that very many rows hold are few; sent to all tasks, none of their rows has to be shuffled.
+    heavy = broadcast_if_small(shared.filter(F.col("held") > HEAVY_ROWS).select("w1", "w2", "low"), MAX_BROADCAST)
+    light = shared.filter(F.col("held") <= HEAVY_ROWS).select("w1", "w2", "low")
+    usual = windows.join(heavy.select("w1", "w2"), ["w1", "w2"], "left_anti")
+    hits = windows.join(heavy, ["w1", "w2"]).unionByName(usual.join(light, ["w1", "w2"])).filter("did > low").select(
         "did", "mark", "mark2", "place")
     marks = hits.unionByName(later.select("did", "mark", "mark2", F.lit(-1).alias("place"))).groupBy("did", "mark", "mark2").agg(
         F.collect_set("place").alias("places"))
