@@ -104,6 +104,7 @@ def top_instances(chosen: DataFrame, queries: DataFrame, instances: DataFrame, n
     topic that holds most of them is many tasks; each block gives its n best
     without texts, and only the final ones fetch theirs.
     """
+    chosen = cut_lineage(chosen)  # used three times; the search behind it runs once
     wanted = cut_lineage(chosen.select("topic_id").distinct())
     held = instances.select(F.col("id").alias("instance_id"), "topic_id", "content_embedding", "relevance_score", "importance").join(
         wanted, "topic_id", "left_semi")

@@ -21,7 +21,7 @@ from fadegraph.operators import (
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
-from fadegraph.schema import clock, complete, violations
+from fadegraph.schema import clock, complete, vector_width, violations, width_violations
 from fadegraph.session import cut_lineage, ensure_checkpoint_dir
 from fadegraph.sources import openie, tables, tabular, topic_map
 from fadegraph.streaming import fading, loops
@@ -38,6 +38,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _scratch(t: "Tables") -> str:
+    """A folder of its own beside the checkpoints, for what a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(t.spark)}/query-{uuid.uuid4().hex}"
+
+
 class Tables:
     """The given tables and those derived from them, by name."""
 
@@ -731,6 +736,42 @@ def _(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("n_instances"), F.min("instance").alias("first_instance"))
 
 
+def _vector_lloyd(steps: int, k: int) -> str:
+    """KMeans by file on whole vectors, step by step."""
+    sql = f"""
+with points as (select label % 3 as source_file, vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+c0 as (
+  select * from (select source_file, row_number() over (partition by source_file order by vec_id) as cluster, v as centre
+    from (select source_file, v, min(vec_id) as vec_id from points group by 1, 2)) where cluster <= {k})"""
+    for step in range(steps + 1):
+        sql += f""",
+a{step} as materialized (
+  select source_file, vec_id, v, cluster, round(list_distance(v, centre), 12) as gap from points join c{step} using (source_file)
+  qualify row_number() over (partition by source_file, vec_id order by round(list_distance(v, centre), 12), cluster) = 1),
+c{step + 1} as (
+  select source_file, cluster, list(x order by place) as centre from (
+    select source_file, cluster, place, avg(x) as x from (
+      select source_file, cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{step}) group by 1, 2, 3) group by 1, 2)"""
+    return sql + f"""
+select cast(source_file as varchar) as source_file, vec_id as ord,
+  'v' || cast(first_value(vec_id) over (partition by source_file, cluster order by gap, vec_id) as varchar) as topic from a{steps}"""
+
+
+@_query("a6_kmeans_vectors", _vector_lloyd(3, 6))
+def _(t: Tables) -> DataFrame:
+    vectors = t.embeddings.select(F.col("vec_id").alias("triple_ord"), "embedding")
+
+    class Given:
+        @staticmethod
+        def add(df: DataFrame, _: str) -> DataFrame:
+            return df.join(vectors, "triple_ord")
+
+    triples = t.embeddings.select(
+        (F.col("label") % 3).cast("string").alias("source_file"), F.col("vec_id").alias("triple_ord"),
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("subject"), F.lit("is").alias("relation"), F.lit("given").alias("object"))
+    return clusters.kmeans_topics(triples, Given, n_clusters=6, max_iter=3).select("source_file", "ord", "topic")
+
+
 # Every customer is a file of two triples, in one of the layouts by its segment.
 def _triple_files(t: Tables) -> DataFrame:
     nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -798,7 +839,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @_query("r12_record_texts", """
-select cast(conv_id as varchar) as source_file, role, count(*) as n_texts, sum(length(text)) as n_chars
+select cast(conv_id as varchar) as source_file, role, count(*) as n_texts, sum(length(text)) as n_chars,
+  md5(string_agg(md5(text), '' order by md5(text))) as texts_digest
 from conversations where text <> '' group by 1, 2""")
 def _(t: Tables) -> DataFrame:
     # Each turn is a file of one record; the role decides the field that holds the text.
@@ -810,7 +852,28 @@ def _(t: Tables) -> DataFrame:
     parts = F.split("source_file", r"\|")
     return openie.record_texts(files).filter(F.col("text") != "").groupBy(
         parts[0].alias("source_file"), parts[1].alias("role")).agg(
-        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"))
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("text")).alias("n_chars"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("text"))), "")).alias("texts_digest"))
+
+
+# A folder with one triple file for each nation, and files of another kind.
+@_query("r2_scan_by_suffix", """
+select row_number() over (partition by s_nationkey order by s_suppkey) - 1 as triple_ord, s_name as subject,
+  'located in' as relation, n_name as object, dense_rank() over (order by n_nationkey) as file_no
+from supplier join nation on s_nationkey = n_nationkey""")
+def _(t: Tables) -> DataFrame:
+    folder = f"{_scratch(t)}/files"
+    item = F.struct(F.col("s_suppkey"), F.struct(F.col("s_name").alias("arg1"), F.lit("located in").alias("rel"), F.col("n_name").alias("arg2")).alias("item"))
+    listed = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["item"])).alias("value"))
+    # Rows in order, one in a file; names follow the order.
+    texts = listed.coalesce(1).sortWithinPartitions("n_nationkey").select("value")
+    texts.write.option("maxRecordsPerFile", 1).text(folder)
+    t.region.select(F.lit("not triples").alias("arg1")).write.mode("append").json(folder)
+    found = openie.read_triples(t.spark, folder, ".txt")
+    order = found.groupBy("source_file").agg(F.count(F.lit(1))).select(
+        "source_file", F.row_number().over(Window.orderBy("source_file")).alias("file_no"))
+    return found.join(order, "source_file").select("triple_ord", "subject", "relation", "object", "file_no")
 
 
 # --- topic maps and tables ---------------------------------------------------
@@ -1274,6 +1337,32 @@ def _(t: Tables) -> DataFrame:
     return clusters.leader_clusters(texts).select("ord", "cluster")
 
 
+# Clusters by leaders, each named by the member nearest to its mean; names are longer than what is kept of them.
+@_query("l11_representatives", _LEADERS.replace("recursive\n", """recursive
+mixed as (select cast(substr(id, 2) as bigint) as vec_id, topic_embedding as v from memory_topics),
+""", 1).replace("select m.vec_id as ord, coalesce(", "select * from (with found as (select m.vec_id as ord, m.v, coalesce(", 1) + f"""),
+spread as (select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from found),
+means as (select cluster, list(x order by place) as centre, any_value(n) as n from (
+  select cluster, place, avg(x) as x, count(*) as n from spread group by 1, 2) group by cluster),
+named as (
+  select cluster, arg_min(ord, (-round({_COS}(v, centre), 12), ord)) as first from found join means using (cluster) where n >= 2 group by 1)
+select ord, cluster, substr(repeat('topic ' || cast(first as varchar) || ' ', 20), 1, 80) as topic from found join named using (cluster))""",
+        "memory_topics")
+def _(t: Tables) -> DataFrame:
+    ord_ = F.substring("id", 2, 9).cast("long")
+    texts = t.topics.select(F.lit("topics").alias("source_file"), ord_.alias("ord"),
+                            F.repeat(F.concat(F.lit("topic "), ord_.cast("string"), F.lit(" ")), 20).alias("text"),
+                            F.col("topic_embedding").alias("embedding"))
+    named = clusters.cluster_topics(cut_lineage(clusters.leader_clusters(texts)), 2)
+    return named.select("ord", "cluster", "topic")
+
+
+@_query("f6_vector_width", "select vec_id, least(60 + label, 64) as width from embeddings where 60 + label < 64")
+def _(t: Tables) -> DataFrame:
+    cut = t.embeddings.select("vec_id", F.slice("embedding", F.lit(1), 60 + F.col("label")).alias("vector"))
+    return width_violations(cut, "vector", vector_width(t.embeddings, "embedding")).select("vec_id", F.size("vector").alias("width"))
+
+
 _MAINTAINED = _DBSCAN + f""",
 coordinates as (
   select cluster, pos, avg(value) as value from (
@@ -1434,3 +1523,83 @@ def _(t: Tables) -> DataFrame:
     kept = t.topics.join(changed, "id", "left").filter(~F.coalesce("is_evicted", F.lit(False)))
     folded = kept.select("id", *[F.coalesce(f"_{c}", c).alias(c) for c in names])
     return folded.select("id", _six("strength"), "access_count", "last_accessed", F.round(F.log("half_life_days"), 6).alias("log_half_life"))
+
+
+# --- streams over a stored memory --------------------------------------------
+
+
+def _stored(t: Tables) -> str:
+    path = f"{_scratch(t)}/memory"
+    tables.save_snapshot(t.snapshot, path)
+    return path
+
+
+@_query("t2_import_stream", _IMPORTED + """
+select home, sha256(content) as content_sha256, count(*) as n_instances from (
+  select topic_id as home, content from memory_instances union all select home, content from added) group by 1, 2""",
+        _INGEST_TABLES + " memory_instances")
+def _(t: Tables) -> DataFrame:
+    # The entries come in two batches, the earlier ones first; each start goes on where the last one ended.
+    memory, inbox = _stored(t), f"{_scratch(t)}/inbox"
+    entries = t.ingest_entries.select("entry_ord", F.col("topic").alias("text"), F.col("topic_embedding").alias("vector"))
+    texts = t.ingest_instances.groupBy(F.col("content").alias("text")).agg(F.min_by("content_embedding", "inst_ord").alias("vector"))
+    known = cut_lineage(entries.select("text", "vector").unionByName(texts.select("text", F.col("vector").cast("array<double>"))))
+
+    def vectors(df: DataFrame, column: str, out: str) -> DataFrame:
+        named = known.select(F.col("text").alias(column), F.col("vector").alias(out))
+        return df.join(named, column)
+
+    half = t.ingest_entries.agg(F.max("entry_ord")).first()[0] // 2
+    size = t.ingest_instances.agg(F.max("inst_ord")).first()[0] + 1
+    rows = t.ingest_instances.join(entries, "entry_ord").select(
+        F.lit("stream").alias("source_file"), F.col("text").alias("topic"),
+        (F.col("entry_ord") * size + F.col("inst_ord")).alias("ord"), F.col("content").alias("instance"), "entry_ord")
+    schema = "source_file string, topic string, ord long, instance string"
+    state = f"{_scratch(t)}/state"
+    for part in (F.col("entry_ord") <= half, F.col("entry_ord") > half, None):
+        if part is not None:
+            rows.filter(part).drop("entry_ord").coalesce(1).write.mode("append").parquet(inbox)
+        stream = t.spark.readStream.schema(schema).parquet(inbox)
+        loops.remember_stream(stream, memory, state, vectors, as_of=AS_OF).awaitTermination()
+    after = tables.load_snapshot(t.spark, memory)
+    made = after.topics.join(t.topics.select("id"), "id", "left_anti").select(F.col("id").alias("topic_id"), F.col("topic_name").alias("made"))
+    return after.instances.join(made, "topic_id", "left").groupBy(
+        F.coalesce("made", "topic_id").alias("home"), F.sha2("content", 256).alias("content_sha256")).agg(F.count(F.lit(1)).alias("n_instances"))
+
+
+def _query_stream(t: Tables) -> tuple[str, str]:
+    """All queries as a stream over a stored memory, started twice: the memory and the answers."""
+    memory, place = _stored(t), _scratch(t)
+    t.queries.write.parquet(f"{place}/asked")
+    stream = t.spark.readStream.schema("query_id string, query_embedding array<float>").parquet(f"{place}/asked")
+    for _ in range(2):
+        loops.recall_stream(stream, memory, f"{place}/state", f"{place}/answers", as_of=AS_OF).awaitTermination()
+    return memory, f"{place}/answers"
+
+
+@_query("t3_query_stream")
+def _(t: Tables) -> DataFrame:
+    _, answers = _query_stream(t)
+    return t.spark.read.parquet(answers).select(
+        "query_id", "rank", "topic_id", "topic_name", _six("score"), F.size("contents").alias("n_contents"),
+        F.md5(F.array_join("contents", "|")).alias("contents"))
+
+
+@_query("t3_reinforced_topics")
+def _(t: Tables) -> DataFrame:
+    memory, _ = _query_stream(t)
+    return tables.load_snapshot(t.spark, memory).topics.select("id", _six("strength"), "access_count", "last_accessed")
+
+
+@_query("t1_maintained_memory")
+def _(t: Tables) -> DataFrame:
+    memory = _stored(t)
+    loops.maintain_once(t.spark, memory, AS_OF)
+    return graph.stats(tables.load_snapshot(t.spark, memory)).withColumns({
+        "avg_topic_strength": F.round("avg_topic_strength", 6), "avg_edge_weight": F.round("avg_edge_weight", 6)})
+
+
+# What goes through a stream or the store is what the batch gives.
+ORACLES["t3_query_stream"] = ORACLES["g2_read"]
+ORACLES["t3_reinforced_topics"] = ORACLES["u3_u4_reinforced_topics"]
+ORACLES["t1_maintained_memory"] = ORACLES["u16_maintain"]
