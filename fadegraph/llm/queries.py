@@ -189,4 +189,24 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
 FROM read""",
     "op13_centroid_clustering": _clustering_sql(),
+    # Shingles are known by their words joined; components are what links reach, the smallest id in each.
+    "op7_ngram_jaccard": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), '[\x20\x09-\x0D]+') AS raw FROM documents),
+words AS (SELECT doc_id, CASE WHEN raw IS NULL OR raw = [''] THEN CAST([] AS VARCHAR[]) ELSE raw END AS w FROM docs),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [1] ELSE range(1, len(w) - 2) END) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT x, y FROM ways UNION SELECT r.doc_id, b.y FROM reach r JOIN ways b ON b.x = r.other),
+lowest AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id),
+counts AS (SELECT x AS doc_id, count(*) AS n FROM ways GROUP BY x)
+SELECT doc_id, coalesce(s.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, coalesce(c.n, 0) AS n_links
+FROM words LEFT JOIN sizes s USING (doc_id) LEFT JOIN lowest USING (doc_id) LEFT JOIN counts c USING (doc_id)""",
 }
