@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fadegraph.functions import scoring
@@ -13,6 +15,24 @@ from fadegraph.session import broadcast_if_small, cut_lineage
 AsOf = str | Column | None
 
 
+@dataclass(frozen=True)
+class Counted:
+    """A changed table that counts the rows it changes while it is written or otherwise read once."""
+
+    rows: DataFrame
+    observation: Observation
+
+    @property
+    def n_affected(self) -> int:
+        """Changed rows; waits for the first action on ``rows`` to end."""
+        return self.observation.get["n_affected"]
+
+
+def _counting(rows: DataFrame, affected: Column) -> tuple[DataFrame, Observation]:
+    observation = Observation()
+    return rows.observe(observation, F.count_if(affected).alias("n_affected")), observation
+
+
 def decay_topics(topics: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Halve strength every ``half_life_days`` since the last access, floor 0.01.
 
@@ -48,6 +68,12 @@ def decay_idle_edges(edges: DataFrame, as_of: AsOf = None) -> DataFrame:
         "weight", F.when(idle, F.greatest(decayed, F.lit(0.01))).otherwise(F.col("weight")))
 
 
+def decay_idle_edges_counted(edges: DataFrame, as_of: AsOf = None) -> Counted:
+    """``decay_idle_edges`` with the number of decayed edges, from one scan."""
+    rows, observation = _counting(decay_idle_edges(edges, as_of), F.col("is_decayed"))
+    return Counted(rows.drop("is_decayed"), observation)
+
+
 def strengthen_topics(topics: DataFrame, accesses: DataFrame, boost: float = 0.1, as_of: AsOf = None) -> DataFrame:
     """Apply accesses (topic_id, n_accesses, last_access) to the topics.
 
@@ -124,8 +150,12 @@ def cascade(snapshot: Snapshot, gone: DataFrame) -> Snapshot:
 
 def weak_topics(topics: DataFrame, threshold: float = 0.05, as_of: AsOf = None) -> DataFrame:
     """Topics below ``threshold``, idle over 30 days and accessed under 5 times."""
-    idle = F.col("last_accessed") < clock(as_of) - F.expr("interval 30 days")
-    return topics.filter((F.col("strength") < threshold) & idle & (F.col("access_count") < 5))
+    return topics.filter(_is_weak(threshold, clock(as_of)))
+
+
+def _is_weak(threshold: float, now: Column) -> Column:
+    idle = F.col("last_accessed") < now - F.expr("interval 30 days")
+    return F.coalesce((F.col("strength") < threshold) & idle & (F.col("access_count") < 5), F.lit(False))
 
 
 def evict(snapshot: Snapshot, threshold: float = 0.05, as_of: AsOf = None) -> tuple[Snapshot, DataFrame]:
@@ -135,6 +165,20 @@ def evict(snapshot: Snapshot, threshold: float = 0.05, as_of: AsOf = None) -> tu
     return cascade(snapshot.with_tables(topics=decayed), gone), gone
 
 
+def evict_counted(snapshot: Snapshot, threshold: float = 0.05, as_of: AsOf = None) -> tuple[Snapshot, Counted]:
+    """``evict`` with the number of removed topics.
+
+    The topics are read once: the write that keeps the others counts the weak
+    ones.  Instances and edges need their ids, which are narrow.
+    """
+    now = clock(as_of)
+    decayed = decay_topics(snapshot.topics, now).drop("decayed_strength")
+    is_weak = _is_weak(threshold, now)
+    rows, observation = _counting(decayed, is_weak)
+    kept = rows.filter(~is_weak)
+    return cascade(snapshot, weak_topics(decayed, threshold, now)).with_tables(topics=kept), Counted(kept, observation)
+
+
 def fade_edges(edges: DataFrame) -> DataFrame:
     """Flat decay by 5 % of the edges above 0.1."""
     return edges.withColumn(
@@ -145,6 +189,12 @@ def prune_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(~(F.col("weight") < 0.05))
 
 
+def prune_edges_counted(edges: DataFrame) -> Counted:
+    """``prune_edges`` with the number of removed edges, from one scan."""
+    rows, observation = _counting(edges, F.col("weight") < 0.05)
+    return Counted(prune_edges(rows), observation)
+
+
 def rescore_importance(instances: DataFrame, topics: DataFrame, as_of: AsOf = None) -> DataFrame:
     """New importance from recency, relevance and distance to the topic."""
     homes = topics.select(F.col("id").alias("_home"), F.col("topic_embedding").alias("_home_vector"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fadegraph import SearchConfig, SimilarityLimits, Snapshot
-from fadegraph.functions import scoring, vectors
+from fadegraph.functions import scoring, sql, vectors
 from fadegraph.functions.embed import embed_hashed
 from fadegraph.operators import (
     aggregate, approximate, clusters, density, discover, graph, ingest, merge, search, similarity, updates)
@@ -473,6 +473,59 @@ def _(t: Tables) -> DataFrame:
     return updates.decay_idle_edges(t.edges, AS_OF).agg(F.count_if("is_decayed").alias("n_decayed"))
 
 
+@_query("a11_counted_in_write", f"""
+select (select count(*) from topic_edges where last_activated < {_TS} - interval '1 day') as n_decayed,
+  (select count(*) from topic_edges where weight < 0.05) as n_pruned,
+  (select count(*) from memory_topics where greatest({_DECAYED}, 0.01) < 0.05
+    and last_accessed < {_TS} - interval '30 days' and access_count < 5) as n_evicted""", "topic_edges memory_topics")
+def _(t: Tables) -> DataFrame:
+    # Each number comes with the write of the changed table.
+    evicted, topics = updates.evict_counted(t.snapshot, as_of=AS_OF)
+    counted = {"n_decayed": updates.decay_idle_edges_counted(t.edges, AS_OF), "n_pruned": updates.prune_edges_counted(t.edges), "n_evicted": topics}
+    place = _scratch(t)
+    for name, changed in counted.items():
+        (evicted.topics if name == "n_evicted" else changed.rows).write.parquet(f"{place}/{name}")
+    return t.spark.createDataFrame([tuple(c.n_affected for c in counted.values())], ", ".join(f"{n} long" for n in counted))
+
+
+def _registered(t: Tables) -> str:
+    prefix = f"m{uuid.uuid4().hex[:8]}"
+    sql.register(t.spark, t.snapshot, prefix)
+    return prefix
+
+
+@_query("f3_neighbors_in_sql", """
+select q.id as asked, n.id as neighbor_id, n.topic_name as neighbor_name, e.weight as edge_weight
+from memory_topics q join topic_edges e on e.from_topic = q.id join memory_topics n on e.to_topic = n.id
+where q.strength > 0.5 and e.weight >= 0.4""", "topic_edges memory_topics")
+def _(t: Tables) -> DataFrame:
+    m = _registered(t)
+    return t.spark.sql(f"""select q.id as asked, n.neighbor_id, n.neighbor_name, n.edge_weight
+        from {m}_topics q, lateral {m}_topic_neighbors(q.id, 0.4D) n where q.strength > 0.5""")
+
+
+@_query("f3_orphans_in_sql", f"select id, topic_name, strength from memory_topics where {_UNLINKED} and strength < 0.3", "memory_topics topic_edges")
+def _(t: Tables) -> DataFrame:
+    return t.spark.sql(f"select * from {_registered(t)}_orphan_topics()")
+
+
+@_query("f4_decay_in_sql", f"""
+select id, round(greatest({_DECAYED}, 0.01), 6) as strength, round({_DECAYED}, 6) as decayed_strength,
+  round(least(strength + 0.1, 1.0), 6) as boosted from memory_topics""", "memory_topics")
+def _(t: Tables) -> DataFrame:
+    m = _registered(t)
+    return t.spark.sql(f"""select d.id, round(d.strength, 6) as strength, round(d.decayed_strength, 6) as decayed_strength,
+        round({m}_clamp_add(t.strength, 0.1D), 6) as boosted
+        from {m}_decayed_topics(timestamp_ntz'{AS_OF}') d join {m}_topics t on t.id = d.id""")
+
+
+@_query("f4_weak_in_sql", f"""
+select id from memory_topics where greatest({_DECAYED}, 0.01) < 0.05 and last_accessed < {_TS} - interval '30 days' and access_count < 5""",
+        "memory_topics")
+def _(t: Tables) -> DataFrame:
+    return t.spark.sql(f"select id from {_registered(t)}_weak_topics(timestamp_ntz'{AS_OF}')")
+
+
 @_query("t4_access_fold", """
 select t.id, round(least(strength + coalesce(n, 0) * 0.1, 1.0), 6) as strength,
   access_count + coalesce(n, 0) as access_count,
