@@ -17,7 +17,7 @@ from fadegraph import SearchConfig, SimilarityLimits, Snapshot
 from fadegraph.functions import scoring, sql, vectors
 from fadegraph.functions.embed import embed_hashed
 from fadegraph.operators import (
-    aggregate, approximate, clusters, density, discover, graph, ingest, merge, search, similarity, updates)
+    aggregate, approximate, clusters, density, density_update, discover, graph, ingest, merge, search, similarity, updates)
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
@@ -1263,6 +1263,19 @@ def _(t: Tables) -> DataFrame:
     return density.dbscan(discover.small_topic_instances(t.instances), "id", "content_embedding", limits=SMALL_LIMITS)
 
 
+@_query("a16_kept_up_to_date")
+def _(t: Tables) -> DataFrame:
+    # The instances come in two batches; some of the first ones are taken away and come back with the second.
+    loose = cut_lineage(discover.small_topic_instances(t.instances).select("id", "content_embedding"))
+    part = F.pmod(F.xxhash64("id"), F.lit(4))
+    first = density_update.update_clusters(None, loose.filter(part < 3), id_="id", vector="content_embedding")
+    second = density_update.update_clusters(first, loose.filter(part > 1), loose.filter(part == 2).select("id"), "id", "content_embedding")
+    return second.select("id", "is_core", "cluster")
+
+
+ORACLES["a16_kept_up_to_date"] = ORACLES["a16_dbscan"]
+
+
 @_query("u13_discovered", _DBSCAN + """
 select concat('[INFO] Automatically discovered: ', substr(arg_min(p.content, p.id), 1, 30)) as topic_name,
   c.cluster, count(*) as n_members, round(avg(p.content_embedding[1]), 6) as first_coordinate
