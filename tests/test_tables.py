@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -103,7 +104,7 @@ def test_layouts(spark):
 
 def test_triple_files(spark, tmp_path):
     (tmp_path / "b-openie.json").write_text(LAYOUTS[2][0])
-    (tmp_path / "a-openie.json").write_text(LAYOUTS[4][0].replace("\n", " "))
+    (tmp_path / "a-openie.json").write_text(json.dumps(json.loads(LAYOUTS[4][0]), indent=1))
     (tmp_path / "other.json").write_text(LAYOUTS[0][0])
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "c-openie.json").write_text(LAYOUTS[2][0])
