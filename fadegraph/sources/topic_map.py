@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadegraph.operators.aggregate import topic_arrays
+from fadegraph.session import broadcast_if_small, cut_lineage
 from fadegraph.sources.files import read_files
+from fadegraph.sources.json_parts import CHUNK_BYTES, split_json
 
 # Positions that one topic of a file may take up.
 _STRIDE = 1 << 31
@@ -42,6 +44,27 @@ def read_topic_map(spark: SparkSession, path: str, suffix: str | None = None) ->
     return parse_topic_map(read_files(spark, path, suffix))
 
 
+def split_topic_map(spark: SparkSession, path: str, suffix: str | None = None,
+                    chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Rows (source_file, topic, ord, instance) of files that may be larger than a task, and their quarantine.
+
+    The rows of ``topic_map_rows`` and the quarantine of ``parse_topic_map``
+    for well-formed files; no list of a topic is gathered.  A file whose
+    brackets do not close, or without members, gives nothing.
+    """
+    files, members, items = split_json(spark, path, suffix, chunk_bytes)
+    whole = members.join(files.filter("not is_broken"), "source_file", "left_semi")
+    topics = cut_lineage(whole.groupBy("source_file", F.col("key").alias("topic")).agg(
+        F.min("entry_ord").alias("first_ord"), F.max("entry_ord").alias("entry_ord"),
+        F.max_by("is_listed", "entry_ord").alias("is_listed"), F.max_by(F.struct("value"), "entry_ord")["value"].alias("value")))
+    text = F.get(F.from_json(F.concat(F.lit("["), "item", F.lit("]")), "array<string>"), F.lit(0))
+    rows = items.filter("position is not null").join(
+        broadcast_if_small(topics.filter("is_listed").drop("value")), ["source_file", "entry_ord"]).select(
+        "source_file", "topic", (F.col("first_ord") * F.lit(_STRIDE) + F.col("position")).alias("ord"), text.alias("instance"))
+    quarantine = topics.filter("not is_listed").select("source_file", F.col("first_ord").alias("entry_ord"), "topic", "value")
+    return rows, quarantine
+
+
 def write_topic_map(rows: DataFrame, path: str) -> None:
     """One JSON line {topic: [texts]} per topic, or per chunk of a large one.
 
