@@ -929,6 +929,40 @@ def _(t: Tables) -> DataFrame:
     return found.join(order, "source_file").select("triple_ord", "subject", "relation", "object", "file_no")
 
 
+# Files of the orders of 4,000 keys, by turns lists and sentences; texts hold quotes, commas and brackets.
+@_query("r5_split_triples", """
+with dealt as (select *, o_orderkey // 4000 as file_no, concat('order, ', o_orderkey) as name from orders),
+placed as (select *, row_number() over (partition by file_no order by o_orderkey) - 1 as nth from dealt)
+select file_no, case when file_no % 2 = 0 then nth else 2 * nth end as triple_ord, name as subject, 'has "priority"' as relation,
+  concat(o_orderpriority, ' [', o_orderstatus, '}, {') as object from placed
+union all select file_no, 2 * nth + 1, name, 'dates\\from', cast(cast(o_orderdate as date) as varchar) from placed where file_no % 2 = 1""")
+def _(t: Tables) -> DataFrame:
+    folder = f"{_scratch(t)}/large"
+    name = F.concat(F.lit("order, "), F.col("o_orderkey").cast("string"))
+    rows = t.orders.withColumn("file_no", F.floor(F.col("o_orderkey") / 4000))
+
+    def one(names: tuple[str, str, str], relation: str, end: Column) -> Column:
+        return F.struct(name.alias(names[0]), F.lit(relation).alias(names[1]), end.alias(names[2]))
+
+    priority = F.concat("o_orderpriority", F.lit(" ["), "o_orderstatus", F.lit("}, {"))
+    said = 'has "priority"', priority
+    plain = F.to_json(one(("arg1", "rel", "arg2"), *said))
+    stanford = ("subject", "relation", "object")
+    sentence = F.to_json(F.struct(F.array(
+        one(stanford, *said), one(stanford, "dates\\from", F.col("o_orderdate").cast("date").cast("string"))).alias("triples")))
+    is_list = F.col("file_no") % 2 == 0
+    items = rows.select("file_no", F.col("o_orderkey").alias("at"), F.when(is_list, plain).otherwise(sentence).alias("value"))
+    # Every item but the first has a comma in front; brackets stand around all.
+    ends = items.groupBy("file_no").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    lines = items.join(ends, "file_no").select("file_no", "at", F.concat(
+        F.when(F.col("at") > F.col("low"), ",").when(is_list, "[").otherwise('{"sentences": ['), "value",
+        F.when(F.col("at") < F.col("high"), "").when(is_list, "]").otherwise("]}")).alias("value"))
+    lines.repartition("file_no").sortWithinPartitions("file_no", "at").drop("at").write.partitionBy("file_no").text(folder)
+    found, _ = openie.split_triples_and_quarantine(t.spark, f"{folder}/*", ".txt", chunk_bytes=1 << 16)
+    return found.select(F.regexp_extract("source_file", r"file_no=(\d+)", 1).cast("long").alias("file_no"),
+                        "triple_ord", "subject", "relation", "object")
+
+
 # --- topic maps and tables ---------------------------------------------------
 
 
@@ -952,6 +986,27 @@ def _(t: Tables) -> DataFrame:
     return topic_map.topic_map_rows(entries).select("source_file", "topic", "ord", F.md5("instance").alias("instance"))
 
 
+# A file for each nation: its customers with two texts each, then a list of none and a plain text.
+@_query("r1_split_topic_map", """
+with placed as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as nth from customer)
+select c_nationkey as file_no, c_name as topic, nth * 2147483648 as ord, concat(c_mktsegment, ', "', c_nationkey, '"') as instance from placed
+union all select c_nationkey, c_name, nth * 2147483648 + 1, '] , \\}' from placed
+union all select c_nationkey, 'about', count(*), 'x, y' from customer group by 1""")
+def _(t: Tables) -> DataFrame:
+    folder = f"{_scratch(t)}/maps"
+    texts = F.array(F.concat("c_mktsegment", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"')), F.lit("] , \\}"))
+    member = F.to_json(F.map_from_arrays(F.array("c_name"), F.array(texts)))
+    ends = t.customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+    lines = t.customer.join(ends, "c_nationkey").select(
+        F.col("c_nationkey").alias("file_no"), F.col("c_custkey").alias("at"), F.concat(
+            F.when(F.col("c_custkey") > F.col("low"), ",").otherwise("{"), F.substring(member, F.lit(2), F.length(member) - 2),
+            F.when(F.col("c_custkey") < F.col("high"), "").otherwise(', "about": "x, y", "none": []}')).alias("value"))
+    lines.repartition("file_no").sortWithinPartitions("file_no", "at").drop("at").write.partitionBy("file_no").text(folder)
+    rows, quarantine = topic_map.split_topic_map(t.spark, f"{folder}/*", ".txt", chunk_bytes=1 << 12)
+    found = rows.unionByName(quarantine.select("source_file", "topic", F.col("entry_ord").alias("ord"), F.col("value").alias("instance")))
+    return found.select(F.regexp_extract("source_file", r"file_no=(\d+)", 1).cast("long").alias("file_no"), "topic", "ord", "instance")
+
+
 @_query("r1_quarantine", """
 select concat('conv_', cast(conv_id as varchar)) as source_file, 'turns' as topic, cast(count(*) as varchar) as value
 from conversations group by 1""")
