@@ -69,8 +69,8 @@ def load_cells(spark: SparkSession, path: str) -> StoredCells:
         np.array([r["centre"] for r in table]), np.array([r["n"] for r in table]), np.array([r["reach"] for r in table])))
 
 
-def _nearest_cells(left: DataFrame, cells: vb.Cells, probes: int) -> DataFrame:
-    """One row for each visitor and each of the ``probes`` nearest cells that hold rows, with ``cell`` and its place."""
+def _probed(left: DataFrame, cells: vb.Cells, probes: int) -> DataFrame:
+    """Visitors with the array ``cells`` of the ``probes`` nearest cells that hold rows, nearest first."""
     shared = left.sparkSession.sparkContext.broadcast(cells)
     schema = T.StructType(left.schema.fields + [T.StructField("cells", T.ArrayType(T.LongType()))])
 
@@ -85,7 +85,12 @@ def _nearest_cells(left: DataFrame, cells: vb.Cells, probes: int) -> DataFrame:
             order = occupied[np.argsort(-closeness, axis=1, kind="stable")[:, :probes]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), type=pa.list_(pa.int64()))], names=schema.names)
 
-    return left.mapInArrow(run, schema).select(*left.columns, F.posexplode("cells").alias("place", "cell"))
+    return left.mapInArrow(run, schema)
+
+
+def _nearest_cells(left: DataFrame, cells: vb.Cells, probes: int) -> DataFrame:
+    """One row for each visitor and each of the ``probes`` nearest cells that hold rows, with ``cell`` and its place."""
+    return _probed(left, cells, probes).select(*left.columns, F.posexplode("cells").alias("place", "cell"))
 
 
 def search_cells(stored: StoredCells, left: DataFrame, k: int, probes: int, limits: SimilarityLimits = SimilarityLimits()) -> DataFrame:
@@ -97,8 +102,8 @@ def search_cells(stored: StoredCells, left: DataFrame, k: int, probes: int, limi
     def kernel(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
         return _match_batch(a, b, _top_of_block(a, b, k, None, False))
 
-    visits = cut_lineage(_nearest_cells(left, stored.cells, probes).drop("place"))
-    visited = sorted(r[0] for r in visits.select("cell").distinct().collect())  # never more than there are cells
+    visits = cut_lineage(_probed(left, stored.cells, probes))
+    visited = sorted(r[0] for r in visits.select(F.explode("cells")).distinct().collect())  # never more than there are cells
     placed = stored.rows(visited).withColumn("cell", F.col("cell").cast("long"))
     return _best_per_left(vb.against_cells(visits, placed, stored.cells, kernel, _MATCH, limits), k)
 

@@ -112,3 +112,28 @@ def test_leaders(spark, rng, limits, head):
 
 def test_leaders_of_nothing(spark):
     assert choose_leaders(frame(spark, [[0.0, 0.0]]), 0.9).count() == 0
+
+
+@pytest.mark.parametrize("n_copies", [0, 200])
+def test_rows_are_sent_to_few_blocks(spark, rng, n_copies):
+    vectors = rng.normal(size=(400, 6))
+    vectors[:n_copies] = vectors[0]
+    rows = frame(spark, vectors)
+
+    def kernel(a, b):
+        return vb.result_batch("sent double, pairs double", [float(len(a) + len(b))], [float(len(a) * len(b))])
+
+    met = vb.compare(rows, rows, kernel, "sent double, pairs double", -1.0, TINY).agg(F.sum("sent"), F.sum("pairs")).first()
+    assert met[1] == 400 * 400
+    # Each side goes to as many blocks as the other has; in blocks of 7 rows it would be 58.
+    assert met[0] <= 400 * 14
+
+
+def test_cells_are_packed_into_blocks():
+    first, parts = vb._pack_cells([3, 30, 0, 4, 5, 25, 6], 10)
+    held = {}
+    for cell, (at, n) in enumerate(zip(first.tolist(), parts.tolist())):
+        for block in range(at, at + n):
+            held.setdefault(block, []).append(cell)
+    assert sorted(c for cells in held.values() for c in cells) == [0, 1, 1, 1, 2, 3, 4, 5, 5, 5, 6]
+    assert all(len(cells) == 1 for cells in held.values() if cells[0] in (1, 5))
