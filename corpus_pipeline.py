@@ -27,7 +27,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, names = _carried(docs)
-    scored = ranking.score_quality(rows, labels, text="__read", keep=tuple(names))
+    text = next(n for n, c in names.items() if c == "text")
+    scored = ranking.score_quality(rows, labels, text=text, keep=tuple(names))
     return scored.filter("predicted = 1").select(*[F.col(n).alias(c) for n, c in names.items()])
 
 

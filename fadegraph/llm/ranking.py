@@ -7,28 +7,39 @@ pairs, so the weighted sum of a document's own features is its score.  A
 quantile of the scores, at the share of bad documents among the labelled ones,
 is the threshold.
 
+Every labelled document that is not held out is learned from.  They are dealt
+to shards; in a shard pieces of good ones meet pieces of bad ones, each row of
+a piece all of the other, so pairs grow with the rows.  Shards are fitted and
+scored in tasks; of each, sums as wide as the features reach the driver.
+
 Features describe the shape of the whole text (letter case, signs, repetition,
 variety and length of words).  Ids, sources, languages and labels are no inputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from fadegraph.llm.shared import Texts, id_or_last, id_or_null, span_hashes, texts_of, tidy
+from fadegraph.llm.shared import Texts, id_or_last, id_or_null, span_hashes, texts_of, tidy, write_out
 
-# Labelled rows of either label that the fit takes, those of least hash.
-MAX_LABELLED = 10_000
-# Pairs that the fit draws from them.
-MAX_PAIRS = 60_000
+# Labelled rows of a shard, about; rows of a piece; and rows of the rarer label that a shard has at least, about.
+SHARD_ROWS = 8_192
+PIECE_ROWS = 128
+LEAST_ROWS = 64
+# Scores, and bins of them, among which a quantile is looked for in one step.
+_BINS = 1_024
+_FEW = 4_096
 CUT = 0.3
+# Bytes of text whose features are found in one step.
+_STEP = 1 << 18
 
 FEATURES = ("capitals", "signs", "digits", "stops", "wide", "sign_ends", "sign_words", "repeats", "same_as_second", "distinct",
             "log_distinct", "log_words", "word_length", "lines", "capital_words")
@@ -92,42 +103,131 @@ class Ranking:
         return 1.0 / (1.0 + np.exp(-z))
 
 
-def fit_pairs(good: np.ndarray, bad: np.ndarray, bad_share: float, max_pairs: int = MAX_PAIRS, ridge: float = 1.0) -> Ranking:
-    """The ranking that prefers rows of ``good`` to rows of ``bad``; with either empty it scores all alike."""
-    both = np.vstack([good, bad])
-    width = both.shape[1]
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    centre, scale = both.mean(axis=0), both.std(axis=0)
+def _rows_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=float).reshape(-1, len(FEATURES))
+
+
+def _pack_shard(table: pa.Table) -> pa.Table:
+    """A shard's rows as two matrices, in an order that does not depend on tasks; its own rows come before those of other shards."""
+    table = table.sort_by([("guest", "ascending"), ("place", "ascending"), ("lid", "ascending")]).combine_chunks()
+    good, own = np.asarray(table.column("good")) == 1, np.asarray(table.column("guest")) == 0
+    values = np.asarray(table.column("features").combine_chunks().flatten()).reshape(table.num_rows, -1)
+    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()),
+                     "own_good": pa.array([int((good & own).sum())], pa.int64()), "own_bad": pa.array([int((~good & own).sum())], pa.int64()),
+                     "good": pa.array([values[good].tobytes()], pa.binary()), "bad": pa.array([values[~good].tobytes()], pa.binary())})
+
+
+def _shards_of(learned: DataFrame, n_good: int, n_bad: int, shard_rows: int) -> DataFrame:
+    """Learned rows (lid, good, features) dealt to shards: (shard, own_good, own_bad, good, bad).
+
+    A row belongs to one shard.  If a label is so rare that shards would lack
+    it, its rows are guests of the next shards as well.
+    """
+    shards = max(1, math.ceil((n_good + n_bad) / shard_rows))
+    rarer = 1 if n_good <= n_bad else 0
+    copies = min(shards, math.ceil(LEAST_ROWS * shards / min(n_good, n_bad)))
+    dealt = learned.withColumn("place", F.xxhash64("lid")).withColumn("guest", F.explode(
+        F.sequence(F.lit(0), F.when(F.col("good") == rarer, F.lit(copies - 1)).otherwise(F.lit(0)))))
+    at = dealt.select(F.pmod(F.col("place") + F.col("guest"), F.lit(shards)).cast("long").alias("shard"), "guest", "place", "lid", "good", "features")
+    return at.groupBy("shard").applyInArrow(_pack_shard, "shard long, own_good long, own_bad long, good binary, bad binary")
+
+
+def _sums_over(shards: DataFrame, sums_of: Callable[[np.ndarray, np.ndarray, int, int], np.ndarray]) -> np.ndarray:
+    """Sums over all shards of the numbers that ``sums_of`` finds for one, added in the order of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sums_of(_rows_of(r["good"]), _rows_of(r["bad"]), r["own_good"], r["own_bad"]).tolist() for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(found, pa.list_(pa.float64()))], ["shard", "sums"])
+
+    rows = shards.mapInArrow(run, "shard long, sums array<double>").collect()
+    return np.sum([r["sums"] for r in sorted(rows, key=lambda r: r["shard"])], axis=0)
+
+
+def _pair_sums(w: np.ndarray, centre: np.ndarray, scale: np.ndarray):
+    """Gradient and Hessian of the logistic loss over a shard's pairs."""
+
+    def sums_of(good: np.ndarray, bad: np.ndarray, own_good: int, own_bad: int) -> np.ndarray:
+        gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        x, y = (good - centre) / scale, (bad - centre) / scale
+        many, few = -(-len(x) // PIECE_ROWS), -(-len(y) // PIECE_ROWS)
+        for i in range(max(many, few) if many and few else 0):
+            a, b = x[i % many * PIECE_ROWS:][:PIECE_ROWS], y[i % few * PIECE_ROWS:][:PIECE_ROWS]
+            missed = 1.0 / (1.0 + np.exp(np.clip((a @ w)[:, None] - (b @ w)[None, :], -30.0, 30.0)))
+            weight = missed * (1.0 - missed)
+            across = a.T @ weight @ b
+            gradient += a.T @ missed.sum(axis=1) - b.T @ missed.sum(axis=0)
+            hessian += (a.T * weight.sum(axis=1)) @ a + (b.T * weight.sum(axis=0)) @ b - across - across.T
+        return np.r_[gradient, hessian.ravel()]
+
+    return sums_of
+
+
+def _raw_task(ranking: Ranking):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                good, bad = ranking.raw(_rows_of(r["good"])[:r["own_good"]]), ranking.raw(_rows_of(r["bad"])[:r["own_bad"]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[good, bad]), pa.array(np.r_[np.ones(len(good), np.int64), np.zeros(len(bad), np.int64)])], ["raw", "good"])
+
+    return run
+
+
+def _quantile(scored: DataFrame, share: float, mass_good: float, mass_bad: float) -> float:
+    """Half way between the score (raw, good) at which the mass of the lowest reaches ``share`` and the next one.
+
+    Exact: bins of the scores are counted and the one that holds it is cut into
+    bins again, until few scores are left.
+    """
+    counts = [F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"), F.min("raw").alias("lo"), F.max("raw").alias("hi")]
+    inside, below = scored, 0.0
+    at = scored.agg(*counts).first()
+    while at["good"] + at["bad"] > _FEW and at["lo"] < at["hi"]:
+        lo, hi = at["lo"], at["hi"]
+        inside = scored.filter(F.col("raw").between(F.lit(lo), F.lit(hi)))
+        bin_ = F.least(F.floor((F.col("raw") - lo) / (hi - lo) * _BINS), F.lit(_BINS - 1))
+        for at in sorted(inside.groupBy(bin_.alias("bin")).agg(*counts).collect(), key=lambda r: r["bin"]):
+            if below + at["good"] * mass_good + at["bad"] * mass_bad >= share - 1e-9:
+                break
+            below += at["good"] * mass_good + at["bad"] * mass_bad
+        inside = scored.filter(F.col("raw").between(F.lit(at["lo"]), F.lit(at["hi"])))
+    values = sorted(inside.groupBy("raw").agg(*counts).collect(), key=lambda r: r["raw"])
+    after = scored.filter(F.col("raw") > values[-1]["raw"]).agg(F.min("raw")).first()[0]
+    for i, value in enumerate(values):
+        below += value["good"] * mass_good + value["bad"] * mass_bad
+        if below >= share - 1e-9:
+            break
+    above = values[i + 1]["raw"] if i + 1 < len(values) else after
+    last = mass_bad if value["bad"] else mass_good
+    if above is None or (value["good"] + value["bad"] > 1 and below - last >= share - 1e-9):
+        return float(value["raw"])
+    return float((value["raw"] + above) / 2)
+
+
+def fit_shards(shards: DataFrame, n_good: int, n_bad: int, bad_share: float, ridge: float = 1.0) -> Ranking:
+    """The ranking that prefers good rows of the shards to bad ones."""
+    width = len(FEATURES)
+    centre = _sums_over(shards, lambda x, y, n, m: x[:n].sum(axis=0) + y[:m].sum(axis=0)) / (n_good + n_bad)
+    scale = np.sqrt(_sums_over(shards, lambda x, y, n, m: ((x[:n] - centre) ** 2).sum(axis=0) + ((y[:m] - centre) ** 2).sum(axis=0)) / (n_good + n_bad))
     scale = np.where(scale > 1e-9, scale, 1.0)
-    x, y = (good - centre) / scale, (bad - centre) / scale
-    rng = np.random.default_rng(3)
-    n = min(max_pairs, len(x) * len(y))
-    pairs = x[rng.integers(len(x), size=n)] - y[rng.integers(len(y), size=n)]
     w = np.zeros(width)
     for _ in range(25):  # Newton steps on the logistic loss
-        p = 1.0 / (1.0 + np.exp(-np.clip(pairs @ w, -30.0, 30.0)))
-        gradient = pairs.T @ (1.0 - p) - ridge * w
-        hessian = (pairs * (p * (1.0 - p))[:, None]).T @ pairs + ridge * np.eye(width)
-        step = np.linalg.solve(hessian, gradient)
+        sums = _sums_over(shards, _pair_sums(w, centre, scale))
+        step = np.linalg.solve(sums[width:].reshape(width, width) + ridge * np.eye(width), sums[:width] - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-7:
             break
-    raw = np.r_[x @ w, y @ w]
-    mass = np.r_[np.full(len(x), (1.0 - bad_share) / len(x)), np.full(len(y), bad_share / len(y))]
-    order = np.argsort(raw, kind="stable")
-    at = int(np.searchsorted(np.cumsum(mass[order]), bad_share - 1e-9))
-    at = min(at, len(raw) - 2)
-    return Ranking(centre, scale, w, float((raw[order][at] + raw[order][at + 1]) / 2))
+    scored = write_out(shards.mapInArrow(_raw_task(Ranking(centre, scale, w, 0.0)), "raw double, good long"))
+    return Ranking(centre, scale, w, _quantile(scored, bad_share, (1.0 - bad_share) / n_good, bad_share / n_bad))
 
 
 def _feature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for texts in texts_of(batch.column("text")):
+        for texts in texts_of(batch.column("text"), _STEP):
             found = features_of(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("good").take(pa.array(texts.rows)),
-                 pa.array(list(found), pa.list_(pa.float64()))], ["good", "features"])
+                [batch.column("lid").slice(texts.rows[0], len(texts.rows)), pa.array(list(found), pa.list_(pa.float64()))], ["lid", "features"])
 
 
 def held_out(id_: str) -> F.Column:
@@ -135,47 +235,47 @@ def held_out(id_: str) -> F.Column:
 
 
 def learn_ranking(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "quality",
-                  max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Fit on labelled rows that are not held out.
+                  shard_rows: int = SHARD_ROWS) -> Ranking:
+    """Fit on all labelled rows that are not held out.
 
-    Takes at most ``max_labelled`` ids of either label, those of least hash, so
-    the fit is of bounded size; shares of labels are counted over all rows.
-    Ids without a label, with a null one or with both are not learned from.
+    Features are found before labels are joined, so no text is shuffled.
+    Shares of labels are counted over all rows.  Ids without a label, with a
+    null one or with both are not learned from.
     """
-    known = (labels.select(F.col(id_).alias("lid"), F.col(label).cast("int").alias("good")).dropna().filter(~held_out("lid"))
-             .groupBy("lid").agg(F.min("good").alias("good"), F.max("good").alias("most")).filter("good = most").drop("most"))
+    known = write_out(
+        labels.select(F.col(id_).alias("lid"), F.col(label).cast("int").alias("good")).dropna().filter(~held_out("lid"))
+        .groupBy("lid").agg(F.min("good").alias("good"), F.max("good").alias("most")).filter("good = most").drop("most"))
     counts = known.agg(F.count("*").alias("n"), F.sum((F.col("good") == 0).cast("int")).alias("bad")).first()
     bad_share = (counts["bad"] or 0) / max(counts["n"], 1)
-    taken = None
-    for value in (0, 1):
-        part = known.filter(F.col("good") == value).orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
-        taken = part if taken is None else taken.union(part)
-    rows = docs.select(F.col(id_).alias("lid"), F.col(text).cast("string").alias("text")).join(F.broadcast(taken), "lid")
+    rows = docs.select(F.col(id_).alias("lid"), F.col(text).cast("string").alias("text")).filter(F.col("lid").isNotNull() & ~held_out("lid"))
+    schema = StructType([rows.schema["lid"], StructField("features", ArrayType(DoubleType()))])
     # One row for each id that is learned from, however often it is repeated.
-    found = rows.select("lid", "good", "text").groupBy("lid", "good").agg(F.min("text").alias("text")).mapInArrow(
-        _feature_task, "good int, features array<double>").toPandas()
-    values = np.array(found["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    # Sorted, so that the drawn pairs do not depend on the order in which tasks end.
-    order = np.lexsort(values.T[::-1])
-    values, good = values[order], found["good"].to_numpy()[order]
-    return fit_pairs(values[good == 1], values[good == 0], bad_share)
+    learned = write_out(rows.mapInArrow(tidy(_feature_task), schema).join(known.filter("good in (0, 1)"), "lid").groupBy("lid", "good").agg(
+        F.min("features").alias("features")))
+    counts = learned.agg(F.count("*").alias("n"), F.sum("good").alias("good")).first()
+    n_good = counts["good"] or 0
+    n_bad = counts["n"] - n_good
+    if not n_good or not n_bad:
+        return Ranking(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), 0.0)
+    return fit_shards(write_out(_shards_of(learned, n_good, n_bad, shard_rows)), n_good, n_bad, bad_share)
 
 
 def _score_task(ranking, text_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [ranking.value.score(features_of(t)) for t in texts_of(batch.column(text_at))]
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            kept = [i for i, n in enumerate(batch.schema.names) if n != text_at]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in kept] + [pa.array(score), pa.array((score >= CUT).astype(np.int32))],
-                [batch.schema.names[i] for i in kept] + ["score", "predicted"])
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "__text"]
+            for texts in texts_of(batch.column(text_at), _STEP):
+                score = ranking.value.score(features_of(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(texts.rows[0], len(texts.rows)) for i in kept]
+                    + [pa.array(score), pa.array((score >= CUT).astype(np.int32))],
+                    [batch.schema.names[i] for i in kept] + ["score", "predicted"])
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text", label: str = "quality",
-                  keep: Sequence[str] = (), max_labelled: int = MAX_LABELLED) -> DataFrame:
+                  keep: Sequence[str] = (), shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Quality of each whole text: doc_id, the columns of ``keep``, held_out, score, predicted; a row for each row.
 
     ``held_out`` rows (crc32 of the id as text divisible by 5) are never learned
@@ -185,11 +285,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text:
     table gives an empty result.
     """
     spark = docs.sparkSession
-    ranking = spark.sparkContext.broadcast(learn_ranking(docs, labels, id_, text, label, max_labelled))
+    ranking = spark.sparkContext.broadcast(learn_ranking(docs, labels, id_, text, label, shard_rows))
     kept = [F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)]
+    # A text that is kept goes to the tasks once.
+    kept_text = text in keep and docs.schema[text].dataType == StringType()
     rows = docs.select(id_or_last(id_).alias("doc_id"), held_out(id_).alias("held_out"), *kept,
-                       F.col(text).cast("string").alias("__text"))
+                       *([] if kept_text else [F.col(text).cast("string").alias("__text")]))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     schema = StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    scored = rows.mapInArrow(tidy(_score_task(ranking, "__text")), schema)
+    scored = rows.mapInArrow(tidy(_score_task(ranking, f"__keep{list(keep).index(text)}" if kept_text else "__text")), schema)
     return scored.withColumn("doc_id", id_or_null("doc_id")).withColumnsRenamed({f"__keep{i}": c for i, c in enumerate(keep)})

@@ -249,6 +249,32 @@ def test_quality(spark, docs, rows, none):
     assert {r.predicted for r in ranking.score_quality(docs, labels.limit(0)).collect()} == {1}
 
 
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+    rng = random.Random(9)
+    texts = [(i, sentence(rng, 30) + ".", 1) for i in range(0, 1_200)]
+    texts += [(i, " ".join(f"{w.upper()}!!" if rng.random() < 0.5 else w for w in sentence(rng, 30).split()), 0) for i in range(2_000, 2_040)]
+    table = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, quality int")
+    seen = []
+    fit = ranking.fit_shards
+    monkeypatch.setattr(ranking, "fit_shards", lambda shards, *rest: seen.append((shards, *rest)) or fit(shards, *rest))
+    monkeypatch.setattr(ranking, "_FEW", 20)
+    found = ranking.learn_ranking(table, labels, shard_rows=100)
+    shards, n_good, n_bad, share = seen[0]
+    packed = shards.collect()
+    assert len(packed) > 5 and all(r["good"] and r["bad"] for r in packed)
+    learned = table.filter(~ranking.held_out("doc_id")).count()
+    assert sum(r["own_good"] + r["own_bad"] for r in packed) == n_good + n_bad == learned
+    # The threshold is the quantile of all scores.
+    raw = np.sort(np.concatenate([found.raw(ranking._rows_of(r[c])[:r[f"own_{c}"]]) for r in packed for c in ("good", "bad")]))
+    at = int(np.searchsorted(np.arange(1, len(raw) + 1) / len(raw), share - 1e-9))
+    assert abs(found.threshold - (raw[at] + raw[at + 1]) / 2) < 1e-9
+    scored = ranking.score_quality(table, labels, shard_rows=100).join(labels, "doc_id")
+    assert scored.filter(F.col("predicted") == F.col("quality")).count() >= 0.97 * len(texts)
+
+
 @pytest.fixture(scope="module")
 def toy():
     """A vocabulary with overlapping pieces, many of equal score."""
