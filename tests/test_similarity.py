@@ -129,6 +129,22 @@ def test_rows_are_sent_to_few_blocks(spark, rng, n_copies):
     assert met[0] <= 400 * 14
 
 
+def test_visitors_of_one_cell_are_sent_with_the_base_once(spark, rng):
+    rows = frame(spark, rng.normal(size=(400, 6)))
+    limits = SimilarityLimits(broadcast_rows=8, block_rows=7, max_cells=64)
+
+    def kernel(a, b):
+        return vb.result_batch("sent double, pairs double", [float(len(a) + len(b))], [float(len(a) * len(b))])
+
+    placed, cells = vb.partition_base(rows, limits)
+    home = vb.visit_cells(rows, cells, None)
+    sent, pairs = vb.against_cells(home, placed, cells, kernel, "sent double, pairs double", limits).agg(
+        F.sum("sent"), F.sum("pairs")).first()
+    assert pairs >= (cells.counts ** 2).sum()
+    # With four blocks to a side the base alone would be sent four times.
+    assert sent <= 3 * 400
+
+
 def test_cells_are_packed_into_blocks():
     first, parts = vb._pack_cells([3, 30, 0, 4, 5, 25, 6], 10)
     held = {}
