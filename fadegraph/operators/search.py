@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fadegraph.config import ENTRY_POINTS, MIN_SCORE, TOP_INSTANCES, SearchConfig, SimilarityLimits
 from fadegraph.functions.scoring import instance_rank
-from fadegraph.functions.vectors import cosine_of_normed, norm
+from fadegraph.functions.vectors import cosine_of_dot, cosine_of_normed, norm
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.similarity import nearest
@@ -17,6 +21,8 @@ from fadegraph.session import broadcast_if_small, cut_lineage
 
 # Instances of a topic that one task ranks.
 INSTANCE_BLOCK = 10_000
+# Visits of one block of queries, of which a block of topics has its share.
+_VISIT_ROWS = 4_000_000
 
 
 def nearest_topics(queries: DataFrame, topics: DataFrame, k: int = ENTRY_POINTS,
@@ -60,6 +66,68 @@ def _normed(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "query_embedding", norm(F.col("query_embedding")).alias("query_norm"))
 
 
+def _dots(left: pa.ListArray, right: pa.ListArray, at: np.ndarray, other: np.ndarray) -> pa.Array:
+    """Product of each pair of vectors, added up in the order of their components; null where widths differ."""
+    (a, a_from), (b, b_from) = ((np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64), np.asarray(v.offsets)) for v in (left, right))
+    widths, others = np.diff(a_from)[at], np.diff(b_from)[other]
+    total = np.zeros(len(at))
+    with np.errstate(all="ignore"):
+        for width in np.unique(widths):
+            rows = np.flatnonzero((widths == width) & (others == width))
+            starts, ends = a_from[at[rows]], b_from[other[rows]]
+            part = np.zeros(len(rows))
+            for i in range(width):
+                part += a[starts + i] * b[ends + i]
+            total[rows] = part
+    return pa.array(total, mask=widths != others)
+
+
+def with_products(visited: DataFrame, topics: DataFrame, queries: DataFrame) -> DataFrame:
+    """Visits (query_id, topic_id, ...) joined with both tables, without the column ``vec``, and with ``product`` of the two.
+
+    ``topics`` is (topic_id, vec, ...), ``queries`` (query_id, vec, ...).  A vector is sent once to each block
+    of the other side and not once for each visit, so what is shuffled of vectors does not grow with the visits.
+    """
+
+    def size(rows: DataFrame) -> int:
+        found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
+        return vb.ways_of(found["n"], found["width"])
+
+    topic_ways, query_ways = size(topics), max(size(queries), math.ceil(visited.count() / _VISIT_ROWS))
+
+    def block(id_: str, ways: int) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(ways)).cast("int")
+
+    def every(ways: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))
+
+    parts = [
+        visited.select("*", F.lit(0).alias("_kind"), block("topic_id", topic_ways).alias("_i"), block("query_id", query_ways).alias("_j")),
+        topics.select("*", F.lit(1).alias("_kind"), block("topic_id", topic_ways).alias("_i"), every(query_ways).alias("_j")),
+        queries.select("*", F.lit(2).alias("_kind"), every(topic_ways).alias("_i"), block("query_id", query_ways).alias("_j")),
+    ]
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    of_topic = [c for c in topics.columns if c not in ("topic_id", "vec")]
+    of_query = [c for c in queries.columns if c not in ("query_id", "vec")]
+    names = [*visited.columns, *of_topic, *of_query]
+    schema = T.StructType([T.StructField(n, met.schema[n].dataType) for n in names] + [T.StructField("product", T.DoubleType())])
+
+    def run(group: pa.Table) -> pa.Table:
+        kind = np.asarray(group.column("_kind"))
+        visits, near, asked = (group.filter(pa.array(kind == k)) for k in range(3))
+        keys = pa.table({"topic_id": visits.column("topic_id"), "query_id": visits.column("query_id"), "v": np.arange(visits.num_rows)})
+        pairs = keys.join(pa.table({"topic_id": near.column("topic_id"), "t": np.arange(near.num_rows)}), "topic_id", join_type="inner", use_threads=False).join(
+            pa.table({"query_id": asked.column("query_id"), "q": np.arange(asked.num_rows)}), "query_id", join_type="inner", use_threads=False)
+        v, t, q = (np.asarray(pairs.column(c), dtype=np.int64) for c in "vtq")
+        product = _dots(near.column("vec").combine_chunks(), asked.column("vec").combine_chunks(), t, q)
+        columns = [table.column(c).take(pa.array(at)) for table, at, held in (
+            (visits, v, visited_columns), (near, t, of_topic), (asked, q, of_query)) for c in held]
+        return pa.table([*columns, product], names=[*names, "product"])
+
+    visited_columns = visited.columns
+    return met.groupBy("_i", "_j").applyInArrow(run, schema)
+
+
 def search(queries: DataFrame, topics: DataFrame, edges: DataFrame, config: SearchConfig = SearchConfig(),
            limits: SimilarityLimits = SimilarityLimits()) -> tuple[DataFrame, DataFrame]:
     """Visited topics with their scores, and the edges followed.
@@ -71,12 +139,13 @@ def search(queries: DataFrame, topics: DataFrame, edges: DataFrame, config: Sear
     followed = ranked_edges(edges, config).filter(~F.col("is_dropped"))
     followed = broadcast_if_small(cut_lineage(followed.select("from_topic", "to_topic", "weight", "edge_rank")))
     visited = reach(nearest_topics(queries, topics, ENTRY_POINTS, limits), followed, config.max_depth)
+    vector = lambda c: F.col(c).cast("array<double>").alias("vec")
+    paired = with_products(
+        visited, topics.select(F.col("id").alias("topic_id"), "topic_name", "strength", vector("topic_embedding"),
+                               norm(F.col("topic_embedding")).alias("topic_norm")),
+        queries.select("query_id", vector("query_embedding"), norm(F.col("query_embedding")).alias("query_norm")))
     scored = (
-        visited.join(topics.select(F.col("id").alias("topic_id"), "topic_name", "strength", "topic_embedding",
-                                   norm(F.col("topic_embedding")).alias("topic_norm")), "topic_id")
-        .join(_normed(queries), "query_id")
-        .withColumn("similarity", cosine_of_normed(F.col("query_embedding"), F.col("topic_embedding"),
-                                                   F.col("query_norm"), F.col("topic_norm")))
+        paired.withColumn("similarity", cosine_of_dot(F.col("product"), F.col("query_norm"), F.col("topic_norm")))
         .withColumn("score", F.col("similarity") * F.col("strength") * F.col("path_strength"))
         .select("query_id", "topic_id", "topic_name", "depth", "path", "path_strength", "similarity", "strength",
                 "score", F.coalesce(F.col("score") > MIN_SCORE, F.lit(False)).alias("is_result"))

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from fadegraph import SearchConfig, Snapshot
 from fadegraph.config import SimilarityLimits
 from fadegraph.functions.embed import embed_hashed, embed_with
+from fadegraph.functions.vectors import dot, norm
+from fadegraph.operators import search as search_operators
 from fadegraph.operators.graph import ranked_edges
 from fadegraph.operators.ingest import batch_summary, ingest, number_entries, upsert_edges
 from fadegraph.operators.identity import repeat_number
-from fadegraph.operators.search import search
+from fadegraph.operators.search import search, with_products
 from fadegraph.plans.maintain import maintain
 from fadegraph.plans.read import recall
 from fadegraph.plans.write import relation_texts, remember, semantic_rows
@@ -188,6 +190,35 @@ def test_search_equals_the_queue(spark, rng, limits, rate):
     assert {(r["from_topic"], r["to_topic"]): r["n_traversals"] for r in traversed.collect()} == walked
 
 
+def test_visits_meet_vectors_in_blocks(spark, rng, monkeypatch):
+    monkeypatch.setattr(search_operators, "_VISIT_ROWS", 40)
+    vectors = [*map(floats, rng.normal(size=(20, 3))), [0.0, 0.0, 0.0], [1.0, 2.0], [1.0, None, 2.0], None, [float("nan"), 1.0, 1.0]]
+    topics = spark.createDataFrame([(f"t{i % 24}", v, i / 10) for i, v in enumerate(vectors)], "topic_id string, vec array<double>, strength double")
+    asked = spark.createDataFrame([(f"q{i % 23}", v) for i, v in enumerate(vectors)], "query_id string, vec array<double>")
+    visits = [(f"q{q}", f"t{t}", [q, t]) for q in range(26) for t in range(25) if (q + t) % 3] + [(None, "t1", [0]), ("q1", None, [0])]
+    visited = spark.createDataFrame(visits, "query_id string, topic_id string, path array<int>")
+    both = visited.join(topics.withColumnRenamed("vec", "a"), "topic_id").join(asked.withColumnRenamed("vec", "b"), "query_id")
+    want = both.select("query_id", "topic_id", "path", "strength", dot(F.col("a"), F.col("b")).alias("product"), norm(F.col("a")).alias("n1"),
+                       norm(F.col("b")).alias("n2")).collect()
+    normed = lambda rows, out: rows.withColumn(out, norm(F.col("vec")))
+    got = with_products(visited, normed(topics, "n1"), normed(asked, "n2")).select(
+        "query_id", "topic_id", "path", "strength", "product", "n1", "n2").collect()
+
+    def plain(rows):  # a product counts where both norms are known
+        return sorted(repr((*r[:4], None if r["n1"] is None or r["n2"] is None else r["product"], r["n1"], r["n2"])) for r in rows)
+
+    assert plain(got) == plain(want) and len(got) > 300
+
+
+def test_a_visit_carries_no_vector(spark, rng):
+    topics, edges = graph_fixture(rng)
+    snapshot = make(spark, [(t, v, s) for t, (v, s) in topics.items()], [], [(a, b, w) for (a, b), w in edges.items()])
+    queries = spark.createDataFrame([("q", floats(topics["t05"][0]))], "query_id string, query_embedding array<double>")
+    scored = search(queries, snapshot.topics, snapshot.edges)[0]
+    # Joined one after the other, the rows of the visits would be shuffled with a topic's vector each.
+    assert "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_arrival_sets_the_strength_and_depth_is_bounded(spark):
     # a -> b -> d arrives before c -> d although c's path is stronger; the chain runs on beyond depth 5.
     vector = [1.0, 0.0]
