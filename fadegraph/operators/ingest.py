@@ -192,8 +192,8 @@ def ingest(snapshot: Snapshot, entries: DataFrame, instances: DataFrame, config:
     chosen = first_entry_only(only_new(slim))
     chosen = fresh_ids(repeat_number(chosen, ["topic_id", "digest"], "inst_ord"), "instance", ["topic_id", "digest", "repeat_no"],
                        snapshot.instances.select("id")).select("entry_ord", "inst_ord", "topic_id", "id")
-    fresh = instances.join(chosen, ["entry_ord", "inst_ord"]).join(
-        filled.select("entry_ord", "topic_embedding"), "entry_ord")
+    # The entry's vector is joined first, so that texts are shuffled once.
+    fresh = instances.join(chosen.join(filled.select("entry_ord", "topic_embedding"), "entry_ord"), ["entry_ord", "inst_ord"])
     added = cut_lineage(fresh.select(
         "entry_ord", "inst_ord", "id", "topic_id", "content", "content_embedding",
         relevance(F.col("topic_embedding"), F.col("content_embedding")).alias("relevance_score")))

@@ -1,7 +1,10 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import queries
 from fadegraph import SearchConfig, Snapshot
 from fadegraph.config import SimilarityLimits
 from fadegraph.functions.embed import embed_hashed, embed_with
@@ -132,6 +135,25 @@ def test_ids_over_imports_with_one_clock(spark):
          ("blue water", "water is wet"), ("blue water", "water flows")] + [("!!!", "what")] * 4 + [("!!!", "else")])
 
 
+def test_imported_texts_are_derived_once(spark):
+    derived = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            derived.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(0, 0, "a", [1.0, 0.0]), (1, 1, "b", [0.0, 1.0])],
+                                  "entry_ord long, inst_ord long, content string, content_embedding array<double>")
+    snapshot = make(spark, [("t1", [1.0, 0.0], 1.0)], [("i1", "t1", "a", [1.0, 0.0])], [("t1", "t1", 0.5)])
+    entries = spark.createDataFrame([(0, "x", [1.0, 0.0]), (1, "y", [0.0, 1.0])], "entry_ord long, topic string, topic_embedding array<double>")
+    given = SimpleNamespace(snapshot=snapshot, instances=snapshot.instances, ingest_entries=entries,
+                            ingest_instances=texts.mapInArrow(count, texts.schema))
+    after = queries._import_twice(given)[0]
+    assert sorted(r[0] for r in after.instances.select("content").collect()) == ["a", "b", "b again"]
+    assert derived.value == 2
+
+
 def test_an_id_is_free_after_its_row_moved(spark):
     stored = make(spark, [("t", [1.0, 0.0], 1.0)])
     entries = spark.createDataFrame([(1, "here", [1.0, 0.0])], "entry_ord long, topic string, topic_embedding array<double>")
