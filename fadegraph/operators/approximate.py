@@ -102,8 +102,9 @@ def search_cells(stored: StoredCells, left: DataFrame, k: int, probes: int, limi
     def kernel(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
         return _match_batch(a, b, _top_of_block(a, b, k, None, False))
 
-    visits = cut_lineage(_probed(left, stored.cells, probes))
-    visited = sorted(r[0] for r in visits.select(F.explode("cells")).distinct().collect())  # never more than there are cells
+    n_cells = len(stored.cells.counts)
+    visits = cut_lineage(vb.pack_visits(_probed(left, stored.cells, probes), n_cells))
+    visited = vb.cells_visited(visits, n_cells)
     placed = stored.rows(visited).withColumn("cell", F.col("cell").cast("long"))
     return _best_per_left(vb.against_cells(visits, placed, stored.cells, kernel, _MATCH, limits), k)
 

@@ -153,3 +153,40 @@ def test_cells_are_packed_into_blocks():
             held.setdefault(block, []).append(cell)
     assert sorted(c for cells in held.values() for c in cells) == [0, 1, 1, 1, 2, 3, 4, 5, 5, 5, 6]
     assert all(len(cells) == 1 for cells in held.values() if cells[0] in (1, 5))
+
+
+@pytest.mark.parametrize("n_copies", [0, 200])
+def test_a_set_is_sent_once_to_the_blocks_it_meets(spark, rng, n_copies):
+    vectors = rng.normal(size=(400, 6))
+    vectors[:n_copies] = vectors[0]
+
+    def kernel(a, b):
+        return vb.result_batch("sent double, pairs double", [float(len(a) + (len(b) if a.id[0] != b.id[0] else 0))], [float(len(a) * len(b))])
+
+    def met(across):
+        found = vb.compare_within(frame(spark, vectors), kernel, "sent double, pairs double", -1.0, TINY, across)
+        return found.agg(F.sum("sent"), F.sum("pairs")).first()
+
+    sent, pairs = met(None)
+    assert pairs == 400 * 400
+    one_way = met(kernel)
+    # One way round a pair of blocks is met once; ``compare`` sends a set of evenly spread rows eight times.
+    assert one_way[0] <= 400 * 7 and one_way[1] < pairs and sent <= 2 * one_way[0]
+
+
+@pytest.mark.parametrize("block_rows", [7, 40])
+def test_pairs_and_followers_of_groups(spark, rng, block_rows):
+    limits = SimilarityLimits(broadcast_rows=4, block_rows=block_rows, max_cells=24)
+    vectors = grouped_vectors(rng, 240, groups=12, spread=0.15)
+    order = rng.permutation(240)
+    rows = frame(spark, vectors[order])
+    scores = {(i, j): cosine(vectors[order[i]], vectors[order[j]]) for i in range(240) for j in range(i)}
+    near = sorted((-s, j, i) for (i, j), s in scores.items() if s > 0.97)[:300]
+    pairs = similar_pairs(rows, 0.97, 300, limits).orderBy("rank").collect()
+    assert [(p["id1"], p["id2"]) for p in pairs] == [(f"r{j:04d}", f"r{i:04d}") for _, j, i in near]
+    follows = {r["id2"]: r["id1"] for r in nearest_lower(rows, 0.97, limits).collect()}
+    best = {}
+    for (i, j), s in scores.items():
+        if s > 0.97:
+            best[i] = min(best.get(i, (1, 0)), (-s, j))
+    assert follows == {f"r{i:04d}": f"r{j:04d}" for i, (_, j) in best.items()}
