@@ -77,3 +77,16 @@ def test_nothing_to_find(spark, base, tmp_path):
     assert [r["r_id"] for r in got.collect()] == ["v0003"] and measured == 1.0
     assert ap.similar_pairs_hashed(alone, 0.5).collect() == []
     assert ap.similar_pairs_hashed(base.filter(F.col("id") < "v"), 0.5).collect() == []
+
+
+def test_visited_cells_are_kept_as_bits(spark, base, tmp_path):
+    cells = ap.store_cells(base, str(tmp_path), 24).cells
+    n_cells = len(cells.counts)
+    probed = ap._probed(base, cells, 5).cache()
+    packed = vb.pack_visits(probed, n_cells)
+    bits = {r["id"]: set(np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["visited"]), dtype=np.uint8)))) for r in packed.collect()}
+    assert "cells" not in packed.columns
+    assert bits == {r["id"]: set(r["cells"]) for r in probed.collect()}
+    assert vb.cells_visited(packed, n_cells) == sorted(set().union(*bits.values()))
+    # However many cells are visited, a visitor keeps one bit for each.
+    assert {len(r["visited"]) for r in vb.pack_visits(ap._probed(base, cells, n_cells), n_cells).collect()} == {-(-n_cells // 8)}
