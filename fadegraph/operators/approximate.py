@@ -99,6 +99,7 @@ def search_cells(stored: StoredCells, left: DataFrame, k: int, probes: int, limi
     Only cells that some visitor visits are read.
     """
 
+    @vb.whole_blocks
     def kernel(a: vb.Block, b: vb.Block) -> pa.RecordBatch:
         return _match_batch(a, b, _top_of_block(a, b, k, None, False))
 
@@ -185,7 +186,7 @@ def similar_pairs_hashed(rows: DataFrame, min_similarity: float, limit: int = ME
         i, sides = group.column("i")[0].as_py(), np.asarray(group.column("side"))
         own, others = (vb.Block.read(group.filter(pa.array(mask))) for mask in (sides == i, sides != i))
         blocks = [(own, own)] if group.column("j")[0].as_py() == i else [(own, others), (others, own)]
-        found = [kernel(tile, b) for a, b in blocks if len(a) and len(b) for tile in a.tiles(len(b))]
+        found = [kernel(a, b) for a, b in blocks if len(a) and len(b)]
         return pa.Table.from_batches(found) if found else empty
 
     pairs = met.select("hash_table", "key", "i", "j", "side", "id", "ord", "value", "vec").groupBy("hash_table", "key", "i", "j").applyInArrow(run, _PAIR)

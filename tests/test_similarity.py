@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fadegraph.config import SimilarityLimits
 from fadegraph.operators import vector_blocks as vb
 from fadegraph.operators.leaders import choose_leaders
-from fadegraph.operators.similarity import nearest, nearest_lower, similar_pairs
+from fadegraph.operators.similarity import (
+    _top_of_block, best_pairs_kernel, follower_kernel, nearest, nearest_lower, similar_pairs)
 
 
 def frame(spark, vectors, prefix="r", start=0):
@@ -190,3 +191,56 @@ def test_pairs_and_followers_of_groups(spark, rng, block_rows):
         if s > 0.97:
             best[i] = min(best.get(i, (1, 0)), (-s, j))
     assert follows == {f"r{i:04d}": f"r{j:04d}" for i, (_, j) in best.items()}
+
+
+def block(vectors, prefix="r"):
+    vectors = np.asarray(vectors, dtype=float)
+    names = np.array([f"{prefix}{i:05d}" for i in range(len(vectors))], dtype=object)
+    return vb.Block(names, np.arange(len(vectors)), np.zeros(len(vectors)), vectors, np.sqrt((vectors * vectors).sum(axis=1)))
+
+
+@pytest.mark.parametrize("k,earlier", [(0, False), (3, False), (3, True)])
+def test_screened_pairs_hold_all_that_reach_the_bar(rng, k, earlier):
+    # Lengths that differ much, and near copies that single precision cannot tell apart.
+    right = rng.normal(size=(2600, 64)) * 10.0 ** rng.integers(-30, 30, size=(2600, 1))
+    right[500:900] = right[500] * (1 + 1e-7 * rng.normal(size=(400, 64)))
+    left, right = block(np.vstack([right[450:950], right[:700] * 2]), "l"), block(right)
+    left.ord = rng.permutation(len(left)) * 2
+    exact = vb.similarities(left, right)
+    if earlier:
+        exact[right.ord[None, :] >= left.ord[:, None]] = -np.inf
+    bar = np.full(len(left), -np.inf) if k else np.where(np.arange(len(left)) % 2 == 0, 0.35, exact.max(axis=1))
+    seen = np.zeros(exact.shape, dtype=bool)
+    for rows, cols, sims in vb.screened(left, right, bar, k, earlier):
+        assert not seen[rows, cols].any() and np.abs(sims - exact[rows, cols]).max() < 1e-11
+        seen[rows, cols] = True
+    if k:
+        bar = np.maximum(np.partition(exact, -k, axis=1)[:, -k], -2.0)
+    assert not ((exact >= bar[:, None]) & ~seen).any()
+
+
+def test_few_pairs_are_multiplied_in_double_precision(rng, monkeypatch):
+    rows, looked_at = block(rng.normal(size=(3000, 64))), []
+    similarities, pairs = vb.similarities, getattr(vb, "pair_similarities", None)
+    monkeypatch.setattr(vb, "similarities", lambda a, b: looked_at.append(len(a) * len(b)) or similarities(a, b))
+    monkeypatch.setattr(vb, "pair_similarities", lambda a, b, r, c: looked_at.append(len(r)) or pairs(a, b, r, c), raising=False)
+    _top_of_block(rows, rows, 3, None, False)
+    best_pairs_kernel(0.85, 10)(rows, rows)
+    assert 0 < sum(looked_at) < 0.05 * len(rows) ** 2
+
+
+def test_followers_of_two_blocks_are_found_one_way_round(rng):
+    one, two = block(rng.normal(size=(300, 8)), "a"), block(rng.normal(size=(200, 8)), "b")
+    # Names of the blocks lie among each other.
+    one.id, two.id = (np.array([f"{n[1:]}{n[0]}" for n in b.id], dtype=object) for b in (one, two))
+    found = {}
+    for names in follower_kernel(0.5, True)(one, two).to_pylist():
+        found[names["id2"]] = names["id1"]
+    scores = vb.similarities(one, two)
+    want = {}
+    for i, a in enumerate(one.id):
+        for j, b in enumerate(two.id):
+            if scores[i, j] > 0.5:
+                low, high = min(a, b), max(a, b)
+                want[high] = min(want.get(high, (1.0, "")), (-scores[i, j], low))
+    assert found == {high: low for high, (_, low) in want.items()}
