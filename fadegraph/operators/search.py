@@ -82,6 +82,16 @@ def _dots(left: pa.ListArray, right: pa.ListArray, at: np.ndarray, other: np.nda
     return pa.array(total, mask=widths != others)
 
 
+def stacked(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all parts; a list that a part does not have is empty in its rows.
+
+    Spark measures a batch for Python after each row, and goes back over all null lists in front of it to do so.
+    """
+    lists = {f.name: f.dataType for p in parts for f in p.schema if isinstance(f.dataType, T.ArrayType)}
+    filled = [p.withColumns({n: F.array().cast(kind) for n, kind in lists.items() if n not in p.columns}) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), filled)
+
+
 def with_products(visited: DataFrame, topics: DataFrame, queries: DataFrame) -> DataFrame:
     """Visits (query_id, topic_id, ...) joined with both tables, without the column ``vec``, and with ``product`` of the two.
 
@@ -106,7 +116,7 @@ def with_products(visited: DataFrame, topics: DataFrame, queries: DataFrame) ->
         topics.select("*", F.lit(1).alias("_kind"), block("topic_id", topic_ways).alias("_i"), every(query_ways).alias("_j")),
         queries.select("*", F.lit(2).alias("_kind"), every(topic_ways).alias("_i"), block("query_id", query_ways).alias("_j")),
     ]
-    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    met = stacked(parts)
     of_topic = [c for c in topics.columns if c not in ("topic_id", "vec")]
     of_query = [c for c in queries.columns if c not in ("query_id", "vec")]
     names = [*visited.columns, *of_topic, *of_query]

@@ -376,3 +376,13 @@ def test_leaders_exchange_before_the_single_task(spark):
     points = vb.side(rows, F.col("n"), "v", ord_=F.col("n"))
     plan = leaders._lead_in_order(points.filter(F.col("ord") <= 3), 0.9)._jdf.queryExecution().executedPlan().toString()
     assert "Coalesce" not in plan and "Exchange" in plan
+
+
+def test_rows_of_visits_and_vectors_hold_no_null_lists(spark):
+    from fadegraph.operators.search import stacked
+
+    visits = spark.createDataFrame([("q", "t", [1, 2])], "query_id string, topic_id string, path array<int>")
+    topics = spark.createDataFrame([("t", [0.5])], "topic_id string, vec array<double>")
+    queries = spark.createDataFrame([("q", [2.0])], "query_id string, vec array<double>")
+    rows = stacked([visits, topics, queries]).collect()
+    assert [(r["path"], r["vec"]) for r in rows] == [([1, 2], []), ([], [0.5]), ([], [2.0])]
