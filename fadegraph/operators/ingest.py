@@ -38,7 +38,8 @@ def number_entries(rows: DataFrame) -> DataFrame:
     """
     firsts = rows.groupBy("source_file", "topic").agg(F.min("ord").alias("first_ord"))
     placed = numbered(firsts, ["source_file", "first_ord", "topic"], "entry_ord")
-    return rows.join(placed.select("source_file", "topic", "entry_ord"), ["source_file", "topic"])
+    # Where topics are few, the texts of their rows are not shuffled.
+    return rows.join(broadcast_if_small(placed.select("source_file", "topic", "entry_ord")), ["source_file", "topic"])
 
 
 def unseen(candidates: DataFrame, instances: DataFrame) -> DataFrame:

@@ -386,3 +386,21 @@ def test_rows_of_visits_and_vectors_hold_no_null_lists(spark):
     queries = spark.createDataFrame([("q", [2.0])], "query_id string, vec array<double>")
     rows = stacked([visits, topics, queries]).collect()
     assert [(r["path"], r["vec"]) for r in rows] == [([1, 2], []), ([], [0.5]), ([], [2.0])]
+
+
+def test_texts_are_not_shuffled_to_number_their_entries(spark):
+    from fadegraph.operators.ingest import number_entries
+
+    rows = spark.createDataFrame([("f", "b", 0, "x"), ("f", "a", 1, "y"), ("f", "b", 2, "z"), ("f", None, 3, "w")],
+                                 "source_file string, topic string, ord long, instance string")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, -1)
+    try:
+        numbered = number_entries(rows)
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["entry_ord"], r["instance"]) for r in numbered.collect())
+    finally:
+        spark.conf.set(setting, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [text for _, text in found] == ["x", "z", "y"] and found[0][0] == found[1][0] < found[2][0]
